@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from strataloom.llm import decontaminate, exact_dedup
+from strataloom.llm import decontaminate, exact_dedup, ngram_join
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op4_ngram_jaccard": ngram_join.op4_ngram_jaccard,
 }
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
