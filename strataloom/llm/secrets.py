@@ -96,9 +96,9 @@ def spans(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
     start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
 
     def step(acc, x):
-        begin = acc["at"] + F.length(x["0"])
-        end = begin + F.length(x["1"])
-        one = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["2"].alias("value")).cast(_SPAN)
+        begin = acc["at"] + F.length(x["piece"])
+        end = begin + F.length(x["whole"])
+        one = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["value"].alias("value")).cast(_SPAN)
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out")).cast(f"struct<at: int, out: array<{_SPAN}>>")
 
     found = F.aggregate(zipped, start.cast(f"struct<at: int, out: array<{_SPAN}>>"), step)["out"]
