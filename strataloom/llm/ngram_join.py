@@ -189,7 +189,7 @@ def candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def jaccard_join(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90, den: int = 100
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100
 ) -> DataFrame:
     """One row per document: id, n_shingles, component (smallest id that links reach), sets of equal shingles included."""
     spark = docs.sparkSession
@@ -255,5 +255,5 @@ def _leader_pairs(entries: DataFrame, step: int, num: int, den: int) -> DataFram
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, num=90)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
