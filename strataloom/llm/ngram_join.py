@@ -1,14 +1,15 @@
 """Exact Jaccard self-join of shingle sets, and the components of its links.
 
-Equal sets are one node. A node lists the rarest shingles of its set under a global order (counts of
-frequent shingles, then hash): two sets similar enough share at least ``SHARED`` of the listed ones. The
+Equal sets are one node. A node lists the rarest shingles of its set under a global order: two sets
+similar enough share at least ``SHARED`` of the listed ones. Frequent shingles, found by counting all, come last in the order; shingles
+whose lists turn out long are marked and put behind the others before the lists are made again. The
 lists by shingle are index lists cut into blocks by size; an entry's position bounds the sizes that it can
 still reach, so probes meet only blocks within that reach and skip the others.
 
-Answers of one set are derived from those of a similar one: while some lists would yield many more pairs than
-they have entries (large groups of near copies), each list is answered for one leader first; members linked to it
-share its component and need no pairs among themselves, and the overlaps with a common leader bound the
-overlap of the pairs that remain. Then all remaining pairs of different components are verified. Nothing is capped: the bounds only
+Answers of one set are derived from those of a similar one. In long lists each node is compared with one
+hub; the hub's overlap o(y) with a member y and the member's extra shingles E(y) then bound every pair of members:
+common(y, z) <= min(o(y), o(z)) + |E(y) & E(z)|. So pairs inside a hub's group are met only over shared extra shingles, or
+where both overlaps alone allow a link; the lists give the pairs between groups. Nothing is capped: the bounds only
 skip pairs that cannot link, or whose link would not change a component.
 
 Defined results: a null, empty or blank text has the empty set, links with nothing and is its own component. Rows that repeat a
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.llm.components import components
-from strataloom.llm.shingles import digest, ordered, overlap, shingle_sets
+from strataloom.llm.shingles import Order, digest, overlap, shingle_sets
 from strataloom.llm.text import columns, small_side, utf8_column
 from strataloom.plans.workspace import Workspace
 
@@ -33,9 +34,11 @@ SHARED = 3
 #: Shingles counted together before rare ones among them are left out of the order.
 CHUNK = 4_000_000
 #: Most frequent shingles in the order; a shingle must hold more than this share of all to be in it.
-FREQUENT = 1 << 20
-#: Pairs per list entry above which leaders are answered first, and the most such rounds.
-PAIRS_PER_ENTRY, ROUNDS = 8, 8
+FREQUENT = 1 << 19
+#: Lists this long mark their shingle; bits of the table of marks, and the most marked shingles (the length doubles beyond it).
+MARKED_LENGTH, MARK_BITS, MARKED = 32, 1 << 26, 4_000_000
+#: Lists this long are answered for hubs first; pairs per list entry above which that goes on, and the most such rounds.
+LONG, PAIRS_PER_ENTRY, ROUNDS = 16, 8, 4
 
 
 def need(n: int, num: int, den: int) -> int:
@@ -85,18 +88,35 @@ def frequent_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndar
     return shingles[order], n[order]
 
 
-def profiles(texts: DataFrame, frequent, width: int, num: int, den: int) -> DataFrame:
+def marked(postings: DataFrame) -> np.ndarray:
+    """A bit table of the shingles with long lists; its size is fixed."""
+    counts = Workspace(postings.sparkSession, "list-lengths").table(
+        postings.groupBy("shingle").count().where(F.col("count") >= MARKED_LENGTH), "lengths")
+    length = MARKED_LENGTH
+    while counts.where(F.col("count") >= length).count() > MARKED:
+        length *= 2
+    hot = counts.where(F.col("count") >= length)
+    mask = F.lit(MARK_BITS - 1)
+    places = hot.select(F.explode(F.array(F.col("shingle").bitwiseAND(mask), F.shiftrightunsigned("shingle", 32).bitwiseAND(mask))).alias("p"))
+    rows = places.groupBy(F.shiftright("p", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(32767))).alias("bits")).collect()
+    table = np.zeros(MARK_BITS // 8, np.uint8)
+    for r in rows:  # at most MARK_BITS / 32768 rows of 4 KB
+        table[r["bucket"] * 4096 : r["bucket"] * 4096 + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    return table
+
+
+def profiles(texts: DataFrame, order: Order, width: int, num: int, den: int) -> DataFrame:
     """(id, n, digest, listed): size and digest of each row's set, and its listed shingles in order."""
     import pyarrow as pa
 
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)
+    shared = texts.sparkSession.sparkContext.broadcast(order)
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("listed", pa.list_(pa.int64()))])
 
     def run(batches):
-        shingles, counts = shared.value
+        own = shared.value
         for batch in batches:
             sets = shingle_sets(utf8_column(batch, "text"), width)
-            lists = [ordered(s, shingles, counts, listed(len(s), num, den)).view(np.int64) for s in sets]
+            lists = [own.first(s, listed(len(s), num, den)).view(np.int64) for s in sets]
             offsets = np.cumsum([0] + [len(x) for x in lists], dtype=np.int32)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()),
@@ -126,27 +146,29 @@ def _texts_of(work: Workspace, texts: DataFrame, nodes: DataFrame, pairs: DataFr
     return work.table(found.join(small_side(wanted.select("node", "digest"), n), "digest").select("node", "text"), f"{name}-texts")
 
 
-def verified(work: Workspace, texts: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, name: str) -> DataFrame:
-    """(a, b, common): exact overlaps of the pairs (a, b); a is the side that may be in many of them."""
+def verified(work: Workspace, texts: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, name: str, extra: bool = False) -> DataFrame:
+    """(a, b, common, extra): exact overlaps of the pairs (a, b), and on demand what b has besides; a is the side that may be in many of them."""
     import pyarrow as pa
 
     held = _texts_of(work, texts, nodes, pairs, width, name)
     both = pairs.join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     both = both.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()), ("extra", pa.list_(pa.int64()))])
 
     def run(batches):
         last, last_set = None, None
         for batch in batches:
             a = batch.column(0).to_pylist()
-            sides_a, out = utf8_column(batch, "text_a"), []
+            sides_a, out, rest = utf8_column(batch, "text_a"), [], []
             for key, text, s in zip(a, sides_a, shingle_sets(utf8_column(batch, "text_b"), width)):
                 if key != last:
                     last, last_set = key, shingle_sets([text], width)[0]
                 out.append(overlap(last_set, s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], schema=schema)
+                rest.append(np.setdiff1d(s, last_set, assume_unique=True).view(np.int64) if extra else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64()), pa.array(rest, schema.field("extra").type)], schema=schema)
 
-    return work.table(both.mapInArrow(run, "a long, b long, common long").distinct(), f"{name}-verified")
+    done = both.mapInArrow(run, "a long, b long, common long, extra array<long>")
+    return work.table(done.dropDuplicates(["a", "b"]) if extra else done.select("a", "b", "common").distinct(), f"{name}-verified")
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -160,34 +182,69 @@ def _block(n):
     return F.floor(F.log(n.cast("double")) / math.log(1.03)).cast("int")
 
 
-def candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of entries (shingle, node, n, pos, root, hub, hub_common) in different components that can still link.
+def _enough(common, n1, n2, num: int, den: int):
+    return (num + den) * common >= num * (n1 + n2)
+
+
+def between_groups(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of list entries (shingle, node, n, pos, root, hub, minor) of different components and hubs that can still link.
 
     Index side: an entry reaches sets of its own size or larger, up to a size bounded by its position; it stands
-    in the blocks of that range only. Probe side: each entry looks into the block of its size.
+    in the blocks of that range only. Probe side: each entry looks into the block of its size. One of two entries
+    is always minor, that is, not of the hub that holds most of the list.
     """
     t = num / den
     n, pos = F.col("n"), F.col("pos")
     reach = F.least(n / t, (n - pos + SHARED - 1) * ((1 + t) / t) - n) + 1e-6
+    fields = F.struct("node", "n", "pos", "root", "hub")
     index = entries.withColumn("reach", reach).where("reach >= n").select(
-        "shingle", F.explode(F.sequence(_block(n), _block(F.col("reach")))).alias("block"),
-        F.struct("node", "n", "pos", "root", "hub", "hub_common").alias("y"),
-    )
-    probe = entries.select("shingle", _block(n).alias("block"), F.struct("node", "n", "pos", "root", "hub", "hub_common").alias("x"))
+        "shingle", F.explode(F.sequence(_block(n), _block(F.col("reach")))).alias("block"), fields.alias("y"), "minor")
+    probe = entries.select("shingle", _block(n).alias("block"), fields.alias("x"), "minor")
+    on = ["shingle", "block"]
+    met = index.where("minor").drop("minor").join(probe.drop("minor"), on).unionByName(index.where("NOT minor").drop("minor").join(probe.where("minor").drop("minor"), on))
     x, y = (lambda f: F.col(f"x.{f}")), (lambda f: F.col(f"y.{f}"))
-    pairs = index.join(probe, ["shingle", "block"]).where(
-        (x("root") != y("root"))
+    pairs = met.where(
+        (x("root") != y("root")) & (x("hub") != y("hub"))
         & ((y("n") < x("n")) | ((y("n") == x("n")) & (y("node") < x("node"))))
         & (den * y("n") >= num * x("n"))
-        & ((num + den) * (F.least(x("n") - x("pos"), y("n") - y("pos")) + SHARED - 1) >= num * (x("n") + y("n")))
+        & _enough(F.least(x("n") - x("pos"), y("n") - y("pos")) + SHARED - 1, x("n"), y("n"), num, den)
     )
-    most = F.least(x("hub_common"), y("hub_common")) + F.least(x("n") - x("hub_common"), y("n") - y("hub_common"))
-    pairs = pairs.where(~F.coalesce((x("hub") == y("hub")) & ((num + den) * most < num * (x("n") + y("n"))), F.lit(False)))
     least = F.least(F.lit(SHARED), F.ceil(F.col("n") * t - 1e-9))
     counted = pairs.select(y("node").alias("b"), x("node").alias("a"), x("n").alias("n")).groupBy("a", "b", "n").count()
     return counted.where(F.col("count") >= least).select("a", "b")
 
 
+def within_groups(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of members (node, n, hub, n_hub, common, extra, root, hub_root) of one hub and different components that can still link."""
+    far = members.where("root <> hub_root")
+    side = lambda df, k: df.select("hub", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "common", "root")])
+    could = (F.col("root_1") != F.col("root_2")) & (F.col("node_1") != F.col("node_2"))
+    bound = lambda more: _enough(F.least("common_1", "common_2") + more, F.col("n_1"), F.col("n_2"), num, den)
+    # A pair without a shared extra shingle: a member that is not linked to its hub can only reach sets smaller than the hub.
+    small = members.where("n < n_hub")
+    floor = small.groupBy("hub").agg(F.min("n").alias("least_n"))
+    edge = far.join(floor, "hub").where(_enough(F.col("common"), F.col("n"), F.col("least_n"), num, den))
+    plain = side(edge, 1).join(side(small, 2), "hub").where(could & bound(F.lit(0)))
+    lists = members.where(F.size("extra") > 0).select("hub", "node", "n", "common", "root", "hub_root", F.explode("extra").alias("shingle"))
+    apart = lists.where("root <> hub_root").select("shingle", *side(lists, 1).columns[:1], *[F.col(c).alias(f"{c}_1") for c in ("node", "n", "common", "root")])
+    every = lists.select("shingle", "hub", *[F.col(c).alias(f"{c}_2") for c in ("node", "n", "common", "root")])
+    shared = apart.join(every, ["shingle", "hub"]).where(could)
+    shared = shared.groupBy("node_1", "node_2", "n_1", "n_2", "common_1", "common_2").count().where(bound(F.col("count")))
+    pairs = plain.select("node_1", "node_2").union(shared.select("node_1", "node_2"))
+    return pairs.select(F.greatest("node_1", "node_2").alias("a"), F.least("node_1", "node_2").alias("b")).distinct()
+
+
+def _hub_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """(a: hub, b: node), one for each node of a long list without a hub: of its lists' leaders, whose sets the lists hold most of, the best."""
+    rank = entries.groupBy("node").agg(F.count(F.lit(1)).alias("rank"))
+    long = entries.groupBy("shingle").count().where(F.col("count") >= LONG).select("shingle")
+    ranked = entries.join(long, "shingle").join(rank, "node").withColumn("score", F.round(F.col("rank") * 1000 / F.col("n")).cast("long"))
+    leader = ranked.groupBy("shingle").agg(F.max(F.struct("score", "node", "n")).alias("l"))
+    near = (den * F.least("n", "l.n") >= num * F.greatest("n", "l.n")) & (F.col("node") != F.col("l.node"))
+    met = ranked.join(leader, "shingle").where(near)
+    return met.groupBy("node").agg(F.max(F.struct("l.score", "l.node")).alias("best")).select(F.col("best.node").alias("a"), F.col("node").alias("b"))
+
+
 def jaccard_join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100
 ) -> DataFrame:
@@ -195,7 +252,11 @@ def jaccard_join(
     spark = docs.sparkSession
     work = Workspace(spark, "ngram-join")
     texts = columns(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    rows = work.table(profiles(texts, frequent_shingles(texts, width), width, num, den), "profiles")
+    shingles, counts = frequent_shingles(texts, width)
+    first = work.table(_listed_once(profiles(texts, Order(shingles, counts), width, num, den)), "first")
+    marks = marked(first.select(F.explode("listed").alias("shingle")))
+    work.drop("first")
+    rows = work.table(profiles(texts, Order(shingles, counts, marks), width, num, den), "profiles")
     nodes = work.table(
         rows.where("n > 0").groupBy("digest")
         .agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("listed").alias("listed"))
@@ -205,34 +266,36 @@ def jaccard_join(
     met = postings.groupBy("shingle").count().where("count > 1").select("shingle")
     lists = work.table(postings.join(met, "shingle"), "lists")
     size = lists.count()
-    links = work.spark.createDataFrame([], "u long, v long")
-    roots, hubs, known, before = None, None, links, None
-    for step in range(ROUNDS + 1):
-        entries = lists if roots is None else lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        entries = entries.withColumn("root", F.col("node")) if roots is None else entries
-        if roots is not None:
-            mixed = entries.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-            entries = work.table(entries.join(mixed.select("shingle"), "shingle"), f"entries-{step}")
-        per_root = entries.groupBy("shingle", "root").count()
-        left = per_root.groupBy("shingle").agg(((F.pow(F.sum("count"), 2) - F.sum(F.pow("count", 2))) / 2).alias("p")).agg(F.sum("p")).first()[0] or 0
-        if left <= PAIRS_PER_ENTRY * max(size, 1) or step == ROUNDS or (before is not None and left > 0.9 * before):
+
+    none = spark.createDataFrame([], "a long, b long, common long, extra array<long>")
+    compared = none
+    open_entries = lists
+    for step in range(ROUNDS):
+        pairs = work.table(_hub_pairs(open_entries, num, den), f"hubs-{step}")
+        if pairs.isEmpty():
+            break
+        compared = compared.union(verified(work, texts, nodes, pairs, width, f"round-{step}", extra=True))
+        hubs = _hubs(nodes, compared)
+        entries = work.table(_with_minor(lists.join(hubs, "node")), f"entries-{step}")
+        left = entries.groupBy("shingle").agg((F.count(F.lit(1)) * F.count_if(F.col("minor"))).alias("p")).agg(F.sum("p")).first()[0] or 0
+        if left <= PAIRS_PER_ENTRY * size:
             break
-        before = left
-        work_pairs = work.table(_leader_pairs(entries, step, num, den), f"leaders-{step}")
-        checked = verified(work, texts, nodes, work_pairs, width, f"round-{step}")
-        known = known.union(_linked(checked, nodes, num, den).select(F.col("a").alias("u"), F.col("b").alias("v")))
-        best = checked.groupBy("b").agg(F.max(F.struct("common", "a")).alias("best")).select(
-            F.col("b").alias("node"), F.col("best.a").alias("hub"), F.col("best.common").alias("hub_common"))
-        hubs = best if hubs is None else hubs.union(best.join(hubs, "node", "left_anti"))
-        roots = components(work, known, f"components-{step}")
-    if hubs is None:
-        entries = entries.withColumns({"hub": F.lit(None).cast("long"), "hub_common": F.lit(None).cast("long")})
-    else:
-        entries = entries.join(work.table(hubs, "hubs"), "node", "left")
-    rest = work.table(candidates(entries, num, den), "candidates")
-    checked = verified(work, texts, nodes, rest, width, "rest")
-    known = known.union(_linked(checked, nodes, num, den).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    roots = components(work, known, "components")
+        open_entries = entries.where(F.col("minor") & (F.col("hub") == F.col("node"))).select("node", "n", "pos", "shingle")
+
+    linked = _linked(compared, nodes, num, den).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    roots = components(work, linked, "hub-components")
+    hubs = work.table(_hubs(nodes, compared), "hubs")
+    rooted = nodes.select("node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    entries = _with_minor(lists.join(hubs, "node")).join(rooted.select("node", "root"), "node")
+    mixed = entries.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("shingle")
+    rest = work.table(between_groups(entries.join(mixed, "shingle"), num, den), "between")
+    grouped = hubs.where("hub_of IS NOT NULL").select("node", F.col("hub_of").alias("hub"), "common", "extra").join(rooted, "node")
+    at_hub = rooted.select(F.col("node").alias("hub"), F.col("n").alias("n_hub"), F.col("root").alias("hub_root"))
+    inside = work.table(within_groups(grouped.join(at_hub, "hub"), num, den), "within")
+    checked = verified(work, texts, nodes, rest.union(inside).distinct(), width, "rest")
+    linked = linked.union(_linked(checked, nodes, num, den).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    roots = components(work, linked, "components")
+
     named = nodes.join(roots, "node", "left").select("digest", "low", "copies", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("linked"))
     lows = named.groupBy("root").agg(F.min("low").alias("component"))
     shared = work.table(named.where("copies > 1 OR linked").join(lows, "root").select("digest", "component", F.lit(True).alias("in_group")), "shared")
@@ -240,18 +303,29 @@ def jaccard_join(
         "id", F.col("n").alias("n_shingles"), F.when(F.col("in_group"), F.col("component")).otherwise(F.col("id")).alias("component"))
 
 
-def _leader_pairs(entries: DataFrame, step: int, num: int, den: int) -> DataFrame:
-    """(a: leader, b: member) of each list: first the node most of whose entries are shared, then one by hash."""
-    if step == 0:
-        rank = entries.groupBy("node").count().select("node", F.col("count").cast("long").alias("rank"))
-        ranked = entries.join(rank, "node")
-        score = F.round(F.col("rank") * 1000 / F.col("n")).cast("long")
-    else:
-        ranked, score = entries, F.xxhash64(F.lit(step), F.col("node"))
-    ranked = ranked.withColumn("score", score)
-    leader = ranked.groupBy("shingle").agg(F.max(F.struct("score", "node", "n", "root")).alias("l"))
-    near = (den * F.least("n", "l.n") >= num * F.greatest("n", "l.n")) & (F.col("root") != F.col("l.root"))
-    return entries.join(leader, "shingle").where(near).select(F.col("l.node").alias("a"), F.col("node").alias("b")).distinct()
+def _listed_once(rows: DataFrame) -> DataFrame:
+    """Lists of distinct sets, for the lengths of lists."""
+    return rows.where("n > 0").groupBy("digest").agg(F.first("listed").alias("listed")).select("listed")
+
+
+def _hubs(nodes: DataFrame, compared: DataFrame) -> DataFrame:
+    """(node, hub, hub_of, common, extra): each node's hub, itself if it has none; hub_of is null outside groups. A hub is in its own group."""
+    is_hub = compared.select(F.col("a").alias("node")).distinct().withColumn("own", F.lit(True))
+    best = compared.select(F.col("b").alias("node"), F.col("a").alias("hub_of"), "common", "extra")
+    joined = nodes.select("node", F.col("n").alias("size")).join(best, "node", "left").join(is_hub, "node", "left")
+    own = F.col("own").isNotNull()
+    return joined.select(
+        "node", F.when(own | F.col("hub_of").isNull(), F.col("node")).otherwise(F.col("hub_of")).alias("hub"),
+        F.when(own, F.col("node")).otherwise(F.col("hub_of")).alias("hub_of"), F.when(own, F.col("size")).otherwise(F.col("common")).alias("common"),
+        F.when(own, F.array().cast("array<long>")).otherwise(F.col("extra")).alias("extra"),
+    )
+
+
+def _with_minor(entries: DataFrame) -> DataFrame:
+    """Marks entries that are not of the hub with most entries of their list; lists of one hub go."""
+    slim = entries.select("shingle", "node", "n", "pos", "hub")
+    per = slim.groupBy("shingle", "hub").count().groupBy("shingle").agg(F.max(F.struct("count", "hub")).alias("top"), F.count(F.lit(1)).alias("hubs"))
+    return slim.join(per.where("hubs > 1"), "shingle").select("shingle", "node", "n", "pos", "hub", (F.col("hub") != F.col("top.hub")).alias("minor"))
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
