@@ -17,6 +17,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import xxhash
@@ -31,7 +33,7 @@ DROPOUT, SEED, VARIANTS = 0.1, 17, 8
 #: Chunks of more bytes than this, which seldom recur, have two variants each.
 COMMON_BYTES = 6
 #: Segmentations that a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 #: Chunks up to this many characters look for the best candidate in a list; longer ones keep a heap.
 SHORT = 24
 MARK = "▁"
@@ -67,6 +69,11 @@ class Codec:
             level += pieces[i][1] != last
             rank[i], last = level, pieces[i][1]
         self.own = list(range(len(pieces) + 1))
+        #: Pieces of equal score must be merged leftmost first; the short way does so if only runs of spaces share one.
+        ranks = Counter(rank.values())
+        self.short_ties = all("  " in p.replace(MARK, " ") or len(p) < 2 for p, i in normal.items() if ranks[rank[i]] > 1)
+        keys = mix(np.arange(1, len(pieces) + 2050, dtype=np.uint64) * np.uint64(2 * seed + 1)) & np.uint64(0xFFFFFFFF)
+        self.start_key, self.end_key, self.piece_key = keys[:1024].tolist(), keys[1024:2048].tolist(), keys[2048:].tolist()
         #: Characters without a piece are known by numbers beyond the pieces; no pair merges them.
         self.size = len(pieces)
         self.pairs = {}
@@ -87,48 +94,58 @@ class Codec:
     def _segment(self, word: bytes, variant: int) -> list[int]:
         """Merge one chunk by the agenda of its candidates."""
         chars = word.decode("utf-8", "surrogateescape")
-        symbols = [self.of_char.get(c, self.size) for c in chars]
-        key = xxhash.xxh3_64_intdigest(word, seed=self.seed * 1_000_003 + variant) >> 32 if self.limit else 0
-        merge = self._merge_short if len(symbols) <= SHORT else self._merge_long
-        out, at, size = [], 0, self.size
-        for symbol, end in merge(symbols, key):
+        size = self.size
+        symbols = list(map(self.of_char.get, chars, repeat(size)))
+        key = xxhash.xxh3_64_intdigest(word, self.seed * 1_000_003 + variant) & 0xFFFFFFFF if self.limit else 0
+        short = len(symbols) <= SHORT and self.short_ties and b"  " not in word
+        symbols, ends = self._merge_short(symbols, key) if short else self._merge_long(symbols, key)
+        if size not in symbols:
+            return symbols
+        out, at = [], 0
+        for symbol, end in zip(symbols, ends):
             if symbol == size:
                 out += [self.of_byte[b] for b in chars[at].encode("utf-8", "surrogateescape")]
             else:
-                out.append(self.own[symbol])
+                out.append(symbol)
             at = end
         return out
 
     def _skip(self, key: int, start: int, end: int, piece: int) -> bool:
-        return (((key ^ (piece * 40503 + start * 1566083941 + end * 2654435761)) * 2246822519 >> 7) & 0xFFFFFFFF) < self.limit
+        """Tabulation hash of the candidate's place and piece, keyed by word, variant and seed."""
+        return (key ^ self.piece_key[piece] ^ self.start_key[start & 1023] ^ self.end_key[end & 1023]) < self.limit
 
-    def _merge_short(self, symbols: list[int], key: int):
-        """(symbol, end) of what remains; the least rank is the best candidate, and the first of equals."""
-        get, skip, limit = self.pairs.get, self._skip, self.limit
+    def _merge_short(self, symbols: list[int], key: int) -> tuple[list[int], list[int]]:
+        """Symbols that remain and their ends; the least candidate has the best rank, and the first of equals is taken."""
+        get, limit, own = self.pairs.get, self.limit, self.own
+        piece_key, start_key, end_key = self.piece_key, self.start_key, self.end_key
         ends = list(range(1, len(symbols) + 1))
-        found = [get(a << 20 | b, _NONE) for a, b in zip(symbols, symbols[1:])]
-        if limit:
-            found = [
-                x if x == _NONE or (((key ^ ((x & 0xFFFFF) * 40503 + i * 1566083941 + (i + 2) * 2654435761)) * 2246822519 >> 7) & 0xFFFFFFFF) >= limit else _NONE
-                for i, x in enumerate(found)
-            ]
-        ranks = [x >> 20 for x in found]
-        while ranks:
-            best = min(ranks)
-            if best == _NONE >> 20:
+        found, a, at = [], symbols[0], 0
+        for b in symbols[1:]:
+            x = get(a << 20 | b, _NONE)
+            if x < _NONE and limit and key ^ piece_key[x & 0xFFFFF] ^ start_key[at] ^ end_key[at + 2] < limit:
+                x = _NONE
+            found.append(x)
+            a, at = b, at + 1
+        while found:
+            best = min(found)
+            if best == _NONE:
                 break
-            i = ranks.index(best)
-            symbols[i] = found[i] & 0xFFFFF
-            del symbols[i + 1], ends[i], found[i], ranks[i]
-            for k in (i - 1, i):
-                if 0 <= k < len(found):
-                    x = get(symbols[k] << 20 | symbols[k + 1], _NONE)
-                    if limit and x != _NONE and skip(key, ends[k - 1] if k else 0, ends[k + 1], x & 0xFFFFF):
-                        x = _NONE
-                    found[k], ranks[k] = x, x >> 20
-        return zip(symbols, ends)
-
-    def _merge_long(self, symbols: list[int], key: int):
+            i = found.index(best)
+            symbols[i] = s = own[best & 0xFFFFF]
+            del symbols[i + 1], ends[i], found[i]
+            if i:
+                x = get(symbols[i - 1] << 20 | s, _NONE)
+                if x < _NONE and limit and key ^ piece_key[x & 0xFFFFF] ^ start_key[ends[i - 2] if i > 1 else 0] ^ end_key[ends[i]] < limit:
+                    x = _NONE
+                found[i - 1] = x
+            if i < len(found):
+                x = get(s << 20 | symbols[i + 1], _NONE)
+                if x < _NONE and limit and key ^ piece_key[x & 0xFFFFF] ^ start_key[ends[i - 1] if i else 0] ^ end_key[ends[i + 1]] < limit:
+                    x = _NONE
+                found[i] = x
+        return symbols, ends
+
+    def _merge_long(self, symbols: list[int], key: int) -> tuple[list[int], list[int]]:
         n, pairs, limit = len(symbols), self.pairs, self.limit
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda: list[tuple[int, int, int, int, int]] = []
@@ -156,10 +173,12 @@ class Codec:
                 offer(left)
             if before[left] >= 0:
                 offer(before[left])
-        i = 0
+        left, ends, i = [], [], 0
         while i < n:
-            yield symbols[i], after[i]
+            left.append(symbols[i])
+            ends.append(after[i])
             i = after[i]
+        return left, ends
 
     def encode(self, utf8: bytes | None, key: int = 0) -> list[int]:
         if not utf8:
@@ -190,6 +209,17 @@ class Codec:
         return b"".join(map(self.raw.__getitem__, ids))[1:]
 
 
+_LAST: list = [None, None]
+
+
+def codec(pieces, dropout: float = 0.0, seed: int = 0, variants: int = 1) -> Codec:
+    """The process's last codec if it has the same parameters: later tasks find what earlier ones remembered."""
+    key = (hash(tuple(p for p, *_ in pieces)), dropout, seed, variants)
+    if _LAST[0] != key:
+        _LAST[:] = key, Codec(pieces, dropout, seed, variants)
+    return _LAST[1]
+
+
 def read_pieces(path: str = MODEL_PATH) -> list[tuple[str, float, bool, bool]]:
     """Pieces of a model on the driver's disk: a few hundred KB for any vocabulary in use."""
     import sentencepiece
@@ -212,14 +242,14 @@ def encode(
     schema = pa.schema([("id", pa.int64()), ("pieces", pa.list_(pa.int32())), ("n_pieces", pa.int64()), ("lossless", pa.bool_())])
 
     def run(batches):
-        codec = Codec(shared.value, dropout, seed, variants)
+        own = codec(shared.value, dropout, seed, variants)
         for batch in batches:
             ids, ends, exact = [], [0], []
             for key, text in zip(batch.column(0).to_pylist(), utf8_column(batch, "text")):
-                found = codec.encode(text, key or 0)
+                found = own.encode(text, key or 0)
                 ids.append(np.array(found, np.int32))
                 ends.append(ends[-1] + len(found))
-                exact.append(codec.decode(found) == (text or b""))
+                exact.append(own.decode(found) == (text or b""))
                 if ends[-1] > 4_000_000:  # hand on long texts before they add up
                     yield _rows(batch, schema, len(exact) - len(ids), ids, ends, exact[-len(ids) :])
                     ids, ends = [], [0]
@@ -245,9 +275,9 @@ def decode(encoded: DataFrame, id_col: str = "id", pieces_col: str = "pieces", m
     schema = pa.schema([("id", pa.int64()), ("text", pa.string())])
 
     def run(batches):
-        codec = Codec(shared.value)
+        own = codec(shared.value)
         for batch in batches:
-            texts = [codec.decode(x or ()).decode() for x in batch.column(1).to_pylist()]
+            texts = [own.decode(x or ()).decode() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], schema=schema)
 
     own = columns(encoded, id=id_col, pieces=pieces_col).select(F.col("id").cast("long").alias("id"), "pieces")
