@@ -70,7 +70,7 @@ def fit(bags: list[tuple[int, list[list[bytes]]]], steps: int = 400, rate: float
     y = np.array([label for label, _ in bags], float)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
-        return NoisyOr({}, -40.0, 40.0 if share >= 1 else -float(np.log1p(-share)))
+        return NoisyOr({}, -1000.0, 40.0 if share >= 1 else -float(np.log1p(-share)))
     seen, positive = Counter(), Counter()
     for label, bag in bags:
         words = set().union(*bag) if bag else set()
