@@ -146,36 +146,41 @@ def _texts_of(work: Workspace, texts: DataFrame, nodes: DataFrame, pairs: DataFr
     return work.table(found.join(small_side(wanted.select("node", "digest"), n), "digest").select("node", "text"), f"{name}-texts")
 
 
+_VERIFIED = "a long, b long, common long, n_a long, n_b long, extra array<long>"
+
+
 def verified(work: Workspace, texts: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, name: str, extra: bool = False) -> DataFrame:
-    """(a, b, common, extra): exact overlaps of the pairs (a, b), and on demand what b has besides; a is the side that may be in many of them."""
+    """(a, b, common, n_a, n_b, extra): exact overlaps and sizes of the pairs (a, b), and on demand what b has besides; a is the side that may be in many."""
     import pyarrow as pa
 
     held = _texts_of(work, texts, nodes, pairs, width, name)
     both = pairs.join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     both = both.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()), ("extra", pa.list_(pa.int64()))])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("extra", pa.list_(pa.int64()))])
 
     def run(batches):
         last, last_set = None, None
         for batch in batches:
             a = batch.column(0).to_pylist()
-            sides_a, out, rest = utf8_column(batch, "text_a"), [], []
+            sides_a, out, sizes, rest = utf8_column(batch, "text_a"), [], [], []
             for key, text, s in zip(a, sides_a, shingle_sets(utf8_column(batch, "text_b"), width)):
                 if key != last:
                     last, last_set = key, shingle_sets([text], width)[0]
                 out.append(overlap(last_set, s))
+                sizes.append((len(last_set), len(s)))
                 rest.append(np.setdiff1d(s, last_set, assume_unique=True).view(np.int64) if extra else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64()), pa.array(rest, schema.field("extra").type)], schema=schema)
+            n_a, n_b = ([x[k] for x in sizes] for k in (0, 1))
+            arrays = [batch.column(0), batch.column(1), pa.array(out, pa.int64()), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(rest, schema.field("extra").type)], schema=schema)
 
-    done = both.mapInArrow(run, "a long, b long, common long, extra array<long>")
-    return work.table(done.dropDuplicates(["a", "b"]) if extra else done.select("a", "b", "common").distinct(), f"{name}-verified")
+    done = both.mapInArrow(run, _VERIFIED)
+    return work.table(done.dropDuplicates(["a", "b"]) if extra else done, f"{name}-verified")
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    sizes = nodes.select("node", "n")
-    p = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a")
-    p = p.join(sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
-    return p.where(den * F.col("common") >= num * (F.col("n_a") + F.col("n_b") - F.col("common")))
+def _linked(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (u, v) of the pairs that are similar enough."""
+    similar = den * F.col("common") >= num * (F.col("n_a") + F.col("n_b") - F.col("common"))
+    return pairs.where(similar).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def _block(n):
@@ -267,34 +272,33 @@ def jaccard_join(
     lists = work.table(postings.join(met, "shingle"), "lists")
     size = lists.count()
 
-    none = spark.createDataFrame([], "a long, b long, common long, extra array<long>")
-    compared = none
-    open_entries = lists
+    compared, hubs, entries, open_entries = spark.createDataFrame([], _VERIFIED), None, None, lists
     for step in range(ROUNDS):
         pairs = work.table(_hub_pairs(open_entries, num, den), f"hubs-{step}")
         if pairs.isEmpty():
             break
         compared = compared.union(verified(work, texts, nodes, pairs, width, f"round-{step}", extra=True))
-        hubs = _hubs(nodes, compared)
-        entries = work.table(_with_minor(lists.join(hubs, "node")), f"entries-{step}")
+        hubs = work.table(_hubs(nodes, compared), f"hubs-of-{step}")
+        entries = work.table(_with_minor(lists.join(hubs.select("node", "hub"), "node")), f"entries-{step}")
         left = entries.groupBy("shingle").agg((F.count(F.lit(1)) * F.count_if(F.col("minor"))).alias("p")).agg(F.sum("p")).first()[0] or 0
         if left <= PAIRS_PER_ENTRY * size:
             break
         open_entries = entries.where(F.col("minor") & (F.col("hub") == F.col("node"))).select("node", "n", "pos", "shingle")
 
-    linked = _linked(compared, nodes, num, den).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    roots = components(work, linked, "hub-components")
-    hubs = work.table(_hubs(nodes, compared), "hubs")
-    rooted = nodes.select("node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    entries = _with_minor(lists.join(hubs, "node")).join(rooted.select("node", "root"), "node")
-    mixed = entries.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("shingle")
-    rest = work.table(between_groups(entries.join(mixed, "shingle"), num, den), "between")
-    grouped = hubs.where("hub_of IS NOT NULL").select("node", F.col("hub_of").alias("hub"), "common", "extra").join(rooted, "node")
-    at_hub = rooted.select(F.col("node").alias("hub"), F.col("n").alias("n_hub"), F.col("root").alias("hub_root"))
-    inside = work.table(within_groups(grouped.join(at_hub, "hub"), num, den), "within")
-    checked = verified(work, texts, nodes, rest.union(inside).distinct(), width, "rest")
-    linked = linked.union(_linked(checked, nodes, num, den).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    roots = components(work, linked, "components")
+    linked = _linked(compared, num, den)
+    if hubs is None:  # no list is long: each node is its own hub
+        entries = _with_minor(lists.withColumn("hub", F.col("node"))).withColumn("root", F.col("node"))
+        rest = work.table(between_groups(entries, num, den), "between")
+    else:
+        roots = components(work, linked, "hub-components")
+        rooted = work.table(nodes.select("node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+        rest = work.table(between_groups(entries.join(rooted.select("node", "root"), "node"), num, den), "between")
+        grouped = hubs.where("hub_of IS NOT NULL").select("node", F.col("hub_of").alias("hub"), "common", "extra").join(rooted, "node")
+        at_hub = rooted.select(F.col("node").alias("hub"), F.col("n").alias("n_hub"), F.col("root").alias("hub_root"))
+        members = work.table(grouped.join(at_hub, "hub"), "members")
+        rest = rest.union(work.table(within_groups(members, num, den), "within"))
+    checked = verified(work, texts, nodes, rest, width, "rest")
+    roots = components(work, linked.union(_linked(checked, num, den)), "components")
 
     named = nodes.join(roots, "node", "left").select("digest", "low", "copies", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("linked"))
     lows = named.groupBy("root").agg(F.min("low").alias("component"))

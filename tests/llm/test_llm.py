@@ -184,7 +184,9 @@ def test_jaccard_join_awkward(spark, awkward):
     assert sum(got.values()) == awkward.count() and ngram_join.jaccard_join(awkward.limit(0)).count() == 0
 
 
-def test_components_chain(spark):
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_components_chain(spark, monkeypatch, limit):
+    monkeypatch.setattr(components, "ONE_TASK", limit)
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 200)], "u long, v long")
     got = dict(map(tuple, components.components(Workspace(spark, "test"), edges, "c").collect()))
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 200: 100}
