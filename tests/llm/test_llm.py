@@ -381,3 +381,12 @@ def test_word_hashes_cut_anywhere():
     text = b"ab  c\nd " * 200_000
     h, s, e = word_hashes(text)
     assert len(h) == 600_000 and len(set(h.tolist())) == 3 and [text[a:b] for a, b in zip(s[-3:], e[-3:])] == [b"ab", b"c", b"d"]
+
+
+def test_empty_tables(spark, awkward):
+    none, labels = awkward.limit(0), spark.createDataFrame([], "doc_id long, toxic int")
+    for got in (
+        exact_dedup.exact_dedup(none), exact_dedup.keep_unique(none), toxicity.toxicity(spark, none, labels), lm_score.score(none, F.lit(True)),
+        langid.identify(none, langid.train(none, F.lit(True))), sentencepiece_codec.encode(none), pii.pseudonymize(none), secrets.scan(none),
+    ):
+        assert got.count() == 0
