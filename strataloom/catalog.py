@@ -107,12 +107,6 @@ def table_query(spark, sf):
     return tb.query(table(spark, sf, "nation"), ["SELECT * FROM data WHERE n_nationkey > 3", "SELECT n_regionkey, COUNT(*) AS n, MAX(n_name) AS last FROM data GROUP BY n_regionkey"])
 
 
-@_query("""SELECT p_partkey, p_brand, p_size, CASE WHEN p_brand = 'Brand#1' THEN '1' ELSE '0' END AS brand_Brand#1 FROM part WHERE FALSE""".replace("brand_Brand#1", "b1"))
-def table_cook_empty(spark, sf):
-    t = table(spark, sf, "part").where("p_partkey < 0").select("p_partkey", "p_brand", "p_size")
-    return tb.cook(t, columnexpr=["b1='1' if p_brand == 'Brand#1' else '0'"], filterexpr=["p_size > 1"], sort="p_brand", uniq="p_brand", order=["p_partkey"])
-
-
 @_query("""SELECT p_partkey, p_size, big FROM (SELECT p_partkey, p_size, CASE WHEN p_size > 20 THEN '1' ELSE '0' END AS big,
 ROW_NUMBER() OVER (PARTITION BY p_size ORDER BY p_size, p_partkey) AS rn FROM part WHERE p_type <> '' AND p_partkey % 3 = 1) WHERE rn = 1""")
 def table_cook(spark, sf):

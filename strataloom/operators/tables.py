@@ -78,17 +78,13 @@ def column_exprs(df: DataFrame, exprs: str | list[str]) -> DataFrame:
 
 
 def query(df: DataFrame, queries: str | list[str], name: str = "data") -> DataFrame:
-    """SQL over the table as a view ``name``; several queries chain."""
+    """SQL over the table as a temporary view ``name``; several queries chain."""
     for sql in [queries] if isinstance(queries, str) else queries:
-        df = df.sparkSession.sql(sql.replace("{" + name + "}", name), **{name: df}) if "{" + name + "}" in sql else _with_view(df, sql, name)
+        df.createOrReplaceTempView(name)
+        df = df.sparkSession.sql(sql)
     return df
 
 
-def _with_view(df: DataFrame, sql: str, name: str) -> DataFrame:
-    df.createOrReplaceTempView(name)
-    return df.sparkSession.sql(sql)
-
-
 def indicators(
     df: DataFrame, variable: str, prefix: str | None = None, ref: list[str] = (), include: list[str] | None = None,
     exclude: list[str] = (), yes: str = "1", no: str = "0", missing: str = "",
