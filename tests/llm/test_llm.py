@@ -329,6 +329,23 @@ def test_exchange_finds_classes():
     assert len(set(of[:3])) == len(set(of[3:6])) == 1 and of[0] != of[3]
 
 
+@pytest.mark.parametrize("frequent", [1 << 20, 5000])
+def test_words_beyond_the_seeds_have_classes_by_context(spark, monkeypatch, frequent):
+    monkeypatch.setattr(lm_score, "FREQUENT", frequent)
+    rng = random.Random(4)
+    seeds, others = ([[f"{x}{kind}{i}" for i in range(n)] for x in "ab"] for kind, n in (("seed", 600), ("other", 400)))
+    sides = [[w for w in x for _ in range(40)] + [w for w in y for _ in range(8)] for x, y in zip(seeds, others)]
+    for words in sides:
+        rng.shuffle(words)
+    mixed = [w for pair in zip(*sides) for w in pair]  # words of a and b take turns
+    rows = [(i, " ".join(mixed[50 * i : 50 * i + 50])) for i in range(len(mixed) // 50)]
+    turns = [w for pair in zip(*others) for w in pair]
+    rows += [(-1, " ".join(turns)), (-2, " ".join(others[0] + others[1]))]
+    got = {r["id"]: r for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("id") >= 0).collect()}
+    assert math.isclose(got[-1]["base_score"], got[-2]["base_score"])
+    assert got[-1]["score"] > got[-2]["score"] + 0.5 * len(turns)
+
+
 # --- 10 ---
 
 
