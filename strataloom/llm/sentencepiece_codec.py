@@ -1,9 +1,10 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding.
 
 The pieces and scores of a merge-type model are read on the driver from ``model_path`` (a parameter; never copied) and sent to the executors.
-Encoding runs the agenda of candidate merges, best score first and leftmost of equals. Each candidate is skipped when
-a hash keyed by the seed, the word's variant and the candidate's place falls below ``dropout``. A document's keyed sequence
-of variants makes the same word segment differently from place to place; everything is reproducible from seed, id and text.
+Encoding runs the agenda of candidate merges, best score first and leftmost of equals. Each candidate is skipped with
+probability ``dropout``, by hashes keyed by the seed, the document's id and the chunk's place in it: a hash gives how many candidates pass
+until the next one is skipped. So any segmentation can occur at any place; everything is reproducible from seed, id and text.
+What a chunk becomes after each sequence of skips is remembered, which changes no result.
 
 Characters outside the vocabulary, and the space marker itself, become byte pieces, so decoding gives
 back every text exactly.
@@ -16,12 +17,12 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 from collections import Counter
 from itertools import repeat
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,11 +30,10 @@ from strataloom.llm.hashing import mix
 from strataloom.llm.text import columns, utf8_column
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, SEED, VARIANTS = 0.1, 17, 8
-#: Chunks of more bytes than this, which seldom recur, have two variants each.
-COMMON_BYTES = 6
-#: Segmentations that a task remembers.
-REMEMBERED = 700_000
+#: Variants limits the keys that a chunk's skips are drawn from, 0 not at all.
+DROPOUT, SEED, VARIANTS = 0.1, 17, 0
+#: Segmentations that a task remembers, and bytes of the longest chunk remembered.
+REMEMBERED, REMEMBERED_BYTES = 1_000_000, 64
 #: Chunks up to this many characters look for the best candidate in a list; longer ones keep a heap.
 SHORT = 24
 MARK = "▁"
@@ -48,9 +48,11 @@ _WHOLE = re.compile(rb"(?s).+")
 class Codec:
     """Merges of a model: pairs of pieces to the merged piece, ranked by score."""
 
-    def __init__(self, pieces: list[tuple[str, float, bool, bool]], dropout: float = 0.0, seed: int = 0, variants: int = 1, remembered: int = REMEMBERED):
+    def __init__(self, pieces: list[tuple[str, float, bool, bool]], dropout: float = 0.0, seed: int = 0, variants: int = VARIANTS, remembered: int = REMEMBERED):
         """pieces: (piece, score, is a byte, is a normal piece) by id."""
-        self.limit, self.seed, self.variants, self.remembered = int(dropout * (1 << 32)), seed, max(1, variants), remembered
+        self.dropout, self.seed, self.variants, self.remembered = dropout, seed, variants, remembered
+        #: Candidates until a skip are log(uniform) times this.
+        self.per_log = 0.0 if dropout <= 0 else 1 / math.log1p(-dropout) if dropout < 1 else -0.0
         self.raw = [b""] * len(pieces)
         self.of_byte, self.of_char = {}, {}
         normal = {}
@@ -72,8 +74,6 @@ class Codec:
         #: Pieces of equal score must be merged leftmost first; the short way does so if only runs of spaces share one.
         ranks = Counter(rank.values())
         self.short_ties = all("  " in p.replace(MARK, " ") or len(p) < 2 for p, i in normal.items() if ranks[rank[i]] > 1)
-        keys = mix(np.arange(1, len(pieces) + 2050, dtype=np.uint64) * np.uint64(2 * seed + 1)) & np.uint64(0xFFFFFFFF)
-        self.start_key, self.end_key, self.piece_key = keys[:1024].tolist(), keys[1024:2048].tolist(), keys[2048:].tolist()
         #: Characters without a piece are known by numbers beyond the pieces; no pair merges them.
         self.size = len(pieces)
         self.pairs = {}
@@ -89,18 +89,18 @@ class Codec:
             self.chunks = _PLAIN
         else:
             self.chunks = _WITH_STOPS
-        self.memory: list[dict[bytes, list[int]]] = [{} for _ in range(self.variants)]
+        self.memory: dict[bytes, tuple] = {}
+        self.held = 0
 
-    def _segment(self, word: bytes, variant: int) -> list[int]:
-        """Merge one chunk by the agenda of its candidates."""
+    def _segment(self, word: bytes, skips) -> tuple[list[int], int]:
+        """Merge one chunk by the agenda of its candidates without those numbered ``skips``; the pieces, and how many candidates there were."""
         chars = word.decode("utf-8", "surrogateescape")
         size = self.size
         symbols = list(map(self.of_char.get, chars, repeat(size)))
-        key = xxhash.xxh3_64_intdigest(word, self.seed * 1_000_003 + variant) & 0xFFFFFFFF if self.limit else 0
         short = len(symbols) <= SHORT and self.short_ties and b"  " not in word
-        symbols, ends = self._merge_short(symbols, key) if short else self._merge_long(symbols, key)
+        symbols, ends, asked = (self._merge_short if short else self._merge_long)(symbols, frozenset(skips))
         if size not in symbols:
-            return symbols
+            return symbols, asked
         out, at = [], 0
         for symbol, end in zip(symbols, ends):
             if symbol == size:
@@ -108,24 +108,21 @@ class Codec:
             else:
                 out.append(symbol)
             at = end
-        return out
-
-    def _skip(self, key: int, start: int, end: int, piece: int) -> bool:
-        """Tabulation hash of the candidate's place and piece, keyed by word, variant and seed."""
-        return (key ^ self.piece_key[piece] ^ self.start_key[start & 1023] ^ self.end_key[end & 1023]) < self.limit
+        return out, asked
 
-    def _merge_short(self, symbols: list[int], key: int) -> tuple[list[int], list[int]]:
-        """Symbols that remain and their ends; the least candidate has the best rank, and the first of equals is taken."""
-        get, limit, own = self.pairs.get, self.limit, self.own
-        piece_key, start_key, end_key = self.piece_key, self.start_key, self.end_key
+    def _merge_short(self, symbols: list[int], skips: frozenset) -> tuple[list[int], list[int], int]:
+        """Symbols that remain, their ends and the number of candidates; the least candidate has the best rank, and the first of equals is taken."""
+        get, own, asked = self.pairs.get, self.own, 0
         ends = list(range(1, len(symbols) + 1))
-        found, a, at = [], symbols[0], 0
+        found, a = [], symbols[0]
         for b in symbols[1:]:
             x = get(a << 20 | b, _NONE)
-            if x < _NONE and limit and key ^ piece_key[x & 0xFFFFF] ^ start_key[at] ^ end_key[at + 2] < limit:
-                x = _NONE
+            if x < _NONE:
+                if asked in skips:
+                    x = _NONE
+                asked += 1
             found.append(x)
-            a, at = b, at + 1
+            a = b
         while found:
             best = min(found)
             if best == _NONE:
@@ -135,74 +132,126 @@ class Codec:
             del symbols[i + 1], ends[i], found[i]
             if i:
                 x = get(symbols[i - 1] << 20 | s, _NONE)
-                if x < _NONE and limit and key ^ piece_key[x & 0xFFFFF] ^ start_key[ends[i - 2] if i > 1 else 0] ^ end_key[ends[i]] < limit:
-                    x = _NONE
+                if x < _NONE:
+                    if asked in skips:
+                        x = _NONE
+                    asked += 1
                 found[i - 1] = x
             if i < len(found):
                 x = get(s << 20 | symbols[i + 1], _NONE)
-                if x < _NONE and limit and key ^ piece_key[x & 0xFFFFF] ^ start_key[ends[i - 1] if i else 0] ^ end_key[ends[i + 1]] < limit:
-                    x = _NONE
+                if x < _NONE:
+                    if asked in skips:
+                        x = _NONE
+                    asked += 1
                 found[i] = x
-        return symbols, ends
+        return symbols, ends, asked
 
-    def _merge_long(self, symbols: list[int], key: int) -> tuple[list[int], list[int]]:
-        n, pairs, limit = len(symbols), self.pairs, self.limit
+    def _merge_long(self, symbols: list[int], skips: frozenset) -> tuple[list[int], list[int], int]:
+        n, pairs, asked = len(symbols), self.pairs, 0
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda: list[tuple[int, int, int, int, int]] = []
 
         def offer(left: int) -> None:
+            nonlocal asked
             right = after[left]
             if right < n:
                 merged = pairs.get(symbols[left] << 20 | symbols[right])
                 if merged is not None:
-                    piece, end = merged & 0xFFFFF, after[right]
-                    if not limit or not self._skip(key, left, end, piece):
-                        heapq.heappush(agenda, (merged >> 20, left, end, piece, symbols[left]))
+                    if asked not in skips:
+                        heapq.heappush(agenda, (merged >> 20, left, after[right], merged & 0xFFFFF, symbols[left], asked))
+                        live[left] = asked
+                    asked += 1
 
+        live: dict[int, int] = {}
         for i in range(n - 1):
             offer(i)
         while agenda:
-            _, left, end, piece, was = heapq.heappop(agenda)
+            _, left, end, piece, was, number = heapq.heappop(agenda)
             right = after[left]
-            if symbols[left] != was or right >= n or after[right] != end or pairs.get(was << 20 | symbols[right], 0) & 0xFFFFF != piece:
+            if live.get(left) != number or symbols[left] != was or right >= n or after[right] != end or pairs.get(was << 20 | symbols[right], 0) & 0xFFFFF != piece:
                 continue
             symbols[left], symbols[right] = piece, -1
             after[left] = end
             if end < n:
                 before[end] = left
-                offer(left)
             if before[left] >= 0:
                 offer(before[left])
+            if end < n:
+                offer(left)
         left, ends, i = [], [], 0
         while i < n:
             left.append(symbols[i])
             ends.append(after[i])
             i = after[i]
-        return left, ends
+        return left, ends, asked
+
+    def _remember(self, part: bytes, skips: tuple[int, ...], under: dict, key) -> tuple:
+        """(candidates, pieces, what follows for each next skip) of a chunk after ``skips``, kept in ``under``."""
+        ids, asked = self._segment(part, skips)
+        node = asked, ids, {}
+        if self.held < self.remembered:
+            self.held += 1
+            under[key] = node
+        return node
+
+    def _next(self, draw: int) -> tuple[int, int]:
+        """The next hash, and how many candidates pass before the next skip."""
+        draw = ((draw ^ draw >> 29) * 0xBF58476D1CE4E5B9 + 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
+        return draw, int(math.log(((draw ^ draw >> 32) >> 11) * 2.0**-53 + 2.0**-54) * self.per_log)
+
+    def _skipped(self, part: bytes, node: tuple, gap: int, draw: int) -> list[int]:
+        """The chunk's pieces when at least its candidate ``gap`` is skipped; later skips follow from ``draw``."""
+        skips: tuple[int, ...] = ()
+        while gap < node[0]:
+            skips += (gap,)
+            node = node[2].get(gap) or self._remember(part, skips, node[2], gap)
+            draw, more = self._next(draw)
+            gap += 1 + more
+        return node[1]
+
+    def _long(self, part: bytes, gap: int, draw: int) -> list[int]:
+        """The pieces of a chunk that isn't remembered: each symbol brings one candidate at most, and each merge two."""
+        skips = []
+        while gap < 3 * len(part):
+            skips.append(gap)
+            draw, more = self._next(draw)
+            gap += 1 + more
+        return self._segment(part, skips)[0]
+
+    def _draws(self, key: int, n: int) -> np.ndarray:
+        """A hash for each place of the document."""
+        base = mix(np.array([(key * 0x9E3779B97F4A7C15 + self.seed) & 0xFFFFFFFFFFFFFFFF], np.uint64))
+        draws = mix(np.arange(n, dtype=np.uint64) + base)
+        if self.variants:
+            draws = mix(draws % np.uint64(self.variants) + np.uint64((self.seed * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))
+        return draws
 
     def encode(self, utf8: bytes | None, key: int = 0) -> list[int]:
         if not utf8:
             return []
         parts = self.chunks.findall(b" " + utf8)
         out: list[int] = []
-        extend = out.extend
-        if self.variants == 1:
-            which = [0] * len(parts)
+        extend, memory = out.extend, self.memory
+        if self.dropout > 0:
+            draws = self._draws(key, len(parts))
+            gaps = np.log((draws >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54) * self.per_log
+            gaps = np.minimum(gaps, float(_NONE)).astype(np.int64).tolist()
         else:
-            base = np.uint64((key * 0x9E3779B97F4A7C15 + self.seed) & 0xFFFFFFFFFFFFFFFF)
-            which = (mix(np.arange(len(parts), dtype=np.uint64) + base) % np.uint64(self.variants)).tolist()
-        memory, few = self.memory, min(2, self.variants)
-        for part, variant in zip(parts, which):
-            if len(part) > COMMON_BYTES:
-                variant %= few
-            ids = memory[variant].get(part)
-            if ids is None:
-                ids = self._segment(part, variant)
-                if len(part) <= 64:
-                    if len(memory[variant]) >= self.remembered // few:
-                        memory[variant].clear()
-                    memory[variant][part] = ids
-            extend(ids)
+            draws, gaps = np.zeros(len(parts), np.uint64), repeat(_NONE)
+        for place, (part, gap) in enumerate(zip(parts, gaps)):
+            node = memory.get(part)
+            if node is None:
+                if len(part) > REMEMBERED_BYTES:
+                    extend(self._long(part, gap, int(draws[place])))
+                    continue
+                if self.held >= self.remembered:
+                    memory.clear()
+                    self.held = 0
+                node = self._remember(part, (), memory, part)
+            if gap >= node[0]:
+                extend(node[1])
+            else:
+                extend(self._skipped(part, node, gap, int(draws[place])))
         return out
 
     def decode(self, ids) -> bytes:
@@ -212,7 +261,7 @@ class Codec:
 _LAST: list = [None, None]
 
 
-def codec(pieces, dropout: float = 0.0, seed: int = 0, variants: int = 1) -> Codec:
+def codec(pieces, dropout: float = 0.0, seed: int = 0, variants: int = VARIANTS) -> Codec:
     """The process's last codec if it has the same parameters: later tasks find what earlier ones remembered."""
     key = (hash(tuple(p for p, *_ in pieces)), dropout, seed, variants)
     if _LAST[0] != key:

@@ -267,6 +267,23 @@ def test_dropout_is_lossless_seeded_and_varied(spark, pieces, docs, awkward):
     assert sorted(r["text"] for r in back.collect()) == sorted(r[0] for r in want)
 
 
+def test_dropout_differs_by_document_and_place(pieces, monkeypatch):
+    codec = sentencepiece_codec.Codec(pieces, sentencepiece_codec.DROPOUT, sentencepiece_codec.SEED, sentencepiece_codec.VARIANTS)
+    by_document = collections.Counter(tuple(codec.encode(b"undoubtedly", k)) for k in range(2000))
+    by_place = codec.encode(b"undoubtedly " * 2000, 1)
+    assert len(by_document) > 20 and len(set(zip(*[by_place[k:] for k in range(6)]))) > 20
+    # as often without a skip as all of its candidates pass, and the same without memory
+    asked = codec.memory[b" undoubtedly"][0]
+    best = tuple(sentencepiece_codec.Codec(pieces).encode(b"undoubtedly"))
+    assert asked > 5 and by_document[best] / 2000 >= 0.9**asked - 0.04
+    fresh = lambda: sentencepiece_codec.Codec(pieces, 0.1, 17, sentencepiece_codec.VARIANTS, remembered=1)
+    assert by_place == fresh().encode(b"undoubtedly " * 2000, 1)
+    monkeypatch.setattr(sentencepiece_codec, "REMEMBERED_BYTES", 0)
+    assert by_place == fresh().encode(b"undoubtedly " * 2000, 1)
+    rate = lambda p: len(sentencepiece_codec.Codec(pieces, p, 3, sentencepiece_codec.VARIANTS).encode(b"undoubtedly " * 500, 1))
+    assert rate(0) < rate(0.1) < rate(0.5) < rate(1.0) == len("undoubtedly ") * 500 + 1
+
+
 def test_long_and_short_merges_agree(pieces, docs, monkeypatch):
     texts = [(i, t.encode()) for i, t, _ in list(docs.values())[:50]]
     a = [sentencepiece_codec.Codec(pieces, 0.3, 7, 3).encode(t, i) for i, t in texts]
