@@ -309,8 +309,9 @@ def founders_only(spark, sf):
 UNION ALL SELECT sample, locus + 500, CASE WHEN a2 = 'A' THEN 'T' ELSE a2 END, CASE WHEN a1 = 'A' THEN 'T' ELSE a1 END FROM geno WHERE locus < 10 AND sample % 2 = 0 AND a1 = a2""")
 def transform_spec(spark, sf):
     one = lambda xs, name: spark.createDataFrame([(x,) for x in xs], f"{name} long")
+    even = v.triples(spark, sf).select("sample").where("sample % 2 = 0")
     spec = g.Transform(
-        include={"locus": [one(range(10), "locus"), one(range(20), "locus")], "sample": [one(range(0, 2000, 2), "sample")]},
+        include={"locus": [one(range(10), "locus"), one(range(20), "locus")], "sample": [even]},
         rename={"locus": spark.createDataFrame([(i, i + 500) for i in range(10)], "old long, new long")},
         alleles=spark.createDataFrame([(i, "A", "T") for i in range(10)], "locus long, old string, new string"),
     )

@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from oracle import compare
+from strataloom import catalog
 from strataloom.functions import sequences as sq
 from strataloom.functions import statistics as st
 from strataloom.operators import columns as co
@@ -173,3 +175,10 @@ def test_fasta_and_bed(spark, tmp_path):
 
 def test_normal():
     assert abs(st.normal_ppf(0.975) - 1.959963984540054) < 1e-9 and math.isclose(st.normal_sf2(1.959963984540054), 0.05, rel_tol=1e-9)
+
+
+def test_transform_spec_takes_all_even_samples(spark, tmp_path):
+    rows = [(s, s % 40, s, line, flag) for s in (2, 1998, 2000, 2041, 2042, 60_002, 60_003) for line, flag in ((1, "A"), (2, "A"), (3, "R"))]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_orderkey long, l_linenumber int, l_returnflag string").coalesce(1).write.parquet(str(tmp_path / "lineitem"))
+    (next((tmp_path / "lineitem").glob("*.parquet"))).rename(tmp_path / "lineitem.parquet")
+    assert compare(spark, str(tmp_path), "transform_spec", catalog.QUERIES["transform_spec"], catalog.ORACLE_SQL["transform_spec"]) == 4
