@@ -27,6 +27,8 @@ from strataloom.llm.toxicity import remainder
 #: Most rows of each language that the model is fitted on, and counts below which a word or n-gram is unseen.
 SAMPLE_ROWS, LEAST_WORD, LEAST_GRAM = 4_000, 3, 3
 LONGEST = 4
+#: Letters of the longest word whose evidence is remembered; longer ones are read whole each time.
+REMEMBERED_LETTERS = 60
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -51,7 +53,7 @@ class Backoff:
         """Mean over places of the longest known n-gram that starts there, as one word's evidence."""
         known = self.unseen.get(word)
         if known is None:
-            w = f"^{word[:60]}$" if len(word) > 60 else f"^{word}$"
+            w = f"^{word}$"
             total, get = np.zeros(len(self.languages)), self.grams.get
             for i in range(len(w) - 1):
                 for n in range(min(LONGEST, len(w) - i), 0, -1):
@@ -64,7 +66,7 @@ class Backoff:
             known = total * (2.0 / (len(w) - 1))
             if len(self.unseen) >= 100_000:
                 self.unseen.clear()
-            if len(word) <= 60:
+            if len(word) <= REMEMBERED_LETTERS:
                 self.unseen[word] = known
         return known
 
@@ -135,7 +137,7 @@ def train(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col:
                 for word, times in Counter(word_list(text)).items():
                     counts[lang, 0, word] += times
                     for n in range(1, LONGEST + 1):
-                        for g in char_grams(word[:60], n):
+                        for g in char_grams(word, n):
                             counts[lang, n, g] += times
                 if len(counts) > 400_000:
                     yield flush()

@@ -234,6 +234,14 @@ def test_language_held_out(spark, sf, docs, awkward):
     assert by.count() == awkward.count() and by.where("id IN (2, 3, 4, 9) AND lang_pred <> 'und'").count() == 0
 
 
+def test_language_reads_words_whole(spark):
+    model = langid.fit([("de", 3, "sch", 9), ("en", 3, "the", 9)])
+    assert model.predict("x" * 60 + "the" * 9)[0] == "en" and model.predict("x" * 60 + "sch" * 9)[0] == "de"
+    rows = [(i, "x" * 60 + tail + chr(97 + i), lang) for i in range(9) for tail, lang in (("the", "en"), ("sch", "de"))]
+    fitted = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert {"the", "sch", "xthe"} <= set(fitted.grams) and "xx$" not in fitted.grams
+
+
 # --- 7 ---
 
 
