@@ -1,26 +1,28 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding.
 
 The pieces and scores of a merge-type model are read on the driver from ``model_path`` (a parameter; never copied) and sent to the executors.
-Encoding runs the agenda of candidate merges, best score first and leftmost of equals. Each candidate is skipped with
-probability ``dropout``, by hashes keyed by the seed, the document's id and the chunk's place in it: a hash gives how many candidates pass
-until the next one is skipped. So any segmentation can occur at any place; everything is reproducible from seed, id and text.
-What a chunk becomes after each sequence of skips is remembered, which changes no result.
+Encoding runs the agenda of candidate merges, best score first and leftmost of equals. A candidate is the pair of neighbouring symbols at
+[start, mid) and [mid, end) of a chunk; it is skipped with probability ``dropout``, by a hash of the seed, the document's id, the chunk's place in
+the document, and start, mid and end. So any segmentation can occur at any place; everything is reproducible from seed, id and text.
 
-Characters outside the vocabulary, and the space marker itself, become byte pieces, so decoding gives
-back every text exactly.
+Many chunks are merged at once: their symbols, links and ranks are rows of arrays, and each round merges the best candidate of every row. A chunk
+type's merges without skips, and the candidates offered on the way, are remembered; an occurrence that skips none of those has the
+remembered pieces, and all others are merged anew. Chunks of more than ``WIDE`` symbols run through an agenda of their own.
 
-Defined results: a null or empty text has no pieces and decodes to the empty text. Repeated rows encode
-alike. A null id keys as 0. An empty table gives an empty result.
+Characters outside the vocabulary, and the space marker itself, become byte pieces, so decoding gives back every text exactly.
+
+Defined results: a null or empty text has no pieces and decodes to the empty text. Very long texts are merged in slices of bounded size, which change
+no result. Repeated rows encode alike. A null id keys as 0. Other columns are not read, whatever their names. An empty table gives an empty result. A missing
+model file, or a model without all byte pieces, is an error before any job starts.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
-import math
 import re
-from collections import Counter
-from itertools import repeat
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -30,14 +32,16 @@ from strataloom.llm.hashing import mix
 from strataloom.llm.text import columns, utf8_column
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-#: Variants limits the keys that a chunk's skips are drawn from, 0 not at all.
-DROPOUT, SEED, VARIANTS = 0.1, 17, 0
-#: Segmentations that a task remembers, and bytes of the longest chunk remembered.
-REMEMBERED, REMEMBERED_BYTES = 1_000_000, 64
-#: Chunks up to this many characters look for the best candidate in a list; longer ones keep a heap.
-SHORT = 24
+DROPOUT, SEED = 0.1, 17
+#: Chunks merged at once, chunk types remembered, and symbols of the widest row of an array.
+SLICE, REMEMBERED, WIDE = 60_000, 150_000, 32
+#: Bytes from which a text's chunks are read one after another, and pieces handed on at once.
+LONG_TEXT, HANDED_ON = 1 << 20, 2_000_000
 MARK = "▁"
-_NONE = 1 << 62
+_NONE = np.int32(0x7FFFFFFF)
+_M64 = 0xFFFFFFFFFFFFFFFF
+#: Odd factors of start, mid and end in a candidate's hash.
+_START, _MID, _END, _F1, _F2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
 
 _LETTER = rb"(?:[A-Za-z]|\xc3[\x80-\xbf])"
 _WITH_STOPS = re.compile(rb"\n| *" + _LETTER + rb"+(?=[^A-Za-z\x80-\xff \n])| *[^ \n]+| +")
@@ -45,43 +49,77 @@ _PLAIN = re.compile(rb"\n| *[^ \n]+| +")
 _WHOLE = re.compile(rb"(?s).+")
 
 
+def _scramble(x):
+    """The candidate's hash from its draw plus its code, for arrays."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(_F1)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(_F2)
+    return x ^ (x >> np.uint64(32))
+
+
+def _code(start, mid, end):
+    return start.astype(np.uint64) * np.uint64(_START) + mid.astype(np.uint64) * np.uint64(_MID) + end.astype(np.uint64) * np.uint64(_END)
+
+
+def _ragged(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of each element of rows that begin at ``starts`` of a flat array."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    first = np.cumsum(counts) - counts
+    return row, np.arange(len(row)) + (starts - first)[row]
+
+
+class _Rows:
+    """Rows of unequal length in one growing array."""
+
+    def __init__(self, dtype):
+        self.flat, self.used = np.empty(1024, dtype), 0
+
+    def add(self, values: np.ndarray) -> int:
+        """Where the values begin."""
+        at, self.used = self.used, self.used + len(values)
+        if self.used > len(self.flat):
+            grown = np.empty(max(self.used, 2 * len(self.flat)), self.flat.dtype)
+            grown[:at] = self.flat[:at]
+            self.flat = grown
+        self.flat[at : self.used] = values
+        return at
+
+
 class Codec:
     """Merges of a model: pairs of pieces to the merged piece, ranked by score."""
 
-    def __init__(self, pieces: list[tuple[str, float, bool, bool]], dropout: float = 0.0, seed: int = 0, variants: int = VARIANTS, remembered: int = REMEMBERED):
+    def __init__(self, pieces: list[tuple[str, float, bool, bool]], dropout: float = 0.0, seed: int = 0, remembered: int = REMEMBERED):
         """pieces: (piece, score, is a byte, is a normal piece) by id."""
-        self.dropout, self.seed, self.variants, self.remembered = dropout, seed, variants, remembered
-        #: Candidates until a skip are log(uniform) times this.
-        self.per_log = 0.0 if dropout <= 0 else 1 / math.log1p(-dropout) if dropout < 1 else -0.0
-        self.raw = [b""] * len(pieces)
+        self.dropout, self.seed, self.remembered = dropout, seed, remembered
+        #: Hashes below this skip; a dropout of 1 skips all.
+        self.threshold = min(int(dropout * 2.0**64), _M64) if dropout > 0 else 0
+        raw = [b""] * len(pieces)
         self.of_byte, self.of_char = {}, {}
         normal = {}
         for i, (piece, _, is_byte, is_normal) in enumerate(pieces):
             if is_byte:
                 value = int(piece[3:5], 16)
-                self.raw[i], self.of_byte[value] = bytes([value]), i
+                raw[i], self.of_byte[value] = bytes([value]), i
             elif is_normal:
-                self.raw[i] = piece.replace(MARK, " ").encode()
+                raw[i] = piece.replace(MARK, " ").encode()
                 normal[piece] = i
                 if len(piece) == 1:
                     self.of_char[piece.replace(MARK, " ")] = i
-        by_score = sorted(normal.values(), key=lambda i: (-pieces[i][1], i))
+        if len(self.of_byte) < 256:
+            raise ValueError("the model has no piece for every byte")
+        self.raw_bytes = np.frombuffer(b"".join(raw), np.uint8)
+        self.raw_counts = np.array([len(x) for x in raw])
+        self.raw_starts = np.cumsum(self.raw_counts) - self.raw_counts
         rank, level, last = {}, -1, None
-        for i in by_score:  # equal scores share a rank
+        for i in sorted(normal.values(), key=lambda i: (-pieces[i][1], i)):  # equal scores share a rank
             level += pieces[i][1] != last
             rank[i], last = level, pieces[i][1]
-        self.own = list(range(len(pieces) + 1))
-        #: Pieces of equal score must be merged leftmost first; the short way does so if only runs of spaces share one.
-        ranks = Counter(rank.values())
-        self.short_ties = all("  " in p.replace(MARK, " ") or len(p) < 2 for p, i in normal.items() if ranks[rank[i]] > 1)
-        #: Characters without a piece are known by numbers beyond the pieces; no pair merges them.
-        self.size = len(pieces)
-        self.pairs = {}
+        pairs = {}
         for piece, i in normal.items():
             for cut in range(1, len(piece)):
                 a, b = normal.get(piece[:cut]), normal.get(piece[cut:])
                 if a is not None and b is not None:
-                    self.pairs[a << 20 | b] = (rank[i] << 20) | i
+                    pairs[a << 20 | b] = (rank[i], i)
+        self._tabulate(pairs)
         text = [p.replace(MARK, " ").encode() for p in normal]
         if any(re.search(rb"[^ ] |\n", t) for t in text):
             self.chunks = _WHOLE
@@ -89,183 +127,258 @@ class Codec:
             self.chunks = _PLAIN
         else:
             self.chunks = _WITH_STOPS
-        self.memory: dict[bytes, tuple] = {}
-        self.held = 0
-
-    def _segment(self, word: bytes, skips) -> tuple[list[int], int]:
-        """Merge one chunk by the agenda of its candidates without those numbered ``skips``; the pieces, and how many candidates there were."""
-        chars = word.decode("utf-8", "surrogateescape")
-        size = self.size
-        symbols = list(map(self.of_char.get, chars, repeat(size)))
-        short = len(symbols) <= SHORT and self.short_ties and b"  " not in word
-        symbols, ends, asked = (self._merge_short if short else self._merge_long)(symbols, frozenset(skips))
-        if size not in symbols:
-            return symbols, asked
-        out, at = [], 0
-        for symbol, end in zip(symbols, ends):
-            if symbol == size:
-                out += [self.of_byte[b] for b in chars[at].encode("utf-8", "surrogateescape")]
-            else:
-                out.append(symbol)
-            at = end
-        return out, asked
-
-    def _merge_short(self, symbols: list[int], skips: frozenset) -> tuple[list[int], list[int], int]:
-        """Symbols that remain, their ends and the number of candidates; the least candidate has the best rank, and the first of equals is taken."""
-        get, own, asked = self.pairs.get, self.own, 0
-        ends = list(range(1, len(symbols) + 1))
-        found, a = [], symbols[0]
-        for b in symbols[1:]:
-            x = get(a << 20 | b, _NONE)
-            if x < _NONE:
-                if asked in skips:
-                    x = _NONE
-                asked += 1
-            found.append(x)
-            a = b
-        while found:
-            best = min(found)
-            if best == _NONE:
+        self._forget()
+
+    def _tabulate(self, pairs: dict) -> None:
+        """The pairs as an open hash table; an empty place ends a search."""
+        bits = max(4, (8 * len(pairs)).bit_length())
+        self.shift, self.places = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.pair = np.full(1 << bits, -1, np.int64)
+        self.pair_rank, self.pair_piece = np.full(1 << bits, _NONE, np.int32), np.zeros(1 << bits, np.int32)
+        for key, (rank, piece) in pairs.items():
+            at = (key * _START & _M64) >> (64 - bits)
+            while self.pair[at] >= 0:
+                at = (at + 1) & int(self.places)
+            self.pair[at], self.pair_rank[at], self.pair_piece[at] = key, rank, piece
+
+    def _place(self, key: np.ndarray) -> np.ndarray:
+        """Where the pairs stand in the table; pairs that it hasn't have an empty place, of no rank."""
+        at = ((key.astype(np.uint64) * np.uint64(_START)) >> self.shift).astype(np.int64)
+        found = self.pair[at]
+        on = np.flatnonzero((found != key) & (found >= 0))
+        while len(on):
+            at[on] = (at[on] + 1) & self.places
+            found = self.pair[at[on]]
+            on = on[(found != key[on]) & (found >= 0)]
+        return at
+
+    def _forget(self) -> None:
+        self.types: dict[bytes, int] = {}
+        self.symbols, self.pieces, self.codes = _Rows(np.int32), _Rows(np.int32), _Rows(np.uint64)
+        #: Of each type, where its symbols, pieces and codes begin and how many they are.
+        self.spans = np.zeros((1024, 6), np.int64)
+
+    def first_symbols(self, part: bytes) -> list[int]:
+        """A piece for each character, or for each byte of one without a piece; byte pieces are never merged."""
+        chars = part.decode("utf-8", "surrogateescape")
+        out = list(map(self.of_char.get, chars))
+        if None in out:
+            each = ([x] if x is not None else [self.of_byte[b] for b in c.encode("utf-8", "surrogateescape")] for x, c in zip(out, chars))
+            out = list(chain.from_iterable(each))
+        return out
+
+    def _merge_rows(self, flat: np.ndarray, counts: np.ndarray, draws: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Merge rows of symbols at once: (pieces, how many of each row); without draws nothing is skipped, and (row, code) of all candidates follow."""
+        n, width = len(counts), int(counts.max()) + 1
+        row, place = np.repeat(np.arange(n), counts), np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
+        symbols = np.full((n, width), -1, np.int64)
+        symbols[row, place] = flat
+        after = np.broadcast_to(np.minimum(np.arange(1, width + 1), width - 1), (n, width)).copy()
+        before = np.broadcast_to(np.arange(-1, width - 1), (n, width)).copy()
+        ranks, merged = np.full((n, width), _NONE, np.int32), np.zeros((n, width), np.int32)
+        s, nxt, prv, rk, mg = symbols.ravel(), after.ravel(), before.ravel(), ranks.ravel(), merged.ravel()
+        none = np.empty(0, np.int64)
+        asked: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def offer(rows: np.ndarray, left: np.ndarray) -> None:
+            at = rows * width
+            mid = nxt[at + left]
+            b = s[at + mid]
+            found = self._place((s[at + left] << 20) | np.maximum(b, 0))
+            rank = np.where(b >= 0, self.pair_rank[found], _NONE)
+            on = np.flatnonzero(rank != _NONE)
+            if len(on):
+                code = _code(left[on], mid[on], nxt[(at + mid)[on]])
+                if draws is None:
+                    asked.append((rows[on], code))
+                elif self.threshold:
+                    rank[on[_scramble(draws[rows[on]] + code) < np.uint64(self.threshold)]] = _NONE
+            rk[at + left], mg[at + left] = rank, self.pair_piece[found]
+
+        inner = place < counts[row] - 1
+        offer(row[inner], place[inner])
+        rows = np.arange(n)
+        while len(rows):
+            best = ranks[rows].argmin(axis=1)
+            at = rows * width + best
+            live = rk[at] != _NONE
+            rows, best, at = rows[live], best[live], at[live]
+            if not len(rows):
                 break
-            i = found.index(best)
-            symbols[i] = s = own[best & 0xFFFFF]
-            del symbols[i + 1], ends[i], found[i]
-            if i:
-                x = get(symbols[i - 1] << 20 | s, _NONE)
-                if x < _NONE:
-                    if asked in skips:
-                        x = _NONE
-                    asked += 1
-                found[i - 1] = x
-            if i < len(found):
-                x = get(s << 20 | symbols[i + 1], _NONE)
-                if x < _NONE:
-                    if asked in skips:
-                        x = _NONE
-                    asked += 1
-                found[i] = x
-        return symbols, ends, asked
-
-    def _merge_long(self, symbols: list[int], skips: frozenset) -> tuple[list[int], list[int], int]:
-        n, pairs, asked = len(symbols), self.pairs, 0
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda: list[tuple[int, int, int, int, int]] = []
+            line = rows * width
+            right = nxt[at]
+            end = nxt[line + right]
+            end = np.where(end == right, width - 1, end)  # only the unused last place follows itself
+            s[at], s[line + right], rk[line + right] = mg[at], -1, _NONE
+            nxt[at], prv[line + end] = end, best
+            left = prv[at]
+            has = left >= 0
+            offer(np.concatenate((rows, rows[has])), np.concatenate((best, left[has])))
+        held = symbols >= 0
+        keys = (np.concatenate(x) for x in zip(*asked)) if asked else (none, none.astype(np.uint64))
+        return symbols[held].astype(np.int32), held.sum(1), *keys
+
+    def _merge_long(self, symbols: list[int], draw: int | None) -> list[int]:
+        """The same merges for one chunk of any length."""
+        n, after, before = len(symbols), list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
+        pair, table_rank, table_piece, places, shift = self.pair, self.pair_rank, self.pair_piece, int(self.places), int(self.shift)
+        agenda: list[tuple[int, int, int, int, int, int]] = []
 
         def offer(left: int) -> None:
-            nonlocal asked
-            right = after[left]
-            if right < n:
-                merged = pairs.get(symbols[left] << 20 | symbols[right])
-                if merged is not None:
-                    if asked not in skips:
-                        heapq.heappush(agenda, (merged >> 20, left, after[right], merged & 0xFFFFF, symbols[left], asked))
-                        live[left] = asked
-                    asked += 1
-
-        live: dict[int, int] = {}
+            mid = after[left]
+            if mid >= n:
+                return
+            key = symbols[left] << 20 | symbols[mid]
+            at = (key * _START & _M64) >> shift
+            while (found := pair[at]) != key:
+                if found < 0:
+                    return
+                at = (at + 1) & places
+            end = after[mid]
+            if draw is not None and self.threshold:
+                x = (draw + left * _START + mid * _MID + end * _END) & _M64
+                x = (x ^ x >> 32) * _F1 & _M64
+                x = (x ^ x >> 29) * _F2 & _M64
+                if x ^ x >> 32 < self.threshold:
+                    return
+            heapq.heappush(agenda, (int(table_rank[at]), left, mid, end, int(table_piece[at]), key))
+
         for i in range(n - 1):
             offer(i)
         while agenda:
-            _, left, end, piece, was, number = heapq.heappop(agenda)
-            right = after[left]
-            if live.get(left) != number or symbols[left] != was or right >= n or after[right] != end or pairs.get(was << 20 | symbols[right], 0) & 0xFFFFF != piece:
+            _, left, mid, end, piece, key = heapq.heappop(agenda)
+            if symbols[left] < 0 or after[left] != mid or symbols[mid] < 0 or after[mid] != end or symbols[left] << 20 | symbols[mid] != key:
                 continue
-            symbols[left], symbols[right] = piece, -1
-            after[left] = end
+            symbols[left], symbols[mid], after[left] = piece, -1, end
             if end < n:
                 before[end] = left
+                offer(left)
             if before[left] >= 0:
                 offer(before[left])
-            if end < n:
-                offer(left)
-        left, ends, i = [], [], 0
-        while i < n:
-            left.append(symbols[i])
-            ends.append(after[i])
-            i = after[i]
-        return left, ends, asked
-
-    def _remember(self, part: bytes, skips: tuple[int, ...], under: dict, key) -> tuple:
-        """(candidates, pieces, what follows for each next skip) of a chunk after ``skips``, kept in ``under``."""
-        ids, asked = self._segment(part, skips)
-        node = asked, ids, {}
-        if self.held < self.remembered:
-            self.held += 1
-            under[key] = node
-        return node
-
-    def _next(self, draw: int) -> tuple[int, int]:
-        """The next hash, and how many candidates pass before the next skip."""
-        draw = ((draw ^ draw >> 29) * 0xBF58476D1CE4E5B9 + 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
-        return draw, int(math.log(((draw ^ draw >> 32) >> 11) * 2.0**-53 + 2.0**-54) * self.per_log)
-
-    def _skipped(self, part: bytes, node: tuple, gap: int, draw: int) -> list[int]:
-        """The chunk's pieces when at least its candidate ``gap`` is skipped; later skips follow from ``draw``."""
-        skips: tuple[int, ...] = ()
-        while gap < node[0]:
-            skips += (gap,)
-            node = node[2].get(gap) or self._remember(part, skips, node[2], gap)
-            draw, more = self._next(draw)
-            gap += 1 + more
-        return node[1]
-
-    def _long(self, part: bytes, gap: int, draw: int) -> list[int]:
-        """The pieces of a chunk that isn't remembered: each symbol brings one candidate at most, and each merge two."""
-        skips = []
-        while gap < 3 * len(part):
-            skips.append(gap)
-            draw, more = self._next(draw)
-            gap += 1 + more
-        return self._segment(part, skips)[0]
-
-    def _draws(self, key: int, n: int) -> np.ndarray:
-        """A hash for each place of the document."""
-        base = mix(np.array([(key * 0x9E3779B97F4A7C15 + self.seed) & 0xFFFFFFFFFFFFFFFF], np.uint64))
-        draws = mix(np.arange(n, dtype=np.uint64) + base)
-        if self.variants:
-            draws = mix(draws % np.uint64(self.variants) + np.uint64((self.seed * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))
-        return draws
+        return [x for x in symbols if x >= 0]
+
+    def _numbers(self, parts: list[bytes]) -> np.ndarray:
+        """The type of each chunk, -1 for one too wide; new types are merged without skips."""
+        if len(self.types) >= self.remembered:
+            self._forget()
+        types, new, rows = self.types, [], []
+        for part in set(parts).difference(types):
+            symbols = self.first_symbols(part) if len(part) <= 4 * WIDE else ()
+            if 0 < len(symbols) <= WIDE:
+                new.append(part)
+                rows.append(symbols)
+        if new:
+            by = sorted(range(len(new)), key=lambda i: len(rows[i]))
+            need = len(types) + len(new)
+            if need > len(self.spans):
+                self.spans = np.concatenate((self.spans, np.zeros((max(need, len(self.spans)), 6), np.int64)))
+            for at in range(0, len(by), SLICE // 4):
+                some = by[at : at + SLICE // 4]
+                counts = np.array([len(rows[i]) for i in some])
+                flat = np.array([x for i in some for x in rows[i]], np.int32)
+                pieces, n_pieces, owner, code = self._merge_rows(flat, counts, None)
+                order = np.argsort(owner, kind="stable")
+                n_codes = np.bincount(owner, minlength=len(some))
+                spans, first = self.spans[len(types) : len(types) + len(some)], len(types)
+                for k, (store, values, n) in enumerate(((self.symbols, flat, counts), (self.pieces, pieces, n_pieces), (self.codes, code[order], n_codes))):
+                    spans[:, 2 * k], spans[:, 2 * k + 1] = store.add(values) + np.cumsum(n) - n, n
+                types.update((new[i], first + k) for k, i in enumerate(some))
+        return np.fromiter((types.get(p, -1) for p in parts), np.int64, len(parts))
+
+    def _slice(self, parts: list[bytes], draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pieces, how many of each chunk) of chunks with these draws."""
+        kind = self._numbers(parts)
+        of = self.spans[kind]
+        counts = np.where(kind >= 0, of[:, 3], 0)
+        again = np.empty(0, np.int64)
+        groups = []
+        if self.threshold:
+            known = np.flatnonzero(kind >= 0)
+            row, at = _ragged(of[known, 4], of[known, 5])
+            skipped = _scramble(draws[known][row] + self.codes.flat[at]) < np.uint64(self.threshold)
+            again = known[np.bincount(row[skipped], minlength=len(known)) > 0]
+            again = again[np.argsort(of[again, 1], kind="stable")]
+            for lo in range(0, len(again), SLICE // 4):
+                rows = again[lo : lo + SLICE // 4]
+                _, at = _ragged(of[rows, 0], of[rows, 1])
+                pieces, n, *_ = self._merge_rows(self.symbols.flat[at], of[rows, 1], draws[rows])
+                counts[rows] = n
+                groups.append((rows, pieces))
+        for i in np.flatnonzero(kind < 0):
+            pieces = np.array(self._merge_long(self.first_symbols(parts[i]), int(draws[i])), np.int32)
+            counts[i] = len(pieces)
+            groups.append((np.array([i]), pieces))
+        begins = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), np.int32)
+        plain = kind >= 0
+        plain[again] = False
+        rows = np.flatnonzero(plain)
+        out[_ragged(begins[rows], counts[rows])[1]] = self.pieces.flat[_ragged(of[rows, 2], counts[rows])[1]]
+        for rows, pieces in groups:
+            out[_ragged(begins[rows], counts[rows])[1]] = pieces
+        return out, counts
+
+    def _chunks(self, utf8: bytes) -> Iterator[list[bytes]]:
+        if len(utf8) < LONG_TEXT:
+            yield self.chunks.findall(b" " + utf8)
+            return
+        found = (m.group() for m in self.chunks.finditer(b" " + utf8))
+        while parts := list(islice(found, SLICE)):
+            yield parts
+
+    def encode_all(self, texts: Iterable[bytes | None], keys: Iterable[int]) -> Iterator[tuple[np.ndarray, list[tuple[int, int, bool]]]]:
+        """Slices of the texts' pieces, each with (text, pieces, exact) of its texts; a text may go on in the next slice. ``exact``: decoding gave its chunks."""
+        held: list[bytes] = []
+        runs: list[tuple[int, int, int, int]] = []
+
+        def flush():
+            number, key, first, n = (np.array(x) for x in zip(*runs))
+            base = mix(key.astype(np.uint64) * np.uint64(_START) + np.uint64(self.seed & _M64))
+            row, place = _ragged(first, n)
+            pieces, counts = self._slice(held, mix(base[row] + place.astype(np.uint64)))
+            ends = np.concatenate(([0], np.cumsum(counts)))[np.concatenate(([0], np.cumsum(n)))]
+            if (same := self.bytes_of(pieces)) == b"".join(held):
+                exact = [True] * len(runs)
+            else:
+                sizes = np.concatenate(([0], np.cumsum(self.raw_counts[pieces])))[ends]
+                cuts = np.concatenate(([0], np.cumsum(n)))
+                exact = [same[a:b] == b"".join(held[c:d]) for a, b, c, d in zip(sizes, sizes[1:], cuts, cuts[1:])]
+            return pieces, list(zip(number.tolist(), np.diff(ends).tolist(), exact))
+
+        for number, (text, key) in enumerate(zip(texts, keys)):
+            if not text:
+                runs.append((number, 0, 0, 0))
+                continue
+            first = 0
+            for parts in self._chunks(text):
+                runs.append((number, key, first, len(parts)))
+                held += parts
+                first += len(parts)
+                if len(held) >= SLICE:
+                    yield flush()
+                    held, runs = [], []
+        if runs:
+            yield flush()
 
     def encode(self, utf8: bytes | None, key: int = 0) -> list[int]:
-        if not utf8:
-            return []
-        parts = self.chunks.findall(b" " + utf8)
-        out: list[int] = []
-        extend, memory = out.extend, self.memory
-        if self.dropout > 0:
-            draws = self._draws(key, len(parts))
-            gaps = np.log((draws >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54) * self.per_log
-            gaps = np.minimum(gaps, float(_NONE)).astype(np.int64).tolist()
-        else:
-            draws, gaps = np.zeros(len(parts), np.uint64), repeat(_NONE)
-        for place, (part, gap) in enumerate(zip(parts, gaps)):
-            node = memory.get(part)
-            if node is None:
-                if len(part) > REMEMBERED_BYTES:
-                    extend(self._long(part, gap, int(draws[place])))
-                    continue
-                if self.held >= self.remembered:
-                    memory.clear()
-                    self.held = 0
-                node = self._remember(part, (), memory, part)
-            if gap >= node[0]:
-                extend(node[1])
-            else:
-                extend(self._skipped(part, node, gap, int(draws[place])))
-        return out
+        return [x for pieces, _ in self.encode_all([utf8], [key]) for x in pieces.tolist()]
+
+    def bytes_of(self, pieces: np.ndarray) -> bytes:
+        """The pieces' bytes, the space before the text included."""
+        return self.raw_bytes[_ragged(self.raw_starts[pieces], self.raw_counts[pieces])[1]].tobytes()
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.raw.__getitem__, ids))[1:]
+        return self.bytes_of(np.asarray(ids, np.int64))[1:]
 
 
 _LAST: list = [None, None]
 
 
-def codec(pieces, dropout: float = 0.0, seed: int = 0, variants: int = VARIANTS) -> Codec:
-    """The process's last codec if it has the same parameters: later tasks find what earlier ones remembered."""
-    key = (hash(tuple(p for p, *_ in pieces)), dropout, seed, variants)
+def codec(pieces, dropout: float = 0.0, seed: int = 0) -> Codec:
+    """The process's last codec if it has the same parameters: its table is built once a worker."""
+    key = (hash(tuple(p for p, *_ in pieces)), dropout, seed)
     if _LAST[0] != key:
-        _LAST[:] = key, Codec(pieces, dropout, seed, variants)
+        _LAST[:] = key, Codec(pieces, dropout, seed)
     return _LAST[1]
 
 
@@ -280,9 +393,8 @@ def read_pieces(path: str = MODEL_PATH) -> list[tuple[str, float, bool, bool]]:
 
 
 def encode(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL_PATH, dropout: float = DROPOUT, seed: int = SEED,
-    variants: int = VARIANTS,
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL_PATH, dropout: float = DROPOUT, seed: int = SEED
+) -> DataFrame:
     """One row per document: id, pieces (ids), n_pieces, lossless (decoding gave back the text)."""
     import pyarrow as pa
 
@@ -291,29 +403,33 @@ def encode(
     schema = pa.schema([("id", pa.int64()), ("pieces", pa.list_(pa.int32())), ("n_pieces", pa.int64()), ("lossless", pa.bool_())])
 
     def run(batches):
-        own = codec(shared.value, dropout, seed, variants)
+        own = codec(shared.value, dropout, seed)
         for batch in batches:
-            ids, ends, exact = [], [0], []
-            for key, text in zip(batch.column(0).to_pylist(), utf8_column(batch, "text")):
-                found = own.encode(text, key or 0)
-                ids.append(np.array(found, np.int32))
-                ends.append(ends[-1] + len(found))
-                exact.append(own.decode(found) == (text or b""))
-                if ends[-1] > 4_000_000:  # hand on long texts before they add up
-                    yield _rows(batch, schema, len(exact) - len(ids), ids, ends, exact[-len(ids) :])
-                    ids, ends = [], [0]
-            if ids:
-                yield _rows(batch, schema, len(exact) - len(ids), ids, ends, exact[-len(ids) :])
+            ids, held, counts, exact, done = batch.column(0), [], [], [], 0
+            for pieces, runs in own.encode_all(utf8_column(batch, "text"), (key or 0 for key in ids.to_pylist())):
+                held.append(pieces)
+                for number, n, same in runs:
+                    if number < done + len(counts):  # the text goes on
+                        counts[-1] += n
+                        exact[-1] &= same
+                    else:
+                        counts.append(n)
+                        exact.append(same)
+                if sum(map(len, held)) >= HANDED_ON and len(counts) > 1:  # the last text may go on
+                    flat, whole = np.concatenate(held), sum(counts[:-1])
+                    yield _rows(ids.slice(done, len(counts) - 1), schema, flat[:whole], counts[:-1], exact[:-1])
+                    done, held, counts, exact = done + len(counts) - 1, [flat[whole:]], counts[-1:], exact[-1:]
+            if counts:
+                yield _rows(ids.slice(done, len(counts)), schema, np.concatenate(held), counts, exact)
 
     return texts.mapInArrow(run, "id long, pieces array<int>, n_pieces long, lossless boolean")
 
 
-def _rows(batch, schema, at, ids, ends, exact):
+def _rows(ids, schema, flat, counts, exact):
     import pyarrow as pa
 
-    pieces = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
-    counts = pa.array(np.diff(ends), pa.int64())
-    return pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ids)), pieces, counts, pa.array(exact, pa.bool_())], schema=schema)
+    pieces = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(flat))
+    return pa.RecordBatch.from_arrays([ids, pieces, pa.array(counts, pa.int64()), pa.array(exact, pa.bool_())], schema=schema)
 
 
 def decode(encoded: DataFrame, id_col: str = "id", pieces_col: str = "pieces", model_path: str = MODEL_PATH) -> DataFrame:

@@ -9,6 +9,7 @@ import re
 import sys
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from oracle import compare, connect  # noqa: E402
 from strataloom.llm import (  # noqa: E402
     components, decontaminate, exact_dedup, langid, license_scan, lm_score, ngram_join, pii, queries, secrets, sentencepiece_codec, toxicity,
 )
-from strataloom.llm.hashing import word_hashes  # noqa: E402
+from strataloom.llm.hashing import mix, word_hashes  # noqa: E402
 from strataloom.plans.workspace import Workspace  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, digest string, id string"
@@ -260,43 +261,76 @@ def test_pieces_equal_the_public_encoder_without_dropout(pieces, docs):
     assert all(codec.encode(t.encode()) == model.encode(t) for t in texts)
 
 
-def test_dropout_is_lossless_seeded_and_varied(spark, pieces, docs, awkward):
+def brute_merges(codec, pieces, symbols, draw):
+    """The best candidate that isn't skipped is merged, the first of equals, until none is left; each is looked for anew."""
+    rank = {p: (-score, i) for i, (p, score, _, normal) in enumerate(pieces) if normal}
+    name = [p for p, *_ in pieces]
+    runs = [(k, k + 1, x) for k, x in enumerate(symbols)]
+    while True:
+        found = []
+        for (a, m, x), (_, e, y) in zip(runs, runs[1:]):
+            if pieces[x][3] and pieces[y][3] and name[x] + name[y] in rank:
+                h = (draw + a * sentencepiece_codec._START + m * sentencepiece_codec._MID + e * sentencepiece_codec._END) % 2**64
+                if not sentencepiece_codec._scramble(np.array([h], np.uint64))[0] < codec.threshold:
+                    found.append((rank[name[x] + name[y]][0], a, e))
+        if not found:
+            return [x for *_, x in runs]
+        _, a, e = min(found)
+        whole = "".join(name[x] for s, t, x in runs if a <= s < e)
+        runs = sorted([r for r in runs if not a <= r[0] < e] + [(a, e, rank[whole][1])])
+
+
+def test_dropout_equals_brute_force(pieces, docs, monkeypatch):
+    codec = sentencepiece_codec.Codec(pieces, 0.2, 7)
+    texts = [t.encode() for _, t, _ in list(docs.values())[:5]] + ["▁ a▁▁ \x00 🙂 " .encode() + b"abcdefghij" * 9]
+    wanted = []
+    for key, text in enumerate(texts):
+        parts = codec.chunks.findall(b" " + text)
+        base = mix(np.array([key], np.uint64) * np.uint64(sentencepiece_codec._START) + np.uint64(7))
+        draws = mix(base + np.arange(len(parts), dtype=np.uint64)).tolist()
+        wanted.append([x for p, d in zip(parts, draws) for x in brute_merges(codec, pieces, codec.first_symbols(p), d)])
+    assert [codec.encode(t, i) for i, t in enumerate(texts)] == wanted
+    for name, value in (("WIDE", 3), ("SLICE", 50), ("LONG_TEXT", 20)):  # other ways to the same result
+        monkeypatch.setattr(sentencepiece_codec, name, value)
+        assert [sentencepiece_codec.Codec(pieces, 0.2, 7, 5).encode(t, i) for i, t in enumerate(texts)] == wanted
+
+
+def test_dropout_is_lossless_and_seeded(spark, pieces, docs, awkward, monkeypatch):
     texts = [t.encode() for _, t, _ in list(docs.values())[:80]] + ["▁ a▁▁ \x00 🙂".encode()]
-    make = lambda seed: sentencepiece_codec.Codec(pieces, 0.2, seed, 4)
+    make = lambda seed: sentencepiece_codec.Codec(pieces, 0.2, seed)
     a, b, c = make(1), make(1), make(2)
     once = [a.encode(t, i) for i, t in enumerate(texts)]
     assert once == [b.encode(t, i) for i, t in enumerate(texts)] != [c.encode(t, i) for i, t in enumerate(texts)]
     assert all(a.decode(e) == t for e, t in zip(once, texts))
-    assert len({tuple(a.encode(b"undoubtedly", k)) for k in range(40)}) > 1
-    encoded = sentencepiece_codec.encode(awkward)
-    assert encoded.where("NOT lossless").count() == 0 and encoded.count() == awkward.count()
-    back = sentencepiece_codec.decode(encoded)
-    want = awkward.select(F.coalesce("text", F.lit(""))).collect()
-    assert sorted(r["text"] for r in back.collect()) == sorted(r[0] for r in want)
-
-
-def test_dropout_differs_by_document_and_place(pieces, monkeypatch):
-    codec = sentencepiece_codec.Codec(pieces, sentencepiece_codec.DROPOUT, sentencepiece_codec.SEED, sentencepiece_codec.VARIANTS)
+    together = [p for p, _ in a.encode_all(texts, range(len(texts)))]
+    assert np.concatenate(together).tolist() == [x for e in once for x in e]
+    want = sorted(r[0] for r in awkward.select(F.coalesce("text", F.lit(""))).collect())
+    first = None
+    for size in (2_000_000, 3):
+        monkeypatch.setattr(sentencepiece_codec, "HANDED_ON", size)
+        encoded = sentencepiece_codec.encode(awkward)
+        assert encoded.where("NOT lossless OR n_pieces <> size(pieces)").count() == 0 and encoded.count() == awkward.count()
+        rows = sorted(map(str, encoded.collect()))
+        first = first or rows
+        assert rows == first and sorted(r["text"] for r in sentencepiece_codec.decode(encoded).collect()) == want
+
+
+def test_dropout_differs_by_document_and_place(pieces):
+    codec = sentencepiece_codec.Codec(pieces, sentencepiece_codec.DROPOUT, sentencepiece_codec.SEED)
     by_document = collections.Counter(tuple(codec.encode(b"undoubtedly", k)) for k in range(2000))
     by_place = codec.encode(b"undoubtedly " * 2000, 1)
     assert len(by_document) > 20 and len(set(zip(*[by_place[k:] for k in range(6)]))) > 20
-    # as often without a skip as all of its candidates pass, and the same without memory
-    asked = codec.memory[b" undoubtedly"][0]
+    # as often without a skip as all of its candidates pass
+    asked = int(codec.spans[codec.types[b" undoubtedly"]][5])
     best = tuple(sentencepiece_codec.Codec(pieces).encode(b"undoubtedly"))
     assert asked > 5 and by_document[best] / 2000 >= 0.9**asked - 0.04
-    fresh = lambda: sentencepiece_codec.Codec(pieces, 0.1, 17, sentencepiece_codec.VARIANTS, remembered=1)
-    assert by_place == fresh().encode(b"undoubtedly " * 2000, 1)
-    monkeypatch.setattr(sentencepiece_codec, "REMEMBERED_BYTES", 0)
-    assert by_place == fresh().encode(b"undoubtedly " * 2000, 1)
-    rate = lambda p: len(sentencepiece_codec.Codec(pieces, p, 3, sentencepiece_codec.VARIANTS).encode(b"undoubtedly " * 500, 1))
+    rate = lambda p: len(sentencepiece_codec.Codec(pieces, p, 3).encode(b"undoubtedly " * 500, 1))
     assert rate(0) < rate(0.1) < rate(0.5) < rate(1.0) == len("undoubtedly ") * 500 + 1
 
 
-def test_long_and_short_merges_agree(pieces, docs, monkeypatch):
-    texts = [(i, t.encode()) for i, t, _ in list(docs.values())[:50]]
-    a = [sentencepiece_codec.Codec(pieces, 0.3, 7, 3).encode(t, i) for i, t in texts]
-    monkeypatch.setattr(sentencepiece_codec, "SHORT", 0)
-    assert a == [sentencepiece_codec.Codec(pieces, 0.3, 7, 3).encode(t, i) for i, t in texts]
+def test_missing_model(spark, awkward):
+    with pytest.raises(OSError):
+        sentencepiece_codec.encode(awkward, model_path="/nonexistent.model")
 
 
 # --- 8 ---
@@ -344,8 +378,6 @@ def test_base_score_brute_force(spark, sf, docs, awkward):
 
 def test_exchange_finds_classes():
     rng = random.Random(2)
-    import numpy as np
-
     n = np.zeros((7, 7))
     for _ in range(4000):  # words 0-2 follow words 3-5 and the other way round
         n[rng.choice([0, 1, 2]), rng.choice([3, 4, 5])] += 1
