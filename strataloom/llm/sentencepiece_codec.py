@@ -5,8 +5,8 @@ Encoding runs the agenda of candidate merges, best score first and leftmost of e
 [start, mid) and [mid, end) of a chunk; it is skipped with probability ``dropout``, by a hash of the seed, the document's id, the chunk's place in
 the document, and start, mid and end. So any segmentation can occur at any place; everything is reproducible from seed, id and text.
 
-Many chunks are merged at once: their symbols, links and ranks are rows of arrays, and each round merges the best candidate of every row. A chunk
-type's merges without skips, and the candidates offered on the way, are remembered; an occurrence that skips none of those has the
+Many chunks are merged at once: their symbols, links and ranks are rows of arrays, and each round merges the best candidate of every row. The merges
+without skips of a chunk that repeats, and the candidates offered on the way, are remembered; an occurrence that skips none of those has the
 remembered pieces, and all others are merged anew. Chunks of more than ``WIDE`` symbols run through an agenda of their own.
 
 Characters outside the vocabulary, and the space marker itself, become byte pieces, so decoding gives back every text exactly.
@@ -21,8 +21,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from itertools import chain, islice, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +34,7 @@ from strataloom.llm.text import columns, utf8_column
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 17
-#: Chunks merged at once, chunk types remembered, and symbols of the widest row of an array.
+#: Chunks read at once, chunks remembered, and symbols of the widest row of an array.
 SLICE, REMEMBERED, WIDE = 60_000, 150_000, 32
 #: Bytes from which a text's chunks are read one after another, and pieces handed on at once.
 LONG_TEXT, HANDED_ON = 1 << 20, 2_000_000
@@ -44,8 +45,8 @@ _M64 = 0xFFFFFFFFFFFFFFFF
 _START, _MID, _END, _F1, _F2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
 
 _LETTER = rb"(?:[A-Za-z]|\xc3[\x80-\xbf])"
-_WITH_STOPS = re.compile(rb"\n| *" + _LETTER + rb"+(?=[^A-Za-z\x80-\xff \n])| *[^ \n]+| +")
-_PLAIN = re.compile(rb"\n| *[^ \n]+| +")
+_WITH_STOPS = re.compile(rb"\n| *+(?:(?:[A-Za-z]++|\xc3[\x80-\xbf])++(?=[^A-Za-z\x80-\xff \n])|[^ \n]++)| +")
+_PLAIN = re.compile(rb"\n| *+[^ \n]++| +")
 _WHOLE = re.compile(rb"(?s).+")
 
 
@@ -106,6 +107,8 @@ class Codec:
                     self.of_char[piece.replace(MARK, " ")] = i
         if len(self.of_byte) < 256:
             raise ValueError("the model has no piece for every byte")
+        self.char_table = np.full(0x110000, -1, np.int32)
+        self.char_table[list(map(ord, self.of_char))] = list(self.of_char.values())
         self.raw_bytes = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_counts = np.array([len(x) for x in raw])
         self.raw_starts = np.cumsum(self.raw_counts) - self.raw_counts
@@ -257,67 +260,102 @@ class Codec:
                 offer(before[left])
         return [x for x in symbols if x >= 0]
 
-    def _numbers(self, parts: list[bytes]) -> np.ndarray:
-        """The type of each chunk, -1 for one too wide; new types are merged without skips."""
-        if len(self.types) >= self.remembered:
-            self._forget()
-        types, new, rows = self.types, [], []
-        for part in set(parts).difference(types):
-            symbols = self.first_symbols(part) if len(part) <= 4 * WIDE else ()
-            if 0 < len(symbols) <= WIDE:
-                new.append(part)
-                rows.append(symbols)
-        if new:
-            by = sorted(range(len(new)), key=lambda i: len(rows[i]))
-            need = len(types) + len(new)
-            if need > len(self.spans):
-                self.spans = np.concatenate((self.spans, np.zeros((max(need, len(self.spans)), 6), np.int64)))
-            for at in range(0, len(by), SLICE // 4):
-                some = by[at : at + SLICE // 4]
-                counts = np.array([len(rows[i]) for i in some])
-                flat = np.array([x for i in some for x in rows[i]], np.int32)
-                pieces, n_pieces, owner, code = self._merge_rows(flat, counts, None)
-                order = np.argsort(owner, kind="stable")
-                n_codes = np.bincount(owner, minlength=len(some))
-                spans, first = self.spans[len(types) : len(types) + len(some)], len(types)
-                for k, (store, values, n) in enumerate(((self.symbols, flat, counts), (self.pieces, pieces, n_pieces), (self.codes, code[order], n_codes))):
-                    spans[:, 2 * k], spans[:, 2 * k + 1] = store.add(values) + np.cumsum(n) - n, n
-                types.update((new[i], first + k) for k, i in enumerate(some))
-        return np.fromiter((types.get(p, -1) for p in parts), np.int64, len(parts))
+    def _symbols_of(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(first symbols, how many of each part) of all parts."""
+        utf8 = b" ".join(parts) + b" "
+        try:
+            chars = np.frombuffer(utf8.decode().encode("utf-32-le"), np.uint32)
+        except UnicodeDecodeError:
+            rows = list(map(self.first_symbols, parts))
+            return np.array(list(chain.from_iterable(rows)), np.int32), np.array(list(map(len, rows)))
+        leads = np.concatenate(([0], np.cumsum((np.frombuffer(utf8, np.uint8) & 0xC0) != 0x80)))
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+        ends = leads[ends]  # in characters, each with the space after it
+        counts = np.diff(ends, prepend=0) - 1
+        held = np.ones(len(chars), bool)
+        held[ends - 1] = False
+        flat = self.char_table[chars[held]]
+        if (flat < 0).any():
+            row = np.repeat(np.arange(len(parts)), counts)
+            size = np.ones(len(flat), np.int64)
+            odd = np.flatnonzero(flat < 0)
+            pieces = [[self.of_byte[x] for x in chr(c).encode()] for c in chars[held][odd].tolist()]
+            size[odd] = list(map(len, pieces))
+            wide = np.repeat(flat, size)
+            wide[wide < 0] = list(chain.from_iterable(pieces))
+            flat, counts = wide, np.bincount(row, size, len(parts)).astype(np.int64)
+        return flat, counts
+
+    def _learn(self, parts: list[bytes], flat: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> None:
+        """Remember chunk types: their symbols, their merges without skips and the candidates of those."""
+        need = len(self.types) + len(parts)
+        if need > len(self.spans):
+            self.spans = np.concatenate((self.spans, np.zeros((max(need, len(self.spans)), 6), np.int64)))
+        order = np.argsort(counts, kind="stable")
+        for at in range(0, len(order), SLICE // 4):
+            some = order[at : at + SLICE // 4]
+            n, first = counts[some], len(self.types)
+            symbols = flat[_ragged(begins[some], n)[1]]
+            pieces, n_pieces, owner, code = self._merge_rows(symbols, n, None)
+            n_codes = np.bincount(owner, minlength=len(some))
+            spans = self.spans[first : first + len(some)]
+            for k, (store, values, size) in enumerate(((self.symbols, symbols, n), (self.pieces, pieces, n_pieces), (self.codes, code[np.argsort(owner, kind="stable")], n_codes))):
+                spans[:, 2 * k], spans[:, 2 * k + 1] = store.add(values) + np.cumsum(size) - size, size
+            self.types.update(zip(map(parts.__getitem__, some.tolist()), range(first, need)))
 
     def _slice(self, parts: list[bytes], draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pieces, how many of each chunk) of chunks with these draws."""
-        kind = self._numbers(parts)
-        of = self.spans[kind]
-        counts = np.where(kind >= 0, of[:, 3], 0)
-        again = np.empty(0, np.int64)
-        groups = []
+        if len(self.types) >= self.remembered:
+            self._forget()
+        kind = np.array(list(map(self.types.get, parts, repeat(-1))), np.int64)
+        new = np.flatnonzero(kind < 0)
+        groups, counts = [], np.zeros(len(parts), np.int64)
+        if len(new):
+            times = Counter(map(parts.__getitem__, new.tolist()))
+            known = dict(zip(times, range(len(times))))
+            flat, sizes = self._symbols_of(list(times))
+            begins = np.cumsum(sizes) - sizes
+            often = np.flatnonzero((np.fromiter(times.values(), np.int64, len(times)) > 1) & (sizes <= WIDE))
+            if len(often):
+                names = list(times)
+                self._learn([names[i] for i in often.tolist()], flat, begins[often], sizes[often])
+                kind[new] = list(map(self.types.get, map(parts.__getitem__, new.tolist()), repeat(-1)))
+                new = new[kind[new] < 0]
+            at = np.array([known[parts[i]] for i in new.tolist()], np.int64)
+            narrow = sizes[at] <= WIDE
+            order = np.argsort(sizes[at], kind="stable")
+            order = order[narrow[order]]
+            self._merged(groups, counts, new[order], flat, begins[at[order]], sizes[at[order]], draws)
+            for i, k in zip(new[~narrow].tolist(), at[~narrow].tolist()):
+                pieces = np.array(self._merge_long(flat[begins[k] : begins[k] + sizes[k]].tolist(), int(draws[i])), np.int32)
+                counts[i] = len(pieces)
+                groups.append((np.array([i]), pieces))
+        rows = np.flatnonzero(kind >= 0)
+        of = self.spans[kind[rows]]
         if self.threshold:
-            known = np.flatnonzero(kind >= 0)
-            row, at = _ragged(of[known, 4], of[known, 5])
-            skipped = _scramble(draws[known][row] + self.codes.flat[at]) < np.uint64(self.threshold)
-            again = known[np.bincount(row[skipped], minlength=len(known)) > 0]
+            row, at = _ragged(of[:, 4], of[:, 5])
+            skipped = _scramble(draws[rows][row] + self.codes.flat[at]) < np.uint64(self.threshold)
+            hit = np.bincount(row[skipped], minlength=len(rows)) > 0
+            again = np.flatnonzero(hit)
             again = again[np.argsort(of[again, 1], kind="stable")]
-            for lo in range(0, len(again), SLICE // 4):
-                rows = again[lo : lo + SLICE // 4]
-                _, at = _ragged(of[rows, 0], of[rows, 1])
-                pieces, n, *_ = self._merge_rows(self.symbols.flat[at], of[rows, 1], draws[rows])
-                counts[rows] = n
-                groups.append((rows, pieces))
-        for i in np.flatnonzero(kind < 0):
-            pieces = np.array(self._merge_long(self.first_symbols(parts[i]), int(draws[i])), np.int32)
-            counts[i] = len(pieces)
-            groups.append((np.array([i]), pieces))
+            self._merged(groups, counts, rows[again], self.symbols.flat, of[again, 0], of[again, 1], draws)
+            rows, of = rows[~hit], of[~hit]
+        counts[rows] = of[:, 3]
         begins = np.cumsum(counts) - counts
         out = np.empty(int(counts.sum()), np.int32)
-        plain = kind >= 0
-        plain[again] = False
-        rows = np.flatnonzero(plain)
-        out[_ragged(begins[rows], counts[rows])[1]] = self.pieces.flat[_ragged(of[rows, 2], counts[rows])[1]]
+        out[_ragged(begins[rows], counts[rows])[1]] = self.pieces.flat[_ragged(of[:, 2], of[:, 3])[1]]
         for rows, pieces in groups:
             out[_ragged(begins[rows], counts[rows])[1]] = pieces
         return out, counts
 
+    def _merged(self, groups: list, counts: np.ndarray, rows: np.ndarray, flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, draws: np.ndarray) -> None:
+        """Merge the chunks ``rows``, in order of size, whose symbols begin at ``begins``; their pieces go to ``groups``, their numbers to ``counts``."""
+        for lo in range(0, len(rows), SLICE // 4):
+            some = slice(lo, lo + SLICE // 4)
+            pieces, n, *_ = self._merge_rows(flat[_ragged(begins[some], sizes[some])[1]], sizes[some], draws[rows[some]])
+            counts[rows[some]] = n
+            groups.append((rows[some], pieces))
+
     def _chunks(self, utf8: bytes) -> Iterator[list[bytes]]:
         if len(utf8) < LONG_TEXT:
             yield self.chunks.findall(b" " + utf8)
