@@ -6,11 +6,11 @@ whose lists turn out long are marked and put behind the others before the lists
 lists by shingle are index lists cut into blocks by size; an entry's position bounds the sizes that it can
 still reach, so probes meet only blocks within that reach and skip the others.
 
-Answers of one set are derived from those of a similar one. In long lists each node is compared with one
-hub; the hub's overlap o(y) with a member y and the member's extra shingles E(y) then bound every pair of members:
-common(y, z) <= min(o(y), o(z)) + |E(y) & E(z)|. So pairs inside a hub's group are met only over shared extra shingles, or
-where both overlaps alone allow a link; the lists give the pairs between groups. Nothing is capped: the bounds only
-skip pairs that cannot link, or whose link would not change a component.
+Answers of one set are derived from those of a similar one. In long lists each node is compared with one hub, and nodes that aren't linked to
+theirs with another. Two members of a hub's group differ exactly where one of their differences to the hub does, so their answer follows
+from the hub's: a pair that isn't already linked through the hub must share enough of these differences, and is met over the first
+of them only. Short differences give the exact overlap without looking at the sets again. The lists give the pairs between groups. Nothing
+is capped: the bounds only skip pairs that cannot link, or whose link would not change a component.
 
 Defined results: a null, empty or blank text has the empty set, links with nothing and is its own component. Rows that repeat a
 text share a component; a component is named by its smallest id, null only if all its ids are null. An empty table gives an empty result.
@@ -32,12 +32,12 @@ from strataloom.plans.workspace import Workspace
 #: Listed shingles that similar sets must share.
 SHARED = 3
 #: Shingles counted together before rare ones among them are left out of the order.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 #: Most frequent shingles in the order; a shingle must hold more than this share of all to be in it.
 FREQUENT = 1 << 19
 #: Lists this long mark their shingle; bits of the table of marks, and the most marked shingles (the length doubles beyond it).
 MARKED_LENGTH, MARK_BITS, MARKED = 32, 1 << 26, 4_000_000
-#: Lists this long are answered for hubs first; pairs per list entry above which that goes on, and the most such rounds.
+#: Lists this long are answered for hubs first; pairs per list entry above which that goes on while it helps, and the most such rounds.
 LONG, PAIRS_PER_ENTRY, ROUNDS = 16, 8, 4
 
 
@@ -126,8 +126,23 @@ def profiles(texts: DataFrame, order: Order, width: int, num: int, den: int) ->
     return texts.mapInArrow(run, "id long, n long, digest binary, listed array<long>")
 
 
-def _texts_of(work: Workspace, texts: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, name: str) -> DataFrame:
-    """(node, text) of the nodes on a pair."""
+def _delta(member: np.ndarray, hub: np.ndarray, order: Order, num: int, den: int) -> tuple[np.ndarray, int]:
+    """The first of the shingles that are in one of two sets only, and how many there are: what the hub lacks in order, then what the member lacks by hash.
+
+    Two similar sets of a group differ in ``n * (den - num) / num`` shingles at most, and so do their differences to the hub. So
+    the first one that they share is among that many and one more.
+    """
+    extra, lacking = np.setdiff1d(member, hub, assume_unique=True), np.setdiff1d(hub, member, assume_unique=True)
+    length = len(member) * (den - num) // num + 1
+    first = order.first(extra, min(length, len(extra)))
+    return np.concatenate((first, lacking[: length - len(first)])), len(extra) + len(lacking)
+
+
+_COMPARED = "a long, b long, common long, n_a long, n_b long, delta array<long>, n_delta long"
+
+
+def compared(work: Workspace, texts: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, num: int, den: int, name: str, order=None) -> DataFrame:
+    """(a, b, common, n_a, n_b, delta, n_delta): overlaps and sizes of the pairs (a, b), and with an order the difference of b to a; a is the side in many."""
     import pyarrow as pa
 
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -135,46 +150,36 @@ def _texts_of(work: Workspace, texts: DataFrame, nodes: DataFrame, pairs: DataFr
     n = wanted.count()
     schema = pa.schema([("digest", pa.binary()), ("text", pa.string())])
 
-    def run(batches):
+    def digests(batches):
         for batch in batches:
             sets = shingle_sets(utf8_column(batch, "text"), width)
             yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), batch.column(1).cast(pa.string())], schema=schema)
 
     lows = wanted.select(F.col("low").alias("__low")).distinct()
     some = texts.join(small_side(lows, n), texts["id"].eqNullSafe(F.col("__low")), "left_semi")
-    found = some.select("id", "text").mapInArrow(run, "digest binary, text string")
-    return work.table(found.join(small_side(wanted.select("node", "digest"), n), "digest").select("node", "text"), f"{name}-texts")
-
-
-_VERIFIED = "a long, b long, common long, n_a long, n_b long, extra array<long>"
-
-
-def verified(work: Workspace, texts: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, name: str, extra: bool = False) -> DataFrame:
-    """(a, b, common, n_a, n_b, extra): exact overlaps and sizes of the pairs (a, b), and on demand what b has besides; a is the side that may be in many."""
-    import pyarrow as pa
-
-    held = _texts_of(work, texts, nodes, pairs, width, name)
+    found = some.select("id", "text").mapInArrow(digests, "digest binary, text string")
+    held = found.join(small_side(wanted.select("node", "digest"), n), "digest").groupBy("node").agg(F.min("text").alias("text"))
     both = pairs.join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     both = both.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("extra", pa.list_(pa.int64()))])
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("delta", pa.list_(pa.int64())), ("n_delta", pa.int64())])
 
     def run(batches):
         last, last_set = None, None
         for batch in batches:
-            a = batch.column(0).to_pylist()
-            sides_a, out, sizes, rest = utf8_column(batch, "text_a"), [], [], []
-            for key, text, s in zip(a, sides_a, shingle_sets(utf8_column(batch, "text_b"), width)):
+            common, n_a, n_b, deltas, sizes = [], [], [], [], []
+            for key, text, s in zip(batch.column(0).to_pylist(), utf8_column(batch, "text_a"), shingle_sets(utf8_column(batch, "text_b"), width)):
                 if key != last:
                     last, last_set = key, shingle_sets([text], width)[0]
-                out.append(overlap(last_set, s))
-                sizes.append((len(last_set), len(s)))
-                rest.append(np.setdiff1d(s, last_set, assume_unique=True).view(np.int64) if extra else None)
-            n_a, n_b = ([x[k] for x in sizes] for k in (0, 1))
-            arrays = [batch.column(0), batch.column(1), pa.array(out, pa.int64()), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(rest, schema.field("extra").type)], schema=schema)
+                common.append(overlap(last_set, s))
+                n_a.append(len(last_set))
+                n_b.append(len(s))
+                delta, size = _delta(s, last_set, order.value, num, den) if order is not None else (np.empty(0, np.uint64), None)
+                deltas.append(delta.view(np.int64))
+                sizes.append(size)
+            arrays = [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (common, n_a, n_b))]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(deltas, out.field("delta").type), pa.array(sizes, pa.int64())], schema=out)
 
-    done = both.mapInArrow(run, _VERIFIED)
-    return work.table(done.dropDuplicates(["a", "b"]) if extra else done, f"{name}-verified")
+    return work.table(both.mapInArrow(run, _COMPARED), f"{name}-compared")
 
 
 def _linked(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -220,23 +225,30 @@ def between_groups(entries: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def within_groups(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of members (node, n, hub, n_hub, common, extra, root, hub_root) of one hub and different components that can still link."""
-    far = members.where("root <> hub_root")
-    side = lambda df, k: df.select("hub", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "common", "root")])
-    could = (F.col("root_1") != F.col("root_2")) & (F.col("node_1") != F.col("node_2"))
-    bound = lambda more: _enough(F.least("common_1", "common_2") + more, F.col("n_1"), F.col("n_2"), num, den)
-    # A pair without a shared extra shingle: a member that is not linked to its hub can only reach sets smaller than the hub.
-    small = members.where("n < n_hub")
-    floor = small.groupBy("hub").agg(F.min("n").alias("least_n"))
-    edge = far.join(floor, "hub").where(_enough(F.col("common"), F.col("n"), F.col("least_n"), num, den))
-    plain = side(edge, 1).join(side(small, 2), "hub").where(could & bound(F.lit(0)))
-    lists = members.where(F.size("extra") > 0).select("hub", "node", "n", "common", "root", "hub_root", F.explode("extra").alias("shingle"))
-    apart = lists.where("root <> hub_root").select("shingle", *side(lists, 1).columns[:1], *[F.col(c).alias(f"{c}_1") for c in ("node", "n", "common", "root")])
-    every = lists.select("shingle", "hub", *[F.col(c).alias(f"{c}_2") for c in ("node", "n", "common", "root")])
-    shared = apart.join(every, ["shingle", "hub"]).where(could)
-    shared = shared.groupBy("node_1", "node_2", "n_1", "n_2", "common_1", "common_2").count().where(bound(F.col("count")))
-    pairs = plain.select("node_1", "node_2").union(shared.select("node_1", "node_2"))
-    return pairs.select(F.greatest("node_1", "node_2").alias("a"), F.least("node_1", "node_2").alias("b")).distinct()
+    """Pairs (a, b, common, n_a, n_b) of members (node, n, hub, delta, n_delta, root, hub_root) of one hub and different components that can still link.
+
+    Two members differ where exactly one of their differences to the hub does: |y ^ z| = |D(y)| + |D(z)| - 2 |D(y) & D(z)|. So answers follow
+    from the hub's: a pair must share enough of its differences, and one that isn't linked to the hub shares at least one with any partner. Where both
+    differences are listed whole, ``common`` is the pair's exact overlap; else it is null.
+    """
+    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "n_delta", "root", "pos")]
+    lists = members.select("hub", "node", "n", "n_delta", "root", (F.col("root") != F.col("hub_root")).alias("far"), F.posexplode("delta").alias("pos", "shingle"))
+    first, second = lists.where("far").select("hub", "shingle", *side(1)), lists.select("hub", "shingle", *side(2), "far")
+    apart = F.floor((F.col("n_1") + F.col("n_2")) * (den - num) / (den + num))
+    shares = F.ceil((F.col("n_delta_1") + F.col("n_delta_2") - apart) / 2)
+    left = F.least(F.col("n_delta_1") - F.col("pos_1"), F.col("n_delta_2") - F.col("pos_2"))  # if this is the first that they share
+    met = first.join(second, ["hub", "shingle"]).where(
+        (F.col("root_1") != F.col("root_2")) & (~F.col("far") | (F.col("node_1") < F.col("node_2")))
+        & (den * F.least("n_1", "n_2") >= num * F.greatest("n_1", "n_2")) & (left >= shares)
+    )
+    found = met.select(F.greatest("node_1", "node_2").alias("a"), F.least("node_1", "node_2").alias("b")).distinct()
+    both = found
+    for k in ("a", "b"):
+        both = both.join(members.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("delta").alias(f"delta_{k}"), F.col("n_delta").alias(f"n_delta_{k}")), k)
+    whole = (F.size("delta_a") == F.col("n_delta_a")) & (F.size("delta_b") == F.col("n_delta_b"))
+    differ = F.col("n_delta_a") + F.col("n_delta_b") - 2 * F.size(F.array_intersect("delta_a", "delta_b"))
+    total = F.col("n_a") + F.col("n_b")
+    return both.select("a", "b", F.when(whole, (total - differ) / 2).cast("long").alias("common"), "n_a", "n_b")
 
 
 def _hub_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
@@ -272,32 +284,40 @@ def jaccard_join(
     lists = work.table(postings.join(met, "shingle"), "lists")
     size = lists.count()
 
-    compared, hubs, entries, open_entries = spark.createDataFrame([], _VERIFIED), None, None, lists
+    order = spark.sparkContext.broadcast(Order(shingles, counts, marks))
+    answers, hubs, open_entries, before = spark.createDataFrame([], _COMPARED), None, lists, float("inf")
     for step in range(ROUNDS):
         pairs = work.table(_hub_pairs(open_entries, num, den), f"hubs-{step}")
         if pairs.isEmpty():
             break
-        compared = compared.union(verified(work, texts, nodes, pairs, width, f"round-{step}", extra=True))
-        hubs = work.table(_hubs(nodes, compared), f"hubs-of-{step}")
-        entries = work.table(_with_minor(lists.join(hubs.select("node", "hub"), "node")), f"entries-{step}")
-        left = entries.groupBy("shingle").agg((F.count(F.lit(1)) * F.count_if(F.col("minor"))).alias("p")).agg(F.sum("p")).first()[0] or 0
-        if left <= PAIRS_PER_ENTRY * size:
+        answers = answers.union(compared(work, texts, nodes, pairs, width, num, den, f"round-{step}", order))
+        hubs = work.table(_hubs(nodes, answers, num, den), f"hubs-of-{step}")
+        untried = hubs.where("alone").select("node").join(answers.select(F.col("a").alias("node")), "node", "left_anti")
+        open_entries = work.table(lists.join(untried, "node", "left_semi"), f"open-{step}")
+        open_lists = open_entries.groupBy("shingle").count().where(F.col("count") >= LONG)
+        left = open_lists.agg(F.sum(F.col("count") * F.col("count"))).first()[0] or 0
+        if left <= PAIRS_PER_ENTRY * size or left > 0.8 * before:
             break
-        open_entries = entries.where(F.col("minor") & (F.col("hub") == F.col("node"))).select("node", "n", "pos", "shingle")
+        before = left
 
-    linked = _linked(compared, num, den)
+    linked = _linked(answers, num, den)
     if hubs is None:  # no list is long: each node is its own hub
         entries = _with_minor(lists.withColumn("hub", F.col("node"))).withColumn("root", F.col("node"))
         rest = work.table(between_groups(entries, num, den), "between")
     else:
         roots = components(work, linked, "hub-components")
-        rooted = work.table(nodes.select("node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-        rest = work.table(between_groups(entries.join(rooted.select("node", "root"), "node"), num, den), "between")
-        grouped = hubs.where("hub_of IS NOT NULL").select("node", F.col("hub_of").alias("hub"), "common", "extra").join(rooted, "node")
-        at_hub = rooted.select(F.col("node").alias("hub"), F.col("n").alias("n_hub"), F.col("root").alias("hub_root"))
-        members = work.table(grouped.join(at_hub, "hub"), "members")
-        rest = rest.union(work.table(within_groups(members, num, den), "within"))
-    checked = verified(work, texts, nodes, rest, width, "rest")
+        rooted = hubs.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rooted = work.table(rooted, "rooted")
+        owned = work.table(lists.join(rooted.select("node", "hub", "root"), "node"), "owned")
+        entries = work.table(_with_minor(owned), "entries")
+        work.drop("lists", "owned")
+        rest = work.table(between_groups(entries, num, den), "between")
+        at_hub = rooted.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+        members = work.table(rooted.where("delta IS NOT NULL").join(at_hub, "hub"), "members")
+        derived = work.table(within_groups(members, num, den), "within")
+        linked = linked.union(_linked(derived, num, den))
+        rest = rest.union(derived.where("common IS NULL").select("a", "b"))
+    checked = compared(work, texts, nodes, rest, width, num, den, "rest")
     roots = components(work, linked.union(_linked(checked, num, den)), "components")
 
     named = nodes.join(roots, "node", "left").select("digest", "low", "copies", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("linked"))
@@ -312,26 +332,50 @@ def _listed_once(rows: DataFrame) -> DataFrame:
     return rows.where("n > 0").groupBy("digest").agg(F.first("listed").alias("listed")).select("listed")
 
 
-def _hubs(nodes: DataFrame, compared: DataFrame) -> DataFrame:
-    """(node, hub, hub_of, common, extra): each node's hub, itself if it has none; hub_of is null outside groups. A hub is in its own group."""
-    is_hub = compared.select(F.col("a").alias("node")).distinct().withColumn("own", F.lit(True))
-    best = compared.select(F.col("b").alias("node"), F.col("a").alias("hub_of"), "common", "extra")
-    joined = nodes.select("node", F.col("n").alias("size")).join(best, "node", "left").join(is_hub, "node", "left")
-    own = F.col("own").isNotNull()
+def _hubs(nodes: DataFrame, answers: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, n, hub, delta, n_delta, alone): each node's hub, itself if it has none; delta is null outside groups. A hub is in its own group.
+
+    Of several hubs the one with the smallest difference counts. ``alone`` are nodes that aren't linked to a hub and aren't one of a linked node.
+    """
+    similar = den * F.col("common") >= num * (F.col("n_a") + F.col("n_b") - F.col("common"))
+    is_hub = answers.groupBy(F.col("a").alias("node")).agg(F.max(similar).alias("leads"))
+    best = answers.groupBy(F.col("b").alias("node")).agg(
+        F.min_by(F.struct(F.col("a").alias("hub"), "delta", "n_delta"), F.struct("n_delta", "a")).alias("best"), F.max(similar).alias("follows"))
+    joined = nodes.select("node", "n").join(best, "node", "left").join(is_hub, "node", "left")
+    own = F.col("leads").isNotNull()
+    alone = ~F.coalesce(F.col("leads"), F.lit(False)) & ~F.coalesce(F.col("follows"), F.lit(False))
     return joined.select(
-        "node", F.when(own | F.col("hub_of").isNull(), F.col("node")).otherwise(F.col("hub_of")).alias("hub"),
-        F.when(own, F.col("node")).otherwise(F.col("hub_of")).alias("hub_of"), F.when(own, F.col("size")).otherwise(F.col("common")).alias("common"),
-        F.when(own, F.array().cast("array<long>")).otherwise(F.col("extra")).alias("extra"),
+        "node", "n", F.when(own | F.col("best").isNull(), F.col("node")).otherwise(F.col("best.hub")).alias("hub"),
+        F.when(own, F.array().cast("array<long>")).otherwise(F.col("best.delta")).alias("delta"),
+        F.when(own, F.lit(0).cast("long")).otherwise(F.col("best.n_delta")).alias("n_delta"), alone.alias("alone"),
     )
 
 
 def _with_minor(entries: DataFrame) -> DataFrame:
     """Marks entries that are not of the hub with most entries of their list; lists of one hub go."""
-    slim = entries.select("shingle", "node", "n", "pos", "hub")
-    per = slim.groupBy("shingle", "hub").count().groupBy("shingle").agg(F.max(F.struct("count", "hub")).alias("top"), F.count(F.lit(1)).alias("hubs"))
-    return slim.join(per.where("hubs > 1"), "shingle").select("shingle", "node", "n", "pos", "hub", (F.col("hub") != F.col("top.hub")).alias("minor"))
+    per = entries.groupBy("shingle", "hub").count().groupBy("shingle").agg(F.max(F.struct("count", "hub")).alias("top"), F.count(F.lit(1)).alias("hubs"))
+    return entries.join(per.where("hubs > 1"), "shingle").withColumn("minor", F.col("hub") != F.col("top.hub")).drop("top", "hubs")
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, num=90)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT a, b FROM p JOIN n AS na ON na.doc_id = a JOIN n AS nb ON nb.doc_id = b WHERE 100 * c >= 90 * (na.n + nb.n - c)
+), both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r(node, c) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.node, both_ways.b FROM r JOIN both_ways ON both_ways.a = r.c
+)
+SELECT doc_id, coalesce(max(n), 0) AS n_shingles, min(r.c) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.node = doc_id GROUP BY doc_id
+"""

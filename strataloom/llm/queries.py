@@ -19,4 +19,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op2_decontaminate": decontaminate.SQL,
+    "op4_ngram_jaccard": ngram_join.SQL,
 }

@@ -161,7 +161,7 @@ def brute_components(texts, width, num):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("width,num,knobs", [(3, 90, {}), (3, 90, {"LONG": 3, "MARKED_LENGTH": 2}), (5, 80, {"LONG": 2, "PAIRS_PER_ENTRY": 0})])
+@pytest.mark.parametrize("width,num,knobs", [(3, 90, {}), (3, 90, {"LONG": 3, "MARKED_LENGTH": 2}), (5, 80, {"LONG": 2, "PAIRS_PER_ENTRY": 0}), (2, 60, {"LONG": 2})])
 def test_jaccard_join_brute_force(spark, monkeypatch, width, num, knobs):
     for k, v in knobs.items():
         monkeypatch.setattr(ngram_join, k, v)
