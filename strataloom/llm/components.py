@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataloom.llm.text import map_arrow
 from strataloom.plans.workspace import Workspace
 
 
@@ -44,7 +45,7 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
             nodes, roots = least_labels(*(np.concatenate(x) for x in zip(*parts)))
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], schema=schema)
 
-    return edges.coalesce(1).mapInArrow(run, "node long, root long")
+    return map_arrow(edges.coalesce(1), run, "node long, root long")
 
 
 def _large(edges: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm.text import columns, utf8_column, words
+from strataloom.llm.text import columns, map_arrow, utf8_column, words
 from strataloom.plans.workspace import Workspace
 
 
@@ -119,7 +119,7 @@ def _scan(docs: DataFrame, items: list, width: int) -> DataFrame:
                 schema=schema,
             )
 
-    return docs.mapInArrow(run, "id long, row long, n_words long, spans array<array<long>>, items array<string>")
+    return map_arrow(docs, run, "id long, row long, n_words long, spans array<array<long>>, items array<string>")
 
 
 def _groups(benchmark: DataFrame, group_words: int) -> Iterator[list]:

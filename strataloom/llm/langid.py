@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm.text import columns
+from strataloom.llm.text import columns, map_arrow
 from strataloom.llm.toxicity import remainder
 
 #: Most rows of each language that the model is fitted on, and counts below which a word or n-gram is unseen.
@@ -143,7 +143,7 @@ def train(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col:
                     yield flush()
         yield flush()
 
-    counted = sample.select("text", "lang").mapInArrow(run, "lang string, n int, gram string, count long")
+    counted = map_arrow(sample.select("text", "lang"), run, "lang string, n int, gram string, count long")
     counted = counted.groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
     counted = counted.where(F.col("count") >= F.when(F.col("n") == 0, LEAST_WORD).otherwise(LEAST_GRAM))
     return fit(map(tuple, counted.toPandas().itertuples(index=False)))
@@ -163,7 +163,7 @@ def identify(docs: DataFrame, model: Backoff, id_col: str = "doc_id", text_col:
             found = [own.predict(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], schema=schema)
 
-    return texts.mapInArrow(run, "id long, lang_pred string, score double")
+    return map_arrow(texts, run, "id long, lang_pred string, score double")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

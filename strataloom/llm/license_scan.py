@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataloom.llm.hashing import batched, grams, word_hashes
-from strataloom.llm.text import WORD_BYTES, columns, small_side, utf8_column, words
+from strataloom.llm.text import WORD_BYTES, columns, map_arrow, small_side, utf8_column, words
 from strataloom.plans.workspace import Workspace
 
 TEMPLATE_WORDS = 100_000
@@ -88,7 +88,7 @@ def _rolling(texts: DataFrame, widths: list[int]) -> DataFrame:
                     schema=schema,
                 )
 
-    return texts.mapInArrow(run, "id long, key long, grams array<long>")
+    return map_arrow(texts, run, "id long, key long, grams array<long>")
 
 
 def candidates(texts: DataFrame, templates) -> DataFrame:
@@ -165,7 +165,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col:
             scores = [max((s["share"] for s in x), default=0.0) for x in spans]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(spans, schema.field("spans").type), pa.array(scores, pa.float64())], schema=schema)
 
-    return rows.mapInArrow(run, "id long, n_words long, spans array<struct<label: string, base: boolean, start: long, end: long, share: double>>, score double")
+    return map_arrow(rows, run, "id long, n_words long, spans array<struct<label: string, base: boolean, start: long, end: long, share: double>>, score double")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.llm.hashing import batched, mix
-from strataloom.llm.text import columns, utf8_column
+from strataloom.llm.text import columns, map_arrow, utf8_column
 from strataloom.llm.toxicity import remainder
 from strataloom.plans.workspace import Workspace
 
@@ -70,7 +70,7 @@ def count_tokens(texts: DataFrame) -> DataFrame:
         if size:
             yield flush()
 
-    return texts.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_arrow(texts.select("text"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -138,7 +138,7 @@ def count_pairs(texts: DataFrame, words) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], schema=schema)
 
-    return _pair_table(texts.select("text").mapInArrow(run, "pair long, n long"), size)
+    return _pair_table(map_arrow(texts.select("text"), run, "pair long, n long"), size)
 
 
 def _pair_table(pairs: DataFrame, size: int) -> np.ndarray:
@@ -183,7 +183,7 @@ def count_contexts(texts: DataFrame, words) -> DataFrame:
         if size:
             yield flush()
 
-    return texts.select("text").mapInArrow(run, "word long, contexts binary")
+    return map_arrow(texts.select("text"), run, "word long, contexts binary")
 
 
 def best_classes(word: np.ndarray, key: np.ndarray, n: np.ndarray, own: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -251,7 +251,7 @@ def assign(contexts: DataFrame, words, pairs: np.ndarray) -> DataFrame:
         if held:
             yield decide(word, held)
 
-    return contexts.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word long, n long, class int")
+    return map_arrow(contexts.repartition("word").sortWithinPartitions("word"), run, "word long, n long, class int")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -350,7 +350,7 @@ def _rows(texts: DataFrame, words) -> DataFrame:
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rare) if rare else np.empty(0, np.int64))),
             ], schema=schema)
 
-    return texts.mapInArrow(run, "id long, row long, learn boolean, n_tokens long, n_known long, logs double, states binary, rare array<long>")
+    return map_arrow(texts, run, "id long, row long, learn boolean, n_tokens long, n_known long, logs double, states binary, rare array<long>")
 
 
 def _chain(states: bytes, tail: np.ndarray | None) -> np.ndarray:
@@ -383,7 +383,7 @@ def _class_pairs(chains: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], schema=schema)
 
-    return _pair_table(chains.select("states", "tail").mapInArrow(run, "pair long, n long"), _ALL)
+    return _pair_table(map_arrow(chains.select("states", "tail"), run, "pair long, n long"), _ALL)
 
 
 def _logs_of_chains(chains: DataFrame, step: np.ndarray) -> DataFrame:
@@ -397,7 +397,7 @@ def _logs_of_chains(chains: DataFrame, step: np.ndarray) -> DataFrame:
             chain = [float(step[np.append(_START, c[:-1]), c].sum()) for c in _chains(batch)]
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(chain, pa.float64())], schema=schema)
 
-    return chains.select("states", "tail", "id", "n_tokens", "n_known", "logs").mapInArrow(run, "id long, n_tokens long, n_known long, logs double, chain double")
+    return map_arrow(chains.select("states", "tail", "id", "n_tokens", "n_known", "logs"), run, "id long, n_tokens long, n_known long, logs double, chain double")
 
 
 def score(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from strataloom.llm.components import components
 from strataloom.llm.shingles import Order, digest, overlap, shingle_sets
-from strataloom.llm.text import columns, small_side, utf8_column
+from strataloom.llm.text import columns, map_arrow, small_side, utf8_column
 from strataloom.plans.workspace import Workspace
 
 #: Listed shingles that similar sets must share.
@@ -76,7 +76,7 @@ def frequent_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndar
             yield flush()
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total + size], pa.int64())], schema=schema)
 
-    counts = texts.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = map_arrow(texts.select("text"), run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     work = Workspace(texts.sparkSession, "shingle-counts")
     counts = work.table(counts, "counts")
     total = counts.where("shingle IS NULL").agg(F.sum("n")).first()[0] or 0
@@ -123,7 +123,7 @@ def profiles(texts: DataFrame, order: Order, width: int, num: int, den: int) ->
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64))),
             ], schema=schema)
 
-    return texts.mapInArrow(run, "id long, n long, digest binary, listed array<long>")
+    return map_arrow(texts, run, "id long, n long, digest binary, listed array<long>")
 
 
 def _delta(member: np.ndarray, hub: np.ndarray, order: Order, num: int, den: int) -> tuple[np.ndarray, int]:
@@ -157,7 +157,7 @@ def compared(work: Workspace, texts: DataFrame, nodes: DataFrame, pairs: DataFra
 
     lows = wanted.select(F.col("low").alias("__low")).distinct()
     some = texts.join(small_side(lows, n), texts["id"].eqNullSafe(F.col("__low")), "left_semi")
-    found = some.select("id", "text").mapInArrow(digests, "digest binary, text string")
+    found = map_arrow(some.select("id", "text"), digests, "digest binary, text string")
     held = found.join(small_side(wanted.select("node", "digest"), n), "digest").groupBy("node").agg(F.min("text").alias("text"))
     both = pairs.join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     both = both.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
@@ -179,7 +179,7 @@ def compared(work: Workspace, texts: DataFrame, nodes: DataFrame, pairs: DataFra
             arrays = [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (common, n_a, n_b))]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(deltas, out.field("delta").type), pa.array(sizes, pa.int64())], schema=out)
 
-    return work.table(both.mapInArrow(run, _COMPARED), f"{name}-compared")
+    return work.table(map_arrow(both, run, _COMPARED), f"{name}-compared")
 
 
 def _linked(pairs: DataFrame, num: int, den: int) -> DataFrame:

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm.text import columns
+from strataloom.llm.text import columns, map_arrow
 
 KEY = "strataloom"
 
@@ -228,7 +228,7 @@ def pseudonymize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             spans = [[dict(zip(("start", "end", "kind", "surrogate"), s)) for s in found] for _, found in done]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in done], pa.string()), pa.array(spans, schema.field("entities").type)], schema=schema)
 
-    return texts.mapInArrow(run, "id long, text string, entities array<struct<start: long, end: long, kind: string, surrogate: string>>")
+    return map_arrow(texts, run, "id long, text string, entities array<struct<start: long, end: long, kind: string, surrogate: string>>")
 
 
 def collisions(docs: DataFrame, result: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

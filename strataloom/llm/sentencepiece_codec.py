@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.llm.hashing import mix
-from strataloom.llm.text import columns, utf8_column
+from strataloom.llm.text import columns, map_arrow, utf8_column
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 17
@@ -460,7 +460,7 @@ def encode(
             if counts:
                 yield _rows(ids.slice(done, len(counts)), schema, np.concatenate(held), counts, exact)
 
-    return texts.mapInArrow(run, "id long, pieces array<int>, n_pieces long, lossless boolean")
+    return map_arrow(texts, run, "id long, pieces array<int>, n_pieces long, lossless boolean")
 
 
 def _rows(ids, schema, flat, counts, exact):
@@ -484,7 +484,7 @@ def decode(encoded: DataFrame, id_col: str = "id", pieces_col: str = "pieces", m
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], schema=schema)
 
     own = columns(encoded, id=id_col, pieces=pieces_col).select(F.col("id").cast("long").alias("id"), "pieces")
-    return own.mapInArrow(run, "id long, text string")
+    return map_arrow(own, run, "id long, text string")
 
 
 def digest(ids) -> str:

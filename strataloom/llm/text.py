@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +45,32 @@ def utf8_column(batch, name: str) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+#: Bytes of an Arrow batch; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def _trimmed(run, batches):
+    """What ``run`` yields; the memory that the task has freed goes back to the system before the worker waits for its next task."""
+    try:
+        yield from run(batches)
+    finally:
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` over batches of bounded bytes, a setting of the session that is lowered here if it is above ``BATCH_BYTES``."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(conf.get(name)).rstrip("bB")) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(partial(_trimmed, run), schema)
+
+
 #: Rows of at most about 64 bytes each that a broadcast may hold.
 BROADCAST_ROWS = 1_000_000
 

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm.text import WORD_BYTES, columns, utf8_column
+from strataloom.llm.text import WORD_BYTES, columns, map_arrow, utf8_column
 
 #: Bounds of the labelled sample that the model is fitted on.
 SAMPLE_ROWS, SAMPLE_CHARS = 12_000, 120_000_000
@@ -155,7 +155,7 @@ def score(docs: DataFrame, model: NoisyOr, id_col: str = "doc_id", text_col: str
                 ])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, schema.field("offending").type)], schema=schema)
 
-    return texts.mapInArrow(run, "id long, score double, offending array<struct<start: long, end: long, score: double>>")
+    return map_arrow(texts, run, "id long, score double, offending array<struct<start: long, end: long, score: double>>")
 
 
 def remainder(column: str, by: int) -> Column:
