@@ -37,16 +37,20 @@ def columns(df: DataFrame, **named: str) -> DataFrame:
     return df.select(*[df[f"`{source}`"].alias(own) for own, source in named.items()])
 
 
-def utf8_column(batch, name: str) -> list[bytes | None]:
-    """A string column of an Arrow batch as bytes, without decoding."""
+def binary_list(column) -> list[bytes | None]:
+    """A string column as bytes, without decoding."""
     import pyarrow as pa
 
-    column = batch.column(batch.schema.get_field_index(name))
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def utf8_column(batch, name: str) -> list[bytes | None]:
+    """A string column of an Arrow batch as bytes, by its name."""
+    return binary_list(batch.column(batch.schema.get_field_index(name)))
+
+
 #: Bytes of an Arrow batch; a longer row is a batch of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def _trimmed(run, batches):
@@ -63,7 +67,7 @@ def _trimmed(run, batches):
             pass
 
 
-def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """``mapInArrow`` over batches of bounded bytes, a setting of the session that is lowered here if it is above ``BATCH_BYTES``."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(str(conf.get(name)).rstrip("bB")) > BATCH_BYTES:
@@ -71,10 +75,34 @@ def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(partial(_trimmed, run), schema)
 
 
-#: Rows of at most about 64 bytes each that a broadcast may hold.
-BROADCAST_ROWS = 1_000_000
+#: Bytes that a broadcast may hold.
+BROADCAST_BYTES = 64 << 20
+
+
+def small_side(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
+    """A broadcast hint if the counted rows, of at most about ``row_bytes`` each, are within the limit; beyond it the join shuffles."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def where_text(docs: DataFrame, text_col: str, chosen) -> DataFrame:
+    """Rows, with all their columns, for whose texts ``chosen()`` (made once a task) gives true, of a batch's texts as bytes."""
+    import pyarrow as pa
+
+    names = docs.columns
+    place = next(k for k, c in enumerate(names) if c == text_col)
 
+    def run(batches):
+        choose = chosen()
+        for batch in batches:
+            kept = choose(binary_list(batch.column(place)))
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
-def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if the counted rows are within the limit; beyond it the join shuffles."""
-    return F.broadcast(df) if rows <= limit else df
+    return map_arrow(docs, run, docs.schema)

@@ -4,13 +4,14 @@ A document is a bag of sentences. Each sentence has a logistic score over its wo
 probability is their noisy-or with a small leak. Weights are learned from document labels alone, by gradient
 descent on the bags' likelihood, and then locate the sentences that offend.
 
-The model is fitted on at most ``SAMPLE_ROWS`` labelled rows (chosen by a hash of the id) and
-``SAMPLE_CHARS`` characters of them. Scoring reads every row and whole text.
+The model is fitted on at most ``SAMPLE_ROWS`` labelled texts and ``SAMPLE_BYTES`` bytes of them, taken in the order of hashes of id and text, so that
+neither depends on how the tables are stored; texts of more than a twentieth of the bytes are not learned from. Scoring reads every row and whole text.
 
 Defined results: a null or empty text has no sentences and scores the leak. Rows with a null id are
 never learned from and count as held out. Labels that are null are left out; of several
-labels of one id the largest holds. With no labelled rows of both kinds all scores are the base rate,
-or 0 without any labels. Repeated rows score alike.
+labels of one id or one text the largest holds. With no labelled rows of both kinds all scores are the base rate,
+or 0 without any labels. Repeated rows score alike. Very long texts are scored whole. Other columns are never read, whatever their names. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataloom.llm.text import WORD_BYTES, columns, map_arrow, utf8_column
+from strataloom.llm.text import WORD_BYTES, columns, map_arrow, utf8_column, where_text
 
 #: Bounds of the labelled sample that the model is fitted on.
-SAMPLE_ROWS, SAMPLE_CHARS = 12_000, 120_000_000
+SAMPLE_ROWS, SAMPLE_BYTES = 12_000, 120_000_000
 #: A word is a feature from this many sampled texts on, and this many deviations above the base rate.
 LEAST_TEXTS, LEAST_DEVIATIONS = 3, 4.0
 
@@ -73,7 +74,7 @@ def fit(bags: list[tuple[int, list[list[bytes]]]], steps: int = 400, rate: float
         return NoisyOr({}, -1000.0, 40.0 if share >= 1 else -float(np.log1p(-share)))
     seen, positive = Counter(), Counter()
     for label, bag in bags:
-        words = set().union(*bag) if bag else set()
+        words = sorted(set().union(*bag)) if bag else []
         seen.update(words)
         if label:
             positive.update(words)
@@ -118,24 +119,31 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, id_col="doc_id"
     """Fit on labelled rows for whose id (as column ``id``) ``learnable`` holds."""
     known = columns(labels, id=id_col, label=label_col).where("id IS NOT NULL AND label IS NOT NULL").where(learnable)
     known = known.groupBy("id").agg(F.max("label").alias("label"))
-    share = SAMPLE_ROWS / max(known.count(), 1)
-    if share < 1:
-        known = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * SAMPLE_ROWS)
-    texts = columns(docs, id=id_col, text=text_col).where("text IS NOT NULL")
-    rows = texts.join(F.broadcast(known), "id").select("label", F.encode("text", "UTF-8").alias("text"))
-    bags, seen, size, pool = [], set(), 0, {}
-    for row in rows.toLocalIterator(prefetchPartitions=True):
-        text = bytes(row.text)
-        if hash(text) in seen:
-            continue
-        seen.add(hash(text))
-        size += len(text)
-        if size > SAMPLE_CHARS:
-            break
-        bags.append((int(row.label > 0), [[pool.setdefault(w, w) for w in set(p.split())] for _, p in sentences(text)]))
+    share = 2 * SAMPLE_ROWS / max(known.count(), 1)
+    by_hash = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("i"))
+    if share < 1:  # about twice as many as needed, of which the first are taken
+        known = known.where(F.xxhash64("id") < int((share - 0.5) * 2.0**64))
+    known = known.orderBy(by_hash).limit(SAMPLE_ROWS)
+    texts = columns(docs, id=id_col, text=text_col).where("text IS NOT NULL").where(F.octet_length("text") <= SAMPLE_BYTES // 20)
+    rows = texts.join(F.broadcast(known), "id").groupBy(F.xxhash64("text").alias("t")).agg(
+        F.min(by_hash).alias("at"), F.max("label").alias("label"), F.min(F.encode("text", "UTF-8")).alias("text"))
+    rows = rows.orderBy("at", "t").limit(SAMPLE_ROWS)
+    size = F.sum(F.octet_length("text")).over(Window.orderBy("at", "t"))  # at most SAMPLE_ROWS rows
+    rows = rows.withColumn("size", size).where(F.col("size") <= SAMPLE_BYTES).orderBy("at", "t")
+    bags, pool = [], {}
+    for row in rows.select("label", "text").toLocalIterator():
+        bags.append((int(row.label > 0), [[pool.setdefault(w, w) for w in sorted(set(p.split()))] for _, p in sentences(bytes(row.text))]))
     return fit(bags)
 
 
+def _in_characters(text: bytes | None, found: list[tuple[int, int, float]]):
+    at = chars = 0
+    for a, b, s in found:
+        start = chars + len(text[at:a].decode("utf-8", "replace"))
+        at, chars = b, start + len(text[a:b].decode("utf-8", "replace"))
+        yield {"start": start, "end": chars, "score": s}
+
+
 def score(docs: DataFrame, model: NoisyOr, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """One row per document: id, score, offending (character spans of sentences with their scores)."""
     import pyarrow as pa
@@ -144,15 +152,16 @@ def score(docs: DataFrame, model: NoisyOr, id_col: str = "doc_id", text_col: str
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
     schema = pa.schema([("id", pa.int64()), ("score", pa.float64()), ("offending", pa.list_(span))])
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
     def run(batches):
+        own = shared.value
         for batch in batches:
             scores, spans = [], []
             for text in utf8_column(batch, "text"):
-                p, found = model.of(text, threshold)
+                p, found = own.of(text, threshold)
                 scores.append(p)
-                spans.append([
-                    {"start": len(text[:a].decode("utf-8", "ignore")), "end": len(text[:b].decode("utf-8", "ignore")), "score": s} for a, b, s in found
-                ])
+                spans.append(list(_in_characters(text, found)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, schema.field("offending").type)], schema=schema)
 
     return map_arrow(texts, run, "id long, score double, offending array<struct<start: long, end: long, score: double>>")
@@ -164,8 +173,18 @@ def remainder(column: str, by: int) -> Column:
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of all rows, learned from labelled rows whose remainder by 5 is not 0."""
-    model = train(docs, labels, remainder("id", 5) != 0)
-    return score(docs, model)
+    return score(docs, train(docs, labels, remainder("id", 5) != 0))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The documents that score below the threshold, with all their columns; decided by row."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, remainder("id", 5) != 0, text_col=text_col))
+
+    def chosen():
+        own = shared.value
+        return lambda texts: [own.of(t)[0] < threshold for t in texts]
+
+    return where_text(docs, text_col, chosen)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

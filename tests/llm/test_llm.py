@@ -64,14 +64,25 @@ def test_dedup_collisions_compare_full_bytes(spark, awkward):
 
 
 def test_dedup_state_lasts(spark, tmp_path):
-    feed = str(tmp_path / "feed")
-    rows = lambda xs: spark.createDataFrame([(i, i, bytes(d, "ascii"), "l") for i, d in xs], "id long, row long, digest binary, locator string")
-    state = exact_dedup.DedupState(spark, str(tmp_path / "state"), files_per_batch=1)
-    for part in ([(1, "a"), (2, "b")], [(3, "a")]):
-        df = rows(part)
-        df.coalesce(1).write.mode("append").parquet(feed)
-        state.advance(feed, df.schema)
-    assert {(bytes(r["digest"]), r["stays"]["id"], r["n"]) for r in state.verdicts().collect()} == {(b"a", 3, 2), (b"b", 2, 1)}
+    folder = f"file://{tmp_path}"
+    runs = [[(1, "a"), (2, "b"), (3, "c")], [(4, "A"), (0, "B"), (5, "d")], [(9, "a"), (6, None)]]
+    want = [[(1, 1, 1, True), (2, 2, 1, True), (3, 3, 1, True)], [(0, 2, 2, False), (4, 4, 2, True), (5, 5, 1, True)], [(6, 6, 1, True), (9, 9, 3, True)]]
+    weak = lambda t: F.encode(F.substring(F.sha2(t, 256), 1, 1), "UTF-8")
+    for name, digest in (("full", exact_dedup.sha256), ("weak", weak)):
+        for k, rows in enumerate(runs):
+            spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/{name}-{k}")
+            docs = spark.read.parquet(f"{folder}/{name}-{k}")
+            got = exact_dedup.exact_dedup(docs, digest=digest, folder=f"{folder}/{name}-seen").collect()
+            assert sorted((r["id"], r["stays_id"], r["n"], r["kept"]) for r in got) == want[k]
+            assert all(f"{name}-{k}" in r["locator"]["file"] for r in got)
+
+
+def test_dedup_in_many_batches(spark, tmp_path):
+    rows = [(i, f"text {i % 7}") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(6).write.parquet(f"{tmp_path}/docs")
+    got = exact_dedup.exact_dedup(spark.read.parquet(f"{tmp_path}/docs"), files_per_batch=1).collect()
+    want = {i: (max(j for j, t in rows if t == text), sum(t == text for _, t in rows)) for i, text in rows}
+    assert {r["id"]: (r["stays_id"], r["n"]) for r in got} == want and sum(r["kept"] for r in got) == 7 and len(got) == 60
 
 
 def test_keep_unique(spark, awkward):
@@ -84,13 +95,32 @@ def test_keep_unique(spark, awkward):
 
 def test_wu_manber_finds_all():
     rng = random.Random(3)
-    for _ in range(200):
-        alphabet = [bytes([c]) for c in b"abc"]
-        pats = {tuple(rng.choice(alphabet) for _ in range(5)): {k} for k in range(4)}
-        text = tuple(rng.choice(alphabet) for _ in range(60))
-        m = decontaminate.WuManber(pats)
-        want = {(i, n) for n, p in enumerate(pats) for i in range(56) if text[i : i + 5] == p}
-        assert set(m.find(text)) == want
+    for width in (1, 2, 3, 5):
+        for _ in range(60):
+            items = [(str(k), " ".join(rng.choice("abc") for _ in range(rng.choice([2, 5, 9]))).encode()) for k in range(4)]
+            text = [rng.choice("abcd").encode() for _ in range(60)]
+            spans, owners = decontaminate.Matchers(items, width).search(text)
+            hit, want = set(), set()
+            for item, words in items:
+                w = words.split()
+                n = min(width, len(w))
+                for k in range(len(w) - n + 1):
+                    at = [i for i in range(len(text) - n + 1) if text[i : i + n] == w[k : k + n]]
+                    hit |= {j for i in at for j in range(i, i + n)}
+                    want |= {item} if at else set()
+            assert {j for a, b in spans for j in range(a, b)} == hit and owners == want
+
+
+def test_long_items_are_cut_without_loss(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(5000)}" for _ in range(3000)]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "short one")], "item_id long, text string")
+    rows = [(i, " ".join(["x", *words[200 * i + 90 : 200 * i + 90 + 13 + i], "y"])) for i in range(14)] + [(99, "nothing"), (98, "a short one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["id"], r["n_hit"], r["items"]) for r in decontaminate.decontaminate(docs, items, group_words=100).collect())
+    assert got == [(i, 13 + i, ["1"]) for i in range(14)] + [(98, 2, ["2"]), (99, 0, [])]
+    for size in (100, 10**6):
+        assert [r["doc_id"] for r in decontaminate.keep_clean(docs, items, group_words=size).collect()] == [99]
 
 
 def test_decontaminate_groups_agree(spark, sf):
@@ -136,6 +166,15 @@ def test_toxicity_locates_sentences(spark, awkward):
     assert toxicity.toxicity(spark, awkward, none).where("score > 0").count() == 0
 
 
+def test_toxicity_model_is_the_same_from_any_layout(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 60)
+    rows = [(i, f"word {i % 9}. you {'idiot' if i % 3 == 0 else 'friend'} {i % 5}") for i in range(300)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    a = toxicity.train(docs, labels, F.lit(True))
+    b = toxicity.train(docs.orderBy(F.desc("doc_id")).repartition(7), labels.repartition(3), F.lit(True))
+    assert a.weights == b.weights and a.bias == b.bias and b"idiot" in a.weights
+
+
 # --- 4 ---
 
 
@@ -451,6 +490,64 @@ def test_pipeline_stages(spark, sf, docs):
     assert last.where("NOT lossless").count() == 0 and 0 < last.count() < len(docs)
 
 
+@pytest.fixture(scope="module")
+def clashing(spark, tmp_path_factory):
+    """Awkward rows in files, with columns named like those that the stages use themselves, and what each stage should keep."""
+    pytest.importorskip("corpus_pipeline")
+    folder = str(tmp_path_factory.mktemp("clashing"))
+    toxic, leak = "you vile idiot. " * 3, " ".join(f"leak{k}" for k in range(20))
+    near = [f"near{k}" for k in range(60)]
+    rows = [
+        (None, toxic), (None, "a fine text"), (1, toxic), (1, "another fine text"), (2, None), (3, ""), (4, "Copy of this"), (5, "copy of THIS"), (5, "copy of this"),
+        (6, leak), (6, "no leak at all"), (7, " ".join(near)), (None, " ".join([*near, "end"])), (7, " ".join(["start", *near])), (8, "long " * 50_000 + "end"), (9, " \t\n"),
+    ]
+    names = ["row", "_row", "locator", "_metadata", "id", "digest", "node", "key", "__id", "component", "score", "at", "n", "text_a", "Row2", "shingle"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    df = spark.createDataFrame([(i, t, None, "s", None, *(f"{k}-{n}" for n in names)) for k, (i, t) in enumerate(rows)], schema)
+    df.repartition(3).write.parquet(f"{folder}/documents.parquet")
+    labelled = [(1000 + k, f"you {'idiot' if k % 2 else 'friend'} number {k}") for k in range(120)]
+    train = spark.createDataFrame([(i, t, None, "s", None, *names) for i, t in labelled], schema)
+    train.write.mode("append").parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i, _ in labelled] + [(None, 1), (1, None)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, leak), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder, df.unionByName(train), rows
+
+
+def test_stages_decide_by_row(spark, clashing):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    folder, df, rows = clashing
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+
+    def kept(stage, table):
+        got = stage(spark, table, folder)
+        assert got.columns == table.columns and got.schema.simpleString() == table.schema.simpleString()
+        return sorted(int(r["key"].split("-")[0]) for r in got.where("doc_id IS NULL OR doc_id < 1000").collect())
+
+    every = set(range(len(rows)))
+    for table in (docs, df):  # in files and not
+        assert kept(pipeline.toxicity, table) == sorted(every - {0, 2})
+        unique = set(kept(pipeline.dedup, table))
+        assert unique - {7, 8} == {1, 2, 3, 5, 9, 10, 11, 12, 13, 14, 15} and len(unique) == 12
+        assert kept(pipeline.decontaminate, table) == sorted(every - {9})
+        near = set(kept(pipeline.near_duplicates, table))
+        assert near - {11, 13} == every - {0, 7, 8, 11, 12, 13} and len(near) == len(every) - 5
+    last = pipeline.run(spark, folder)
+    assert last.where("NOT lossless").count() == 0 and last.where("doc_id IS NULL").count() == 1
+
+
+def test_stages_on_empty_tables(spark, tmp_path, clashing):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    folder, df, _ = clashing
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    for _, stage in pipeline.STAGES[:-1]:
+        got = stage(spark, df.limit(0), str(tmp_path))
+        assert got.columns == df.columns and got.count() == 0
+        rest = stage(spark, df.where("doc_id < 1000"), str(tmp_path))  # no labels, no benchmark
+        assert rest.columns == df.columns and rest.count() > 0
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_word_hashes_cut_anywhere():
     text = b"ab  c\nd " * 200_000
     h, s, e = word_hashes(text)
