@@ -35,7 +35,7 @@ from strataloom.llm.text import columns, map_arrow, utf8_column
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 17
 #: Chunks read at once, chunks remembered, and symbols of the widest row of an array.
-SLICE, REMEMBERED, WIDE = 40_000, 100_000, 32
+SLICE, REMEMBERED, WIDE = 25_000, 100_000, 32
 #: Bytes from which a text's chunks are read one after another, and pieces handed on at once.
 LONG_TEXT, HANDED_ON = 1 << 20, 500_000
 MARK = "▁"

@@ -129,7 +129,8 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, id_col="doc_id"
         F.min(by_hash).alias("at"), F.max("label").alias("label"), F.min(F.encode("text", "UTF-8")).alias("text"))
     rows = rows.orderBy("at", "t").limit(SAMPLE_ROWS)
     size = F.sum(F.octet_length("text")).over(Window.orderBy("at", "t"))  # at most SAMPLE_ROWS rows
-    rows = rows.withColumn("size", size).where(F.col("size") <= SAMPLE_BYTES).orderBy("at", "t")
+    rows = rows.withColumn("size", size).where(F.col("size") <= SAMPLE_BYTES)
+    rows = rows.repartitionByRange(16, "at", "t").sortWithinPartitions("at", "t")  # the driver holds one part at a time
     bags, pool = [], {}
     for row in rows.select("label", "text").toLocalIterator():
         bags.append((int(row.label > 0), [[pool.setdefault(w, w) for w in sorted(set(p.split()))] for _, p in sentences(bytes(row.text))]))
