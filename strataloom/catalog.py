@@ -95,10 +95,10 @@ def table_uniq_first(spark, sf):
     return tb.uniq_table(t, "k", ["l_orderkey", "l_linenumber"])
 
 
-@_query("""SELECT event_id, event_type FROM (SELECT event_id, event_type, LAG(event_type) OVER (ORDER BY event_id) AS b FROM events WHERE user_id % 10 = 0)
+@_query("""SELECT event_id, event_type FROM (SELECT event_id, event_type, LAG(event_type) OVER (ORDER BY event_id) AS b FROM events)
 WHERE b IS NULL OR b <> event_type""")
 def table_uniq_consecutive(spark, sf):
-    t = table(spark, sf, "events").where("user_id % 10 = 0").select("event_id", "event_type")
+    t = table(spark, sf, "events").select("event_id", "event_type")
     return tb.uniq_table(t, "event_type", ["event_id"], consecutive=True)
 
 
@@ -108,24 +108,24 @@ def table_query(spark, sf):
 
 
 @_query("""SELECT p_partkey, p_size, big FROM (SELECT p_partkey, p_size, CASE WHEN p_size > 20 THEN '1' ELSE '0' END AS big,
-ROW_NUMBER() OVER (PARTITION BY p_size ORDER BY p_size, p_partkey) AS rn FROM part WHERE p_type <> '' AND p_partkey % 3 = 1) WHERE rn = 1""")
+ROW_NUMBER() OVER (PARTITION BY p_size ORDER BY p_size, p_partkey) AS rn FROM part WHERE p_type <> '' AND p_size <> 7) WHERE rn = 1""")
 def table_cook(spark, sf):
     t = table(spark, sf, "part")
     return tb.cook(
         t, columnexpr=["big='1' if int(p_size) > 20 else '0'"], queries=["SELECT p_partkey, p_size, big, p_type FROM data"], includevar=["p_type"],
-        filterexpr=["int(p_partkey) % 3 == 1"], sort="p_size", uniq="p_size", order=["p_partkey"],
+        filterexpr=["int(p_size) != 7"], sort="p_size", uniq="p_size", order=["p_partkey"],
     ).drop("p_type")
 
 
-@_query("SELECT c_custkey, c_nationkey, COALESCE(n_name, '') AS n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0) ON c_nationkey = n_nationkey")
+@_query("SELECT c_custkey, c_nationkey, COALESCE(n_name, '') AS n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey >= 2) ON c_nationkey = n_nationkey")
 def join_left(spark, sf):
-    right = table(spark, sf, "nation").where("n_nationkey % 2 = 0").select("n_nationkey", "n_name")
+    right = table(spark, sf, "nation").where("n_regionkey >= 2").select("n_nationkey", "n_name")
     return tb.join_tables(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), right, ["c_nationkey"], ["n_nationkey"])
 
 
-@_query("SELECT s_suppkey AS l_s_suppkey, s_nationkey AS l_s_nationkey, c_custkey AS r_c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey AND c_custkey % 50 = 0")
+@_query("SELECT s_suppkey AS l_s_suppkey, s_nationkey AS l_s_nationkey, c_custkey AS r_c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey")
 def join_inner_prefix(spark, sf):
-    right = table(spark, sf, "customer").where("c_custkey % 50 = 0").select("c_custkey", "c_nationkey")
+    right = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     return tb.join_tables(table(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), right, ["s_nationkey"], ["c_nationkey"], "inner", prefix1="l_", prefix2="r_")
 
 
@@ -152,11 +152,11 @@ def melt_columns(spark, sf):
 
 
 @_query("""SELECT COALESCE(a.k, b.k) AS key, a.v AS value_0, b.v AS value_1 FROM
-(SELECT c_nationkey AS k, MIN(c_custkey) AS v FROM customer WHERE c_custkey < 40 GROUP BY 1 HAVING COUNT(*) = 1) a FULL JOIN
-(SELECT s_nationkey AS k, MIN(s_suppkey) AS v FROM supplier GROUP BY 1 HAVING COUNT(*) = 1) b ON a.k = b.k""")
+(SELECT CAST(FLOOR(c_acctbal) AS BIGINT) AS k, MIN(c_custkey) AS v FROM customer GROUP BY 1 HAVING COUNT(*) = 1) a FULL JOIN
+(SELECT CAST(FLOOR(s_acctbal) AS BIGINT) AS k, MIN(s_suppkey) AS v FROM supplier GROUP BY 1 HAVING COUNT(*) = 1) b ON a.k = b.k""")
 def align_outer(spark, sf):
-    a = table(spark, sf, "customer").where("c_custkey < 40").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("v"))
-    return tb.align([a, table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("v"))], "k", "v")
+    a = table(spark, sf, "customer").select(F.floor("c_acctbal").alias("k"), F.col("c_custkey").alias("v"))
+    return tb.align([a, table(spark, sf, "supplier").select(F.floor("s_acctbal").alias("k"), F.col("s_suppkey").alias("v"))], "k", "v")
 
 
 @_query("SELECT k, o FROM (SELECT c_custkey AS k, 'c' AS o FROM customer UNION ALL SELECT s_suppkey, 's' FROM supplier)")
@@ -243,9 +243,13 @@ def hwp_chisq(spark, sf):
     return g.biallelic(_voted(spark, sf)).select("locus", _r(st.hwp_chisq_stat(F.col("hom1"), F.col("het"), F.col("hom2")), 5).alias("chisq"))
 
 
-@_query()
+@_query("WITH " + GENO + _COUNTS + """, rr AS (SELECT *, hom1 + het + hom2 AS n, 2 * LEAST(hom1, hom2) + het AS rare FROM b),
+w AS (SELECT locus, het, h, h * LN(2) - LGAMMA(h + 1) - LGAMMA((rare - h) / 2 + 1) - LGAMMA(n - h - (rare - h) / 2 + 1) AS l
+FROM (SELECT locus, het, n, rare, UNNEST(RANGE(CAST(rare % 2 AS BIGINT), CAST(rare + 1 AS BIGINT), 2)) AS h FROM rr)),
+m AS (SELECT *, EXP(l - MAX(l) OVER (PARTITION BY locus)) AS p FROM w), k AS (SELECT locus, p FROM m WHERE h = het)
+SELECT m.locus, ROUND(LEAST(1, SUM(CASE WHEN m.p <= k.p * (1 + 1e-9) THEN m.p ELSE 0 END) / SUM(m.p)), 6) AS p FROM m JOIN k ON k.locus = m.locus GROUP BY 1""")
 def hwp_exact(spark, sf):
-    return g.biallelic(_voted(spark, sf)).select("locus", st.hwp(F.col("hom1"), F.col("het"), F.col("hom2")).alias("p"))
+    return g.biallelic(_voted(spark, sf)).select("locus", _r(st.hwp(F.col("hom1"), F.col("het"), F.col("hom2"))).alias("p"))
 
 
 @_query("WITH " + GENO + """, a AS (SELECT locus, SUM(2-x) AS na, SUM(x) AS nb FROM geno GROUP BY 1)
@@ -278,16 +282,22 @@ def duplicate_pairs(spark, sf):
     return g.duplicates(_voted(spark, sf), 0.5, 25).select("s1", "s2", "disposition")
 
 
-@_query()
+@_query("WITH " + GENO + _PAIRS + """, t AS (SELECT SUM(2 - x) * 1.0 AS x, SUM(x) * 1.0 AS y, COUNT(*) * 2.0 AS n FROM geno GROUP BY locus),
+s AS (SELECT 2*x*x*y*y/n**4 * (x-1)/x * (y-1)/y * n/(n-1) * n/(n-2) * n/(n-3) AS e00, (4*x*x*x*y/n**4 * (x-1)/x * (x-2)/x + 4*x*y*y*y/n**4 * (y-1)/y * (y-2)/y) * n/(n-1) * n/(n-2) * n/(n-3) AS e01,
+(2*x*x*y/n**3 * (x-1)/x + 2*x*y*y/n**3 * (y-1)/y) * n/(n-1) * n/(n-2) AS e11 FROM t WHERE x > 0 AND y > 0 AND n > 3),
+e AS (SELECT AVG(e00) AS e00, AVG(e01) AS e01, AVG(e11) AS e11 FROM s), z AS (SELECT s1, s2, GREATEST(0, LEAST(1, ibs0 / (comparisons * e00))) AS ibd0,
+GREATEST(0, LEAST(1, (ibs1 - ibs0 / (comparisons * e00) * comparisons * e01) / (comparisons * e11))) AS z1 FROM p, e WHERE comparisons >= 30)
+SELECT s1, s2, ROUND(ibd0, 6) AS ibd0, ROUND(LEAST(z1, 1 - ibd0), 6) AS ibd1, ROUND(LEAST(z1, 1 - ibd0) / 2 + 1 - ibd0 - LEAST(z1, 1 - ibd0), 6) AS pihat FROM z""")
 def ibd_estimates(spark, sf):
     geno = _voted(spark, sf)
-    return g.ibd(g.sample_pairs(geno, None, 30), g.minor_major(geno).select("locus", F.col("minor_freq").alias("p")))
+    found = g.ibd(g.sample_pairs(geno, None, 30), g.allele_totals(geno))
+    return found.select("s1", "s2", *[_r(c).alias(c) for c in ("ibd0", "ibd1", "pihat")])
 
 
-@_query("WITH " + GENO + """, e AS (SELECT sample, locus, a1, a2 FROM trip WHERE ord % 7 = 0 AND a1 IS NOT NULL)
+@_query("WITH " + GENO + """, e AS (SELECT sample, locus, a1, a2 FROM trip WHERE a1 IS NOT NULL)
 SELECT geno.locus, SUM((geno.a1 = e.a1 AND geno.a2 = e.a2)::BIGINT) AS concordant, COUNT(*) AS comparisons FROM geno JOIN e ON geno.sample = e.sample AND geno.locus = e.locus GROUP BY 1""")
 def concordance_by_locus(spark, sf):
-    comp = v.triples(spark, sf).where("ord % 7 = 0").select("sample", "locus", "a1", "a2")
+    comp = v.triples(spark, sf).select("sample", "locus", "a1", "a2")
     return g.concordance(_voted(spark, sf), comp, "locus").select("locus", "concordant", "comparisons")
 
 
@@ -320,7 +330,8 @@ def transform_spec(spark, sf):
 
 @_query("WITH " + GENO + """ SELECT CASE WHEN sample % 3 = 0 THEN 'low' WHEN sample % 3 = 1 THEN 'mid' ELSE 'rest' END AS sample_group, COUNT(*) AS n FROM geno GROUP BY 1""")
 def split_by_group(spark, sf):
-    groups = spark.range(0, 5000).where("id % 3 < 2").select(F.col("id").alias("sample"), F.when(F.col("id") % 3 == 0, "low").otherwise("mid").alias("grp"))
+    samples = v.triples(spark, sf).select("sample").distinct().where("sample % 3 < 2")
+    groups = samples.select("sample", F.when(F.col("sample") % 3 == 0, "low").otherwise("mid").alias("grp"))
     return tb.tally(g.split_groups(_voted(spark, sf), samples=groups, default_sample="rest"), "sample_group")
 
 
@@ -371,10 +382,10 @@ def ld_prune(spark, sf):
     return pr.prune(loci, _dosage_ld(spark, sf), 12000, 0.02)
 
 
-@_query("""WITH RECURSIVE e AS (SELECT n_nationkey AS u, n_regionkey AS w FROM nation WHERE n_nationkey % 3 = 0), b AS (SELECT u, w FROM e UNION ALL SELECT w, u FROM e),
+@_query("""WITH RECURSIVE e AS (SELECT n_nationkey AS u, n_regionkey AS w FROM nation), b AS (SELECT u, w FROM e UNION ALL SELECT w, u FROM e),
 r(node, c) AS (SELECT u, u FROM b UNION SELECT b.w, r.c FROM r JOIN b ON b.u = r.node) SELECT node, MIN(c) AS component FROM r GROUP BY 1""")
 def connected_components(spark, sf):
-    return pr.components(table(spark, sf, "nation").where("n_nationkey % 3 = 0"), "n_nationkey", "n_regionkey")
+    return pr.components(table(spark, sf, "nation"), "n_nationkey", "n_regionkey")
 
 
 # --- intervals ---------------------------------------------------------------------------
@@ -409,9 +420,9 @@ def interval_islands(spark, sf):
 
 
 @_query("WITH " + IV + ", " + TG + """ SELECT chrom, pos, start, "end", pos - "end" AS distance FROM (SELECT tg.chrom, tg.s AS pos, iv.s AS start, iv.e AS "end",
-ROW_NUMBER() OVER (PARTITION BY tg.name ORDER BY iv.e DESC, iv.s DESC) AS rn FROM tg JOIN iv ON tg.chrom = iv.chrom AND iv.e <= tg.s WHERE tg.name % 10 = 0) WHERE rn = 1""")
+ROW_NUMBER() OVER (PARTITION BY tg.name ORDER BY iv.e DESC, iv.s DESC) AS rn FROM tg JOIN iv ON tg.chrom = iv.chrom AND iv.e <= tg.s) WHERE rn = 1""")
 def interval_nearest(spark, sf):
-    points = v.targets(spark, sf).where("name % 10 = 0").select("chrom", F.col("start").alias("pos"))
+    points = v.targets(spark, sf).select("chrom", F.col("start").alias("pos"))
     return iv.nearest(points, v.intervals(spark, sf)).drop("rank")
 
 
@@ -457,10 +468,12 @@ def assoc_linear_simple(spark, sf):
     return s.select("locus", "n", _r("slope", 4).alias("slope"), _r("intercept", 4).alias("intercept"), _r("r2").alias("r2"))
 
 
-@_query("WITH " + GENO + """ SELECT locus, ROUND(REGR_SLOPE(c_acctbal, x), 4) AS beta FROM geno JOIN customer ON c_custkey = sample GROUP BY 1""")
+@_query("WITH " + GENO + """ SELECT locus, ROUND(REGR_SLOPE(c_acctbal, x), 4) AS beta,
+ROUND(SQRT((REGR_SYY(c_acctbal, x) - REGR_SXY(c_acctbal, x) * REGR_SXY(c_acctbal, x) / REGR_SXX(c_acctbal, x)) / (COUNT(*) - 2) / REGR_SXX(c_acctbal, x)), 4) AS se
+FROM geno JOIN customer ON c_custkey = sample GROUP BY 1""")
 def assoc_linear_scan(spark, sf):
     s = rg.scan(_phenotypes(spark, sf), "y = TREND(locus)").where("term = 'trend'")
-    return s.select("locus", _r("beta", 4).alias("beta"))
+    return s.select("locus", _r("beta", 4).alias("beta"), _r("se", 4).alias("se"))
 
 
 @_query()
@@ -509,7 +522,7 @@ def edit_distance(spark, sf):
     return n.join(b, (F.col("r") == F.col("n_regionkey")) & (F.col("n_nationkey") < F.col("k"))).select(F.col("n_name").alias("a"), "b", sq.levenshtein(F.col("n_name"), F.col("b")).alias("d"))
 
 
-@_query()
+@_query("SELECT n_name, CAST(damerau_levenshtein(n_name, reverse(n_name)) AS INTEGER) AS d FROM nation")
 def transposition_distance(spark, sf):
     n = table(spark, sf, "nation").select("n_name")
     return n.select("n_name", sq.damerau_levenshtein(F.col("n_name"), F.reverse("n_name")).alias("d"))

@@ -127,6 +127,16 @@ def jeffreys_interval(x: int, n: int, alpha: float = 0.05) -> tuple[float, float
     return low, high
 
 
+_LOGS = [np.zeros(1)]
+
+
+def log_factorials(n: int) -> np.ndarray:
+    """Logarithms of 0! to n! at least; the process's table grows to the largest n asked for."""
+    if len(_LOGS[0]) <= n:
+        _LOGS[0] = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, max(n, 2 * len(_LOGS[0])) + 1)))))
+    return _LOGS[0]
+
+
 def hwp_exact(hom1: int, het: int, hom2: int) -> float:
     """Exact equilibrium probability: the total of all heterozygote counts no likelier than the one seen, by log factorials."""
     rare = 2 * min(hom1, hom2) + het
@@ -136,8 +146,8 @@ def hwp_exact(hom1: int, het: int, hom2: int) -> float:
     hets = np.arange(rare % 2, rare + 1, 2)
     homr = (rare - hets) // 2
     homc = n - hets - homr
-    lg = np.vectorize(math.lgamma)
-    logs = hets * math.log(2) - lg(hets + 1.0) - lg(homr + 1.0) - lg(homc + 1.0)
+    lg = log_factorials(n)
+    logs = hets * math.log(2) - lg[hets] - lg[homr] - lg[homc]
     p = np.exp(logs - logs.max())
     p /= p.sum()
     seen = p[np.searchsorted(hets, het)]

@@ -334,20 +334,38 @@ def duplicates(df: DataFrame, threshold: float = 0.85, min_comparisons: int = 20
     return found.where(alike | F.col("is_expected")).withColumn("disposition", label).drop("is_expected")
 
 
-def ibd(pairs: DataFrame, frequencies: DataFrame) -> DataFrame:
-    """Moments estimate of identity by descent from shared-allele counts and allele frequencies (locus, p)."""
-    p, q = F.col("p"), 1 - F.col("p")
-    e = frequencies.agg(
-        F.avg(2 * p * p * q * q).alias("e00"), F.avg(4 * p**3 * q + 4 * p * q**3).alias("e10"), F.avg(p**4 + 4 * p * p * q * q + q**4).alias("e20"),
-        F.avg(2 * p * p * q + 2 * p * q * q).alias("e11"), F.avg(p**3 + p * p * q + p * q * q + q**3).alias("e21"),
-    )
-    n = F.col("comparisons")
-    z0 = F.try_divide(F.col("ibs0"), n * F.col("e00"))
-    z1 = F.try_divide(F.col("ibs1") - z0 * n * F.col("e10"), n * F.col("e11"))
+def allele_totals(df: DataFrame) -> DataFrame:
+    """(locus, x, n): copies of one of two alleles and of both; x is null where a locus hasn't exactly two."""
+    counts = allele_counts(df).groupBy("locus").agg(F.min(F.struct("allele", "n"))["n"].alias("x"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    return counts.select("locus", F.when(F.col("k") == 2, F.col("x")).alias("x"), "n")
+
+
+def ibd(pairs: DataFrame, totals: DataFrame) -> DataFrame:
+    """Moments estimate of identity by descent from shared-allele counts and allele counts (locus, x, n).
+
+    The expected shares of loci carry factors for sampling without replacement; loci where one isn't finite are left out.
+    """
+    x, n = F.col("x").cast("double"), F.col("n").cast("double")
+    y = n - x
+    p, q = x / n, y / n
+    ratio = F.try_divide
+    n2 = ratio(n, n - 1) * ratio(n, n - 2)
+    n3 = n2 * ratio(n, n - 3)
+    xx, yy = ratio(x - 1, x), ratio(y - 1, y)
+    shares = {
+        "e00": 2 * p * p * q * q * xx * yy * n3,
+        "e01": (4 * p * p * p * q * xx * ratio(x - 2, x) + 4 * p * q * q * q * yy * ratio(y - 2, y)) * n3,
+        "e11": (2 * p * p * q * xx + 2 * p * q * q * yy) * n2,
+    }
+    finite = F.col("e00").isNotNull() & F.col("e01").isNotNull() & F.col("e11").isNotNull()
+    e = totals.where("n > 0").select(*[c.alias(k) for k, c in shares.items()]).where(finite).agg(*[F.avg(k).alias(k) for k in shares])
+    m = F.col("comparisons")
+    z0 = ratio(F.col("ibs0"), m * F.col("e00"))
+    z1 = ratio(F.col("ibs1") - z0 * m * F.col("e01"), m * F.col("e11"))
     clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     out = pairs.crossJoin(F.broadcast(e)).withColumns({"ibd0": clamp(z0)})  # one row of expectations
     out = out.withColumn("ibd1", F.least(clamp(z1), 1 - F.col("ibd0"))).withColumn("ibd2", 1 - F.col("ibd0") - F.col("ibd1"))
-    return out.withColumn("pihat", F.col("ibd1") / 2 + F.col("ibd2")).drop("e00", "e10", "e20", "e11", "e21")
+    return out.withColumn("pihat", F.col("ibd1") / 2 + F.col("ibd2")).drop(*shares)
 
 
 def concordance(ref: DataFrame, comp: DataFrame, axis: str, sample_map: DataFrame | None = None, locus_map: DataFrame | None = None) -> DataFrame:
@@ -369,7 +387,13 @@ def concordance(ref: DataFrame, comp: DataFrame, axis: str, sample_map: DataFram
 
 
 def mendel(df: DataFrame, pedigree: DataFrame) -> DataFrame:
-    """Transmissions to each child (child, parent1, parent2) at loci where child and at least one parent are called: consistent and all."""
+    """Transmissions to each child (child, parent1, parent2) at loci where child and at least one parent are called: consistent and all.
+
+    A child counts only if both parents are among the samples.
+    """
+    present = df.select("sample").distinct()
+    for parent in ("parent1", "parent2"):
+        pedigree = pedigree.join(present.withColumnRenamed("sample", parent), parent, "left_semi")
     called = df.where("a1 IS NOT NULL AND a2 IS NOT NULL")
     as_ = lambda who, s: called.select(F.col("sample").alias(who), "locus", F.array("a1", "a2").alias(s), F.col("a1").alias(f"{s}1"), F.col("a2").alias(f"{s}2"))
     trio = as_("child", "c").join(pedigree.select("child", "parent1", "parent2"), "child")

@@ -180,24 +180,21 @@ def principal_components(dosages: DataFrame, n: int = 2) -> pd.DataFrame:
     Loci are summed where they lie into the samples' covariance, so the driver receives sample x sample numbers; samples must be few.
     """
     samples = [r[0] for r in dosages.select("sample").distinct().orderBy("sample").collect()]
-    at = {s: i for i, s in enumerate(samples)}
-    rows = dosages.where("x IS NOT NULL").groupBy("locus").agg(F.collect_list(F.struct("sample", "x")).alias("calls"))
+    number = dosages.sparkSession.createDataFrame([(x, i) for i, x in enumerate(samples)], f"sample {dict(dosages.dtypes)['sample']}, at int")
+    called = dosages.where("x IS NOT NULL").join(F.broadcast(number), "sample")  # as few rows as samples
+    rows = called.groupBy("locus").agg(F.collect_list("at").alias("at"), F.collect_list(F.col("x").cast("double")).alias("x"))
 
     def run(batches):
         total = np.zeros((len(samples), len(samples)))
         for batch in batches:
-            for calls in batch["calls"]:
-                x = np.full(len(samples), np.nan)
-                for c in calls:
-                    x[at[c["sample"]]] = c["x"]
-                mean = np.nanmean(x)
-                p = mean / 2
-                if 0 < p < 1:
-                    z = np.nan_to_num((x - mean) / np.sqrt(p * (1 - p)))
-                    total += np.outer(z, z)
+            for at, x in zip(batch["at"], batch["x"]):
+                share = (x.sum() / 2 + 0.5) / (len(x) + 1)  # never 0 or 1
+                z = np.zeros(len(samples))
+                z[at] = (x - x.mean()) / np.sqrt(share * (1 - share))
+                total += np.outer(z, z)
         yield pd.DataFrame({"cov": [total.tobytes()]})
 
-    parts = rows.select("calls").mapInPandas(run, "cov binary").toLocalIterator()
+    parts = rows.select("at", "x").mapInPandas(run, "cov binary").toLocalIterator()
     total = np.zeros((len(samples), len(samples)))
     for part in parts:
         total += np.frombuffer(part["cov"]).reshape(total.shape)

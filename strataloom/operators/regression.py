@@ -15,7 +15,8 @@ from strataloom.functions import statistics as st
 CODINGS = {
     "TREND": [("trend", lambda x: x)], "DOM": [("dom", lambda x: (x > 0) * 1.0)], "REC": [("rec", lambda x: (x > 1) * 1.0)],
     "GENO": [("het", lambda x: (x == 1) * 1.0), ("hom", lambda x: (x == 2) * 1.0)], "ADOM": [("add", lambda x: x), ("het", lambda x: (x == 1) * 1.0)],
-    "MISSING": [("missing", lambda x: np.isnan(x) * 1.0)], "NOT_MISSING": [("called", lambda x: (~np.isnan(x)) * 1.0)], "NULL": [],
+    # The reference names these two the other way round than their words say, and so do formulas written for it.
+    "MISSING": [("missing", lambda x: (~np.isnan(x)) * 1.0)], "NOT_MISSING": [("not_missing", lambda x: np.isnan(x) * 1.0)], "NULL": [],
 }
 
 
@@ -37,8 +38,9 @@ def parse_formula(formula: str) -> tuple[str, list[list[tuple[str, str]]], bool]
     return left.strip(), terms, intercept
 
 
-def design(pdf: pd.DataFrame, terms, intercept: bool) -> tuple[np.ndarray, list[str]]:
-    columns, names = ([np.ones(len(pdf))], ["intercept"]) if intercept else ([], [])
+def design(pdf: pd.DataFrame, terms, intercept: bool) -> tuple[np.ndarray, list[str], list[bool]]:
+    """The model's columns, their names, and whether each has a factor of the locus."""
+    columns, names, own = ([np.ones(len(pdf))], ["intercept"], [False]) if intercept else ([], [], [])
     for factors in terms:
         product = [("", np.ones(len(pdf)))]
         for name, argument in factors:
@@ -50,7 +52,8 @@ def design(pdf: pd.DataFrame, terms, intercept: bool) -> tuple[np.ndarray, list[
             product = [(f"{a}:{b}" if a else b, u * v) for a, u in product for b, v in parts]
         columns += [v for _, v in product]
         names += [n for n, _ in product]
-    return np.column_stack(columns) if columns else np.empty((len(pdf), 0)), names
+        own += [any(argument == "locus" for _, argument in factors)] * len(product)
+    return np.column_stack(columns) if columns else np.empty((len(pdf), 0)), names, own
 
 
 def linear(y: np.ndarray, x: np.ndarray) -> dict:
@@ -135,14 +138,14 @@ def scan(data: DataFrame, formula: str, kind: str = "linear") -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         locus = pdf["locus"].iloc[0]
-        x, names = design(pdf, terms, intercept)
+        x, names, of_locus = design(pdf, terms, intercept)
         y = pdf[outcome].to_numpy(float)
         ok = np.isfinite(y) & np.isfinite(x).all(1)
         x, y = x[ok], y[ok]
         if len(y) <= x.shape[1] or not len(names):
             return pd.DataFrame([], columns=["locus", "term", "n", "beta", "se", "score_p", "wald_p", "lr_p"])
         model = fit(y, x)
-        own = [i for i, n in enumerate(names) if n != "intercept" and n not in covariates]
+        own = [i for i, is_own in enumerate(of_locus) if is_own]
         p = {k: st.chisq_sf(max(v, 0.0), d) for k, (v, d) in tests(y, x, own, fit).items()} if own else {}
         se = np.sqrt(np.maximum(np.diag(model["cov"]), 0))
         return pd.DataFrame({"locus": locus, "term": names, "n": len(y), "beta": model["beta"], "se": se, **{f"{k}_p": p.get(k) for k in ("score", "wald", "lr")}})

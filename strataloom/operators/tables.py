@@ -5,6 +5,8 @@ Order-dependent operators take an ``order`` column list; without one a table has
 
 from __future__ import annotations
 
+import re
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions import expressions
 from strataloom.operators.columns import resolve
+from strataloom.plans.workspace import Workspace
 
 #: Most distinct values that an indicator coding or a pivot makes into columns.
 MOST_COLUMNS = 10_000
@@ -78,10 +81,13 @@ def column_exprs(df: DataFrame, exprs: str | list[str]) -> DataFrame:
 
 
 def query(df: DataFrame, queries: str | list[str], name: str = "data") -> DataFrame:
-    """SQL over the table as a temporary view ``name``; several queries chain."""
+    """SQL over the table, which it calls ``name``; several queries chain. The session's own views keep their names."""
     for sql in [queries] if isinstance(queries, str) else queries:
-        df.createOrReplaceTempView(name)
-        df = df.sparkSession.sql(sql)
+        view = f"{name}_{uuid.uuid4().hex}"
+        df.createOrReplaceTempView(view)
+        first = f"{name} AS (SELECT * FROM {view})"
+        others = re.match(r"(?is)\s*with\s+(recursive\s+)?", sql)
+        df = df.sparkSession.sql(f"WITH {others[1] or ''}{first}, {sql[others.end():]}" if others else f"WITH {first} {sql}")
     return df
 
 
@@ -117,17 +123,28 @@ def uniq_table(df: DataFrame, keys=None, order: list[str] = (), consecutive: boo
     at = resolve(df.columns, keys)
     parts = [equal_key(_c(df.columns[i]).cast("string")) for i in at]
     if consecutive:
-        w = Window.orderBy(*order)
-        key = F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
-        return df.withColumn("__before", F.lag(key).over(w)).where(~F.coalesce(F.col("__before") == key, F.lit(False))).drop("__before")
+        return _uniq_runs(df, F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)]), order)
     if not order:
-        return df.dropDuplicates([df.columns[i] for i in at])
+        keys = {f"__k{i}": p for i, p in enumerate(parts)}
+        return df.withColumns(keys).dropDuplicates(list(keys)).drop(*keys)
     # The least order tuple carries its row: an aggregate combines before the shuffle, where a window could not.
     row = F.min(F.struct(*[_o(o).alias(f"o{i}") for i, o in enumerate(order)], F.struct(*[_c(c) for c in df.columns]).alias("row")))
     out = df.groupBy(*[p.alias(f"__k{i}") for i, p in enumerate(parts)]).agg(row.alias("__first"))
     return out.select("__first.row.*")
 
 
+def _uniq_runs(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
+    """Rows whose key isn't that of the row before. Ranges of the order are looked at apart; each starts after the last key of the one before."""
+    ranges = df.withColumn("__key", key).repartitionByRange(*[_c(o) for o in order]).withColumn("__range", F.spark_partition_id())
+    ranges = Workspace(df.sparkSession, "uniq-runs").table(ranges, "ranges")
+    by = [_c(o) for o in order]
+    last = ranges.groupBy("__range").agg(F.max_by("__key", F.struct(*by)).alias("__last"))  # a row for each range
+    last = last.select("__range", F.lag("__last").over(Window.orderBy("__range")).alias("__last"))
+    before = F.lag("__key").over(Window.partitionBy("__range").orderBy(*by))
+    out = ranges.withColumn("__before", before).join(F.broadcast(last), "__range")
+    return out.where(~F.coalesce(F.coalesce("__before", "__last") == F.col("__key"), F.lit(False))).select(df.columns)
+
+
 def cook(
     df: DataFrame, categorical: list[dict] = (), columnexpr=(), queries=(), includevar=(), excludevar=(), filterexpr=(), sort=None, uniq=None,
     order: list[str] = (),

@@ -95,7 +95,7 @@ def query_variants(variants: DataFrame, include: dict[str, list[str]] = {}, excl
 
 
 def merge_sparse(calls_: DataFrame) -> DataFrame:
-    """One row for each (chrom, start, end): alleles, cross references and individuals of all inputs, sorted and distinct."""
+    """One row for each (chrom, start, end): alleles and individuals of all inputs, sorted and distinct, and the number of calls."""
     return calls_.groupBy("chrom", "start", "end").agg(
         F.array_join(F.array_sort(F.collect_set("allele")), "/").alias("alleles"), F.array_join(F.array_sort(F.collect_set("individual")), ",").alias("individuals"),
         F.count(F.lit(1)).alias("n"),

@@ -182,3 +182,49 @@ def test_transform_spec_takes_all_even_samples(spark, tmp_path):
     spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_orderkey long, l_linenumber int, l_returnflag string").coalesce(1).write.parquet(str(tmp_path / "lineitem"))
     (next((tmp_path / "lineitem").glob("*.parquet"))).rename(tmp_path / "lineitem.parquet")
     assert compare(spark, str(tmp_path), "transform_spec", catalog.QUERIES["transform_spec"], catalog.ORACLE_SQL["transform_spec"]) == 4
+
+
+def test_distinct_without_order_compares_by_value(spark):
+    t = spark.createDataFrame([("1",), ("1.0",), ("b",), ("b",)], "x string")
+    assert tb.uniq_table(t, "x").count() == 2
+
+
+def test_runs_over_many_ranges(spark):
+    keys = [k // 7 % 3 for k in range(500)]
+    t = spark.createDataFrame([(k, str(v)) for k, v in enumerate(keys)], "o long, x string").repartition(5)
+    want = [k for k in range(500) if not k or keys[k] != keys[k - 1]]
+    assert [r["o"] for r in tb.uniq_table(t, "x", ["o"], consecutive=True).orderBy("o").collect()] == want
+
+
+def test_query_leaves_other_views_alone(spark):
+    spark.range(3).createOrReplaceTempView("data")
+    t = spark.createDataFrame([(7,)], "x long")
+    a, b = tb.query(t, "SELECT x FROM data"), tb.query(spark.range(5).toDF("x"), "WITH y AS (SELECT x + 1 AS x FROM data) SELECT * FROM y")
+    assert rows(a) == [(7,)] and b.count() == 5 and spark.table("data").count() == 3
+
+
+def test_covariate_products_are_not_the_locus(spark):
+    rng = np.random.default_rng(1)
+    n = 200
+    age, sex, x = rng.normal(size=n), rng.integers(0, 2, n), rng.integers(0, 3, n)
+    y = 3 * age * sex + rng.normal(size=n)
+    data = spark.createDataFrame([("l", float(a), float(b), float(c), float(a * b), float(d)) for a, b, c, d in zip(age, sex, x, y)], "locus string, age double, sex double, x double, both double, y double")
+    ps = [rg.scan(data, f).where("term = 'trend'").first()["wald_p"] for f in ("y = TREND(locus) + age*sex", "y = TREND(locus) + both")]
+    assert math.isclose(*ps, rel_tol=1e-9) and ps[0] > 0.01
+
+
+def test_principal_components(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate((rng.binomial(2, 0.1, (10, 60)), rng.binomial(2, 0.8, (10, 60))))
+    x[3, 5] = -1  # not called
+    data = spark.createDataFrame([(f"s{i:02d}", j, int(v)) for (i, j), v in np.ndenumerate(x) if v >= 0], "sample string, locus int, x int")
+    got = pr.principal_components(data, 1)
+    total = np.zeros((20, 20))
+    for j in range(60):
+        on = x[:, j] >= 0
+        share = (x[on, j].sum() / 2 + 0.5) / (on.sum() + 1)
+        z = np.where(on, x[:, j] / 2 - x[on, j].mean() / 2, 0) / np.sqrt(share * (1 - share))
+        total += np.outer(z, z)
+    want = np.linalg.eigh(total)[1][:, -1]
+    assert np.allclose(np.abs(got["pc1"].to_numpy()), np.abs(want), atol=1e-8)
+    assert len({tuple(np.sign(got["pc1"].to_numpy()[k : k + 10])) for k in (0, 10)}) == 2
