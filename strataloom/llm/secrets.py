@@ -1,13 +1,14 @@
 """Secret scans: patterns, and character Markov models compared by log-likelihood ratio.
 
 Two first-order character models, of random strings and of ordinary identifiers, are trained by counting the bigrams of
-labelled samples. Long runs of key characters whose ratio is high enough are secrets, besides what the
-patterns find. Everything is DataFrame functions: a pattern's matches and the pieces between them give the
-spans, and the ratio is a sum over the run's bigrams read from a constant array.
-
-Defined results: a null or empty text has no spans. Spans are in code points, end exclusive. A run that overlaps
-a pattern's span adds no span of its own. Repeated rows get the same spans. With an empty sample of
-either kind the models are uniform and add nothing.
+labelled samples. Runs of key characters outside what the patterns find are scored by the ratio of their bigrams; the stretch of
+a run with the greatest sum is a secret if its ratio is high enough, as a whole and for each bigram, so an ordinary path or name beside a key neither hides
+nor joins it. Everything is DataFrame functions: a pattern's matches and the pieces between them give the
+spans, added up in blocks, so the work grows with the text and not with the square of its matches.
+
+Defined results: a null or empty text has no spans. Spans are in code points, end exclusive. Very long texts are scanned whole. Repeated rows get the same
+spans. With an empty sample of either kind the models are uniform and add nothing. Other columns are never read, whatever their names. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -30,17 +31,20 @@ def _either_case(word: str) -> str:
 KEYWORDS = ("password", "passwd", "secret", "token", "api_?key")
 ASSIGN = "(" + "|".join(map(_either_case, KEYWORDS)) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 KINDS = ("assign", "access", "hex", "markov")
-ACCESS, HEX, RUN = "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}", "[A-Za-z0-9+/_=-]{20,}"
+ACCESS, HEX = "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}"
 LEAST_VALUE = 6
-#: Nats of log-likelihood ratio for a run, and for each of its bigrams.
-LEAST_RATIO, LEAST_MEAN = 12.0, 0.5
+#: Characters of a run and of a stretch, and nats of log-likelihood ratio for a stretch and for each of its bigrams.
+LEAST_LENGTH, LEAST_RATIO, LEAST_MEAN = 12, 12.0, 0.5
+RUN = f"[A-Za-z0-9+/_=-]{{{LEAST_LENGTH},}}"
+#: Matches added up at once.
+BLOCK = 128
 
 # Words that ordinary identifiers are made of in the default sample.
 WORDS = "user name file path index count value list item node data size time date type group order price table column row key hash map set get add remove update delete insert select from where join left right outer inner first last next previous start stop begin end open close read write load save parse format print string number integer float double boolean array object class method function module package import export default static public private final const return result error warning message status code response request client server session cache buffer stream thread process queue stack tree graph edge vertex point line color width height length offset limit total average minimum maximum thing nation station with that there here them then other another".split()
 
 
 def samples(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """Labelled samples (text, random): hashed bytes in two alphabets, and identifiers of two to four words."""
+    """Labelled samples (text, random): hashed bytes in two alphabets, and identifiers of two to four words or of digits."""
     words = F.lit(WORDS)
     pick = lambda k: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(WORDS))) + 1).cast("int"))
     hashed = F.sha2(F.col("id").cast("string"), 256)
@@ -50,8 +54,9 @@ def samples(spark: SparkSession, n: int = 4000) -> DataFrame:
     snake, camel = F.concat_ws("_", pick(1), pick(2), pick(3)), F.concat(pick(1), F.initcap(pick(2)), F.initcap(pick(3)))
     plain, upper = F.concat(pick(1), pick(2), pick(3), pick(4)), F.upper(F.concat_ws("_", pick(1), pick(2)))
     dashed = F.concat_ws("-", pick(1), pick(2), F.pmod(F.col("id"), F.lit(100)).cast("string"))
-    kind = F.pmod(F.col("id"), F.lit(6))
-    ordinary = F.when(kind == 0, snake).when(kind == 1, camel).when(kind == 2, upper).when(kind == 3, dashed).otherwise(plain)
+    number = F.translate(F.substring(hashed, 1, 16), "abcdef", "012345")
+    kind = F.pmod(F.col("id"), F.lit(7))
+    ordinary = F.when(kind == 0, snake).when(kind == 1, camel).when(kind == 2, upper).when(kind == 3, dashed).when(kind == 4, number).otherwise(plain)
     return ids.select(random.alias("text"), F.lit(True).alias("random")).unionByName(ids.select(ordinary.alias("text"), F.lit(False).alias("random")))
 
 
@@ -77,46 +82,86 @@ def train(labelled: DataFrame, smooth: float = 0.5) -> list[float]:
     return out
 
 
-def ratio(run: Column, table: list[float]) -> Column:
-    """The run's log-likelihood ratio, random against ordinary."""
+def stretch(run: Column, table: list[float]) -> Column:
+    """The stretch of a run with the greatest log-likelihood ratio, random against ordinary: (sum, first and end character, from 0)."""
     values = F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")
     code = lambda c: F.instr(F.lit(ALPHABET), c)
     at = lambda g: (code(F.substring(g, 1, 1)) - 1) * len(ALPHABET) + code(F.substring(g, 2, 1))
-    return F.aggregate(_bigrams(run), F.lit(0.0), lambda s, g: s + F.element_at(values, at(g)))
+    layout = "struct<place: int, sum: double, since: int, most: double, first: int, end: int>"
+
+    def step(acc, g):
+        place, more = acc["place"], F.element_at(values, at(g))
+        total = F.greatest(acc["sum"], F.lit(0.0)) + more
+        since = F.when(acc["sum"] > 0, acc["since"]).otherwise(place)
+        better = total > acc["most"]
+        new = (place + 1, total, since, F.greatest(total, acc["most"]), F.when(better, since).otherwise(acc["first"]), F.when(better, place + 2).otherwise(acc["end"]))
+        return F.struct(*new).cast(layout)
+
+    start = F.struct(F.lit(0), F.lit(0.0), F.lit(0), F.lit(0.0), F.lit(0), F.lit(0)).cast(layout)
+    return F.aggregate(_bigrams(run), start, step)
 
 
 _SPAN = "struct<kind: int, start: int, end: int, value: string>"
+_SPANS = f"array<{_SPAN}>"
 
 
 def spans(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
     """All leftmost non-overlapping matches: kind, start, end, and the group's text."""
     p = F.lit(pattern)
     pieces, matches, values = F.split(text, pattern, -1), F.regexp_extract_all(text, p, F.lit(0)), F.regexp_extract_all(text, p, F.lit(group))
-    zipped = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(matches)).alias("piece"), matches.alias("whole"), values.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
-
-    def step(acc, x):
-        begin = acc["at"] + F.length(x["piece"])
-        end = begin + F.length(x["whole"])
-        one = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["value"].alias("value")).cast(_SPAN)
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out")).cast(f"struct<at: int, out: array<{_SPAN}>>")
-
-    found = F.aggregate(zipped, start.cast(f"struct<at: int, out: array<{_SPAN}>>"), step)["out"]
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    sizes = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda a, b: F.struct(F.length(a).alias("gap"), F.length(b).alias("size")))
+    zipped = F.zip_with(sizes, values, lambda x, v: F.struct(x["gap"].alias("gap"), x["size"].alias("size"), v.alias("value")))
+    def within(block, begin):
+        start = F.struct(begin.alias("at"), F.array().cast(_SPANS).alias("out")).cast(f"struct<at: int, out: {_SPANS}>")
+
+        def step(acc, x):
+            first = acc["at"] + x["gap"]
+            end = first + x["size"]
+            one = F.struct(F.lit(kind).alias("kind"), first.alias("start"), end.alias("end"), x["value"].alias("value")).cast(_SPAN)
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out")).cast(f"struct<at: int, out: {_SPANS}>")
+
+        return F.aggregate(block, start, step)["out"]
+
+    total = lambda block: F.aggregate(block, F.lit(0), lambda n, x: n + x["gap"] + x["size"])
+    before = lambda blocks: F.aggregate(F.transform(blocks, total), F.array(F.lit(0)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
+    cut = lambda z: F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / BLOCK).cast("int")), lambda k: F.slice(z, k * BLOCK + 1, F.lit(BLOCK)))
+    # A lambda's variable is evaluated once, an expression inside a lambda again for each element.
+    once = lambda array, f: F.element_at(F.transform(F.array(array), f), 1)
+    found = F.flatten(once(once(zipped, cut), lambda blocks: F.zip_with(blocks, F.slice(before(blocks), F.lit(1), F.size(blocks)), within)))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPANS))
+
+
+def blanked(text: Column, pattern: str, least: int = 0, group: int = 0) -> Column:
+    """The text with spaces in place of the matches whose group has at least ``least`` characters."""
+    p = F.lit(pattern)
+    pieces, matches, values = F.split(text, pattern, -1), F.regexp_extract_all(text, p, F.lit(0)), F.regexp_extract_all(text, p, F.lit(group))
+    blanks = F.zip_with(matches, values, lambda m, v: F.when(F.length(v) >= least, F.repeat(F.lit(" "), F.length(m))).otherwise(m))
+    whole = F.array_join(F.zip_with(pieces, F.concat(blanks, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    return F.when(text.rlike(pattern), whole).otherwise(text)
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, base and added: arrays of spans (kind number, start, end, value), by start and kind."""
+    """One row per document: id, base and added: arrays of spans (kind number, start, end, value), by start and kind.
+
+    ``labelled`` (text, random: boolean) has samples of both kinds; without it they are made.
+    """
     table = train(samples(docs.sparkSession) if labelled is None else labelled)
     texts = columns(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    assign = F.filter(spans(F.col("text"), ASSIGN, 0, 2), lambda s: F.length(s["value"]) >= LEAST_VALUE)
+    text = F.col("text")
+    assign = F.filter(spans(text, ASSIGN, 0, 2), lambda s: F.length(s["value"]) >= LEAST_VALUE)
     found = texts.select(
-        "id", F.array_sort(F.concat(assign, spans(F.col("text"), ACCESS, 1), spans(F.col("text"), HEX, 2)), _by_start).alias("base"),
-        spans(F.col("text"), RUN, 3).alias("runs"),
+        "id", F.array_sort(F.concat(assign, spans(text, ACCESS, 1), spans(text, HEX, 2)), _by_start).alias("base"),
+        blanked(blanked(blanked(text, ASSIGN, LEAST_VALUE, 2), ACCESS), HEX).alias("rest"),
     )
-    free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    likely = lambda s: ratio(s["value"], table) >= F.greatest(F.lit(LEAST_RATIO), LEAST_MEAN * (F.length(s["value"]) - 1))
-    return found.select("id", "base", F.filter(F.filter("runs", free), likely).alias("added"))
+    runs = found.select("id", "base", spans(F.col("rest"), RUN, 3).alias("runs"))
+    scored = F.transform("runs", lambda s: F.struct(s.alias("run"), stretch(s["value"], table).alias("best")))
+    size = lambda x: x["best"]["end"] - x["best"]["first"]
+    likely = lambda x: (size(x) >= LEAST_LENGTH) & (x["best"]["most"] >= F.greatest(F.lit(LEAST_RATIO), LEAST_MEAN * (size(x) - 1)))
+    cut = lambda x: F.struct(
+        F.lit(3).alias("kind"), (x["run"]["start"] + x["best"]["first"]).alias("start"), (x["run"]["start"] + x["best"]["end"]).alias("end"),
+        F.substring(x["run"]["value"], x["best"]["first"] + 1, size(x)).alias("value"),
+    ).cast(_SPAN)
+    return runs.select("id", "base", F.transform(F.filter(scored, likely), cut).alias("added"))
 
 
 def _by_start(a: Column, b: Column) -> Column:

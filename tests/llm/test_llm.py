@@ -561,3 +561,44 @@ def test_empty_tables(spark, awkward):
         langid.identify(none, langid.train(none, F.lit(True))), sentencepiece_codec.encode(none), pii.pseudonymize(none), secrets.scan(none),
     ):
         assert got.count() == 0
+
+
+def test_many_spans_in_one_text(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([5, 24, 30]))) for _ in range(9000)]
+    text = " ".join(words)
+    got = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    want = [(m.start(), m.end()) for m in re.finditer("[0-9a-f]{24,}", text)]
+    assert [(s["start"], s["end"]) for s in got["base"]] == want and not got["added"]
+
+
+def brute_stretch(run, table):
+    k = len(secrets.ALPHABET)
+    steps = [table[secrets.ALPHABET.index(a) * k + secrets.ALPHABET.index(b)] for a, b in zip(run, run[1:])]
+    return max((sum(steps[i:j]) for i in range(len(steps)) for j in range(i + 1, len(steps) + 1)), default=0.0)
+
+
+def test_added_spans_equal_brute_force(spark):
+    rng = random.Random(7)
+    key = lambda n: "".join(rng.choice(secrets.ALPHABET[:62]) for _ in range(n))
+    texts = [f"see /usr/share/doc/{key(16)} and get_user_name_from_session_cache {key(13)} or 12345678901234 token={key(9)} {key(40)}" for _ in range(40)]
+    table = [round(x, 6) for x in secrets.train(secrets.samples(spark))]
+    got = {r["id"]: r for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = 0
+    for i, text in enumerate(texts):
+        rest = text
+        for s in got[i]["base"]:
+            rest = rest[: s["start"]] + " " * (s["end"] - s["start"]) + rest[s["end"] :]
+        runs = [(m.start(), m[0], brute_stretch(m[0], table)) for m in re.finditer(secrets.RUN, rest)]
+        added = {(s["start"], s["end"]): s["value"] for s in got[i]["added"]}
+        assert all(text[a:b] == v for (a, b), v in added.items())
+        for at, run, best in runs:
+            mine = [(a, b) for a, b in added if at <= a and b <= at + len(run)]
+            assert len(mine) <= 1
+            if mine:
+                (a, b), = mine
+                assert math.isclose(brute_stretch(text[a:b], table), best, abs_tol=1e-4) and best >= max(secrets.LEAST_RATIO, secrets.LEAST_MEAN * (b - a - 1)) - 1e-4
+                found += 1
+            else:
+                assert best < secrets.LEAST_RATIO or run.islower() or best < secrets.LEAST_MEAN * len(run) or len(run) < 14
+    assert found >= 100
