@@ -392,8 +392,47 @@ def test_surrogates_keep_type_and_identity(spark, sf, awkward):
     assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", found[("phone", "+1 (900) 555-2077")])
     assert pii.rewrite(text) == (new, spans) and pii.rewrite(text, "other key")[0] != new
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    assert pii.collisions(docs, pii.pseudonymize(docs)).count() == 0
-    assert pii.pseudonymize(awkward).where("text IS NULL").count() == 2
+    assert pii.collisions(pii.pseudonymize(docs)).count() == 0
+    got = pii.checked(awkward)
+    assert got.where("text IS NULL").count() == 2 and got.where("text = ''").count() == 1 and got.count() == awkward.count()
+
+
+def test_surrogates_are_distinct_and_corefer_over_formats():
+    rng = random.Random(8)
+    number = [f"{rng.randrange(200, 999)}{rng.randrange(200, 999)}{rng.randrange(10**4):04d}" for _ in range(400)]
+    formats = [lambda d: f"({d[:3]}) {d[3:6]}-{d[6:]}", lambda d: f"{d[:3]}-{d[3:6]}-{d[6:]}", lambda d: f"+1 {d[:3]} {d[3:6]} {d[6:]}", lambda d: f"+1 ({d[:3]}) {d[3:6]}-{d[6:]}"]
+    of = {}
+    for d in set(number):
+        new = {pii.canonical("phone", pii.rewrite(f"call {f(d)}!")[1][0][3]) for f in formats}
+        assert len(new) == 1 and d not in new
+        of[d] = new.pop()
+    assert len(set(of.values())) == len(of)
+    for a, b in (("10.0.0.1", "010.0.0.1"), ("2001:db8::1", "2001:0db8:0000:0000:0000:0000:0000:0001"), ("Mary@Mail.example.org", "mary@mail.EXAMPLE.org")):
+        (*_, kind, x), (*_, _, y) = pii.rewrite(f"x {a} y")[1][0], pii.rewrite(f"x {b} y")[1][0]
+        assert pii.canonical(kind, x) == pii.canonical(kind, y) != pii.canonical(kind, a)
+    local = "a" * 83
+    new, spans = pii.rewrite(f"to {local}@mail.example.com")
+    assert spans[0][:2] == (3, 3 + 83 + 17) and "aaaaaaaa" not in new
+    for text in ("DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"):
+        (a, b, kind, new), = pii.rewrite(f"IBAN {text}.")[1]
+        packed = new.replace(" ", "")
+        assert kind == "iban" and new != text and pii._mod97(packed[4:] + packed[:4]) == 1 and [c == " " for c in new] == [c == " " for c in text]
+    for text, names in (("Dr 王伟 spoke", ["王伟"]), ("MARIA Weber, maria weber", ["MARIA", "Weber", "maria", "weber"]), ("José Garcia", ["José", "Garcia"]), ("My name is Wei Zhang", ["Wei", "Zhang"])):
+        new, spans = pii.rewrite(text)
+        assert [text[a:b] for a, b, *_ in spans] == names and all(n not in new for n in names)
+        assert [n.isupper() for n in names] == [s.isupper() for *_, s in spans]
+    assert pii.rewrite("mark the spot and carol singing at 12:30:45")[1] == []
+
+
+def test_collisions_are_seen_and_mended(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"mail a{i}@mail.example.com and Mary Smith") for i in range(30)], "doc_id long, text string")
+    result = pii.pseudonymize(docs)
+    assert pii.collisions(result).count() == 0
+    one = F.transform("entities", lambda e: e.withField("stand_in", F.lit(1).cast("long")))
+    assert pii.collisions(result.withColumn("entities", one)).where("what = 'stand_in'").count() > 0
+    bad = iter([result.withColumn("entities", one), result])
+    monkeypatch.setattr(pii, "pseudonymize", lambda *args: next(bad))
+    assert pii.checked(docs).count() == 30 and next(bad, None) is None
 
 
 # --- 9 ---
