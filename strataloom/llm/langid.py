@@ -168,27 +168,33 @@ def train(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col:
     schema = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("gram", pa.string()), ("count", pa.int64())])
 
     def run(batches):
-        counts: Counter = Counter()
+        words: dict[str, Counter] = {}
+        size = 0
 
         def flush():
-            keys = list(counts)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())],
-                schema=schema,
-            )
-            counts.clear()
-            return out
+            """N-grams are counted from the distinct words."""
+            for lang, times in words.items():
+                counts: Counter = Counter()
+                for word, n in times.items():
+                    counts[0, word] += n
+                    for k in range(1, LONGEST + 1):
+                        for g in char_grams(word, k):
+                            counts[k, g] += n
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(counts), pa.string()), pa.array([k for k, _ in counts], pa.int32()), pa.array([g for _, g in counts], pa.string()), pa.array(list(counts.values()), pa.int64())],
+                    schema=schema,
+                )
+            words.clear()
 
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for word, times in Counter(word_list(text)).items():
-                    counts[lang, 0, word] += times
-                    for n in range(1, LONGEST + 1):
-                        for g in char_grams(word, n):
-                            counts[lang, n, g] += times
-                if len(counts) > 400_000:
-                    yield flush()
-        yield flush()
+                found = word_list(text)
+                size += len(text)
+                words.setdefault(lang, Counter()).update(found)
+                if size > 4_000_000:
+                    yield from flush()
+                    size = 0
+        yield from flush()
 
     counted = map_arrow(sample.select("text", "lang"), run, "lang string, n int, gram string, count long")
     counted = counted.groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))

@@ -4,12 +4,13 @@ All rolling word k-gram hashes of every document are joined in Spark to the posi
 templates. A match votes for its diagonal (document position minus template position); votes are counted
 per document, template and diagonal, neighbouring diagonals are merged, and the spans that they name are
 verified word by word. Short phrases are templates of two-word grams that must match whole; longer
-notices use grams of four words and must match in a share of their words.
+notices use grams of four words and must match in a share of their words. Of notices found at the same words under different labels, the one with more of its
+words there stays, of equals the one with the greater share.
 
 The joined table holds templates only, at most ``TEMPLATE_WORDS`` words (checked), and is broadcast.
 
 Defined results: a null or empty text has no words and no labels, and scores 0. Repeated rows get the same
-findings. An empty table gives an empty result.
+findings. Very long texts are read whole. Other columns are never read, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -50,6 +51,12 @@ TEMPLATES = (
     Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
     Template("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
     Template("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    Template("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"),
+    Template("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    Template("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/"),
+    Template("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    Template("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"),
+    Template("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
 )
 
@@ -128,6 +135,16 @@ def verify(text: list[bytes], template: list[bytes], first: int, last: int, gram
     return len(covered) / len(template), start or 0, end or 0
 
 
+def outstanding(notices: list[tuple[float, dict]]) -> list[dict]:
+    """The finds without those of another label more than half of whose words belong to a find with more words."""
+    out: list[dict] = []
+    for _, x in sorted(notices, key=lambda n: (-n[0], -n[1]["share"], n[1]["start"], n[1]["label"])):
+        inside = lambda y: 2 * (min(x["end"], y["end"]) - max(x["start"], y["start"])) > x["end"] - x["start"]  # noqa: E731, B023
+        if not any(y["label"] != x["label"] and inside(y) for y in out):
+            out.append(x)
+    return out
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_words, spans (label, base, first word, end word, share), score."""
     import pyarrow as pa
@@ -137,8 +154,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col:
     )
     work = Workspace(docs.sparkSession, "license-scan")
     found = work.table(candidates(texts, templates), "candidates")
-    n = found.count()
-    named = small_side(found.select(F.col("id").alias("__id"), F.col("key").alias("__key"), "finds"), n * 4)
+    n, finds = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("finds")), F.lit(0))).first()
+    named = small_side(found.select(F.col("id").alias("__id"), F.col("key").alias("__key"), "finds"), n + finds)
     rows = texts.join(named, texts["id"].eqNullSafe(F.col("__id")) & (texts["key"] == F.col("__key")), "left").select("id", "text", "finds")
     span = pa.struct([("label", pa.string()), ("base", pa.bool_()), ("start", pa.int64()), ("end", pa.int64()), ("share", pa.float64())])
     schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(span)), ("score", pa.float64())])
@@ -148,7 +165,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col:
         for batch in batches:
             counts, spans = [], []
             for text, finds in zip(utf8_column(batch, "text"), batch.column(2).to_pylist()):
-                w, out = words(text), []
+                w, out, notices = words(text), [], []
                 for f in finds or ():
                     t, template = templates[f["template"]], known[f["template"]]
                     if t.share >= 1:  # a phrase: each diagonal is one place
@@ -159,7 +176,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col:
                         continue
                     share, start, end = verify(w, template, f["first"], f["last"], t.gram)
                     if share >= t.share:
-                        out.append({"label": t.label, "base": t.base, "start": start, "end": end, "share": share})
+                        notices.append((round(share * len(template)), {"label": t.label, "base": t.base, "start": start, "end": end, "share": share}))
+                out += outstanding(notices)
                 counts.append(len(w))
                 spans.append(sorted(out, key=lambda s: (s["start"], s["label"])))
             scores = [max((s["share"] for s in x), default=0.0) for x in spans]

@@ -261,6 +261,20 @@ def test_license_notice_with_changes(spark, awkward):
     assert license_scan.scan(awkward).count() == awkward.count() and license_scan.scan(awkward.limit(0)).count() == 0
 
 
+def test_every_notice_is_found_under_its_own_label(spark):
+    rng = random.Random(9)
+    filler = lambda: " ".join(rng.choice("lorem ipsum dolor sit amet the a of license software".split()) for _ in range(60))
+    notices = [t for t in license_scan.TEMPLATES if not t.base]
+    rows = [(k, f"{filler()} {t.text}. {filler()}") for k, t in enumerate(notices)] + [(100 + k, filler()) for k in range(20)]
+    rows += [(200 + k, " ".join(w for i, w in enumerate(t.text.split()) if i % 17 != 11)) for k, t in enumerate(notices) if len(t.text.split()) > 25]
+    got = {r["id"]: [s for s in r["spans"] if not s["base"]] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in enumerate(notices):
+        n = len(license_scan.words(t.text.encode()))
+        assert [(s["label"], s["start"], s["end"], s["share"]) for s in got[k]] == [(t.label, 60, 60 + n, 1.0)]
+        assert 200 + k not in got or {s["label"] for s in got[200 + k]} == {t.label}
+    assert not any(got[100 + k] for k in range(20))
+
+
 # --- 6 ---
 
 
