@@ -1,6 +1,6 @@
 """Half-open intervals (chrom, start, end): overlap joins, depth, islands, nearest neighbours and coverage.
 
-Overlaps meet in bins: each interval stands in every bin that it touches, bins join by equality, and a pair counts in
+Overlaps meet in bins of several levels, by the length of intervals: bins join by equality, and a pair counts in
 the one bin where its overlap begins. Sweeps run per chromosome; ``tiled_depth`` cuts chromosomes into tiles for
 inputs where one chromosome is too much for one task.
 """
@@ -10,30 +10,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Default width of a bin: near the median interval length.
-WIDTH = 64
+#: Default width of a bin of the first level: near the median interval length. Each level's bins are ``STEP`` times as wide as those of the one before.
+WIDTH, STEP, LEVELS = 64, 8, 12
 
 
-def _bins(df: DataFrame, width: int) -> DataFrame:
-    """Empty intervals overlap nothing and get no bin."""
-    last = F.floor((F.col("end") - 1) / width)
-    return df.where("end > start").withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / width), last)))
+def _level(width: int) -> Column:
+    """The first level whose bins are no shorter than the interval, which so touches two at most."""
+    length = F.col("end") - F.col("start")
+    return sum((F.when(length > width * STEP**k, 1).otherwise(0) for k in range(LEVELS - 1)), F.lit(0))
+
+
+def _levels(df: DataFrame, width: int) -> list[int]:
+    """The levels in use, at most ``LEVELS``."""
+    return sorted(r[0] for r in df.where("end > start").select(_level(width)).distinct().collect())
+
+
+def _bin(pos: Column, width: int) -> Column:
+    widths = F.array(*[F.lit(width * STEP**k).cast("long") for k in range(LEVELS)])
+    return F.floor(pos / F.element_at(widths, F.col("level") + 1)).cast("long")
+
+
+def _bins(df: DataFrame, width: int, others: list[int]) -> DataFrame:
+    """An interval stands in the bins of its own level and of the longer levels of the other side. Empty intervals overlap nothing and get no bin."""
+    own = df.where("end > start").withColumn("own_level", _level(width))
+    longer = F.filter(F.array(*map(F.lit, others)).cast("array<int>"), lambda x: x > F.col("own_level"))
+    at = own.withColumn("level", F.explode(F.concat(F.array("own_level"), longer)))
+    last = F.greatest(F.col("end") - 1, F.col("start"))
+    return at.withColumn("bin", F.explode(F.sequence(_bin(F.col("start"), width), _bin(last, width))))
 
 
 def overlap_join(a: DataFrame, b: DataFrame, width: int = WIDTH, suffix: str = "_b") -> DataFrame:
-    """All pairs with a.start < b.end and b.start < a.end, with the bases that overlap. Columns of ``b`` get a suffix."""
-    right = _bins(b, width)
-    right = right.toDF(*[c if c in ("chrom", "bin") else f"{c}{suffix}" for c in right.columns])
+    """All pairs with a.start < b.end and b.start < a.end, with the bases that overlap. Columns of ``b`` get a suffix.
+
+    A pair meets at the level of its longer interval, so an interval of any length stands in few bins.
+    """
+    right = _bins(b, width, _levels(a, width))
+    right = right.toDF(*[c if c in ("chrom", "bin", "level") else f"{c}{suffix}" for c in right.columns])
     s, e = F.col(f"start{suffix}"), F.col(f"end{suffix}")
-    joined = _bins(a, width).join(right, ["chrom", "bin"]).where((F.col("start") < e) & (s < F.col("end")))
+    joined = _bins(a, width, _levels(b, width)).join(right, ["chrom", "level", "bin"]).where((F.col("start") < e) & (s < F.col("end")))
     begin = F.greatest("start", s)
-    return joined.where(F.col("bin") == F.floor(begin / width)).withColumn("overlap", F.least(F.col("end"), e) - begin).drop("bin")
+    once = (F.col("level") == F.greatest("own_level", f"own_level{suffix}")) & (F.col("bin") == _bin(begin, width))
+    return joined.where(once).withColumn("overlap", F.least(F.col("end"), e) - begin).drop("bin", "level", "own_level", f"own_level{suffix}")
 
 
 def point_join(points: DataFrame, intervals: DataFrame, width: int = WIDTH) -> DataFrame:
     """Points (chrom, pos) with the intervals that hold them."""
-    right = _bins(intervals, width)
-    return points.withColumn("bin", F.floor(F.col("pos") / width)).join(right, ["chrom", "bin"]).where("start <= pos AND pos < end").drop("bin")
+    levels = F.array(*map(F.lit, _levels(intervals, width))).cast("array<int>")
+    at = points.withColumn("level", F.explode(levels)).withColumn("bin", _bin(F.col("pos"), width))
+    return at.join(_bins(intervals, width, []), ["chrom", "level", "bin"]).where("start <= pos AND pos < end").drop("bin", "level", "own_level")
 
 
 def best_overlap(a: DataFrame, b: DataFrame, key: str, name: str, least: int = 1, fraction: float = 0.0, width: int = WIDTH) -> DataFrame:

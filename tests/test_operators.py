@@ -228,3 +228,18 @@ def test_principal_components(spark):
     want = np.linalg.eigh(total)[1][:, -1]
     assert np.allclose(np.abs(got["pc1"].to_numpy()), np.abs(want), atol=1e-8)
     assert len({tuple(np.sign(got["pc1"].to_numpy()[k : k + 10])) for k in (0, 10)}) == 2
+
+
+def test_overlaps_of_very_different_lengths(spark):
+    from strataloom.operators import intervals as iv
+
+    rng = np.random.default_rng(5)
+    make = lambda n: [(int(s), int(s + rng.choice([0, 1, 3, 60, 64, 65, 700, 5000, 10**8]))) for s in rng.integers(0, 20_000, n)]
+    a, b = make(60), make(60)
+    frame = lambda xs: spark.createDataFrame([("c", s, e, k) for k, (s, e) in enumerate(xs)], "chrom string, start long, end long, name long")
+    got = sorted((r["name"], r["name_b"], r["overlap"]) for r in iv.overlap_join(frame(a), frame(b)).collect())
+    assert got == sorted((i, j, min(e, f) - max(s, u)) for i, (s, e) in enumerate(a) for j, (u, f) in enumerate(b) if s < f and u < e and s < e and u < f)
+    points = spark.createDataFrame([("c", int(p)) for p in range(0, 21_000, 700)], "chrom string, pos long")
+    held = sorted((r["pos"], r["name"]) for r in iv.point_join(points, frame(b)).collect())
+    assert held == sorted((p, j) for p in range(0, 21_000, 700) for j, (u, f) in enumerate(b) if u <= p < f)
+    assert iv._bins(frame([(0, 10**9)]), 64, [0]).count() <= 2
