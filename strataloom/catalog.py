@@ -616,3 +616,15 @@ def barcode_assignment(spark, sf):
 @_query("SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type, COUNT(*) AS n, ROUND(SUM(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_hours(spark, sf):
     return ev.windowed(table(spark, sf, "events"), "1 hour").select(F.unix_timestamp("start").alias("start"), "event_type", "n", _r("total", 4).alias("total"))
+
+
+@_query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - LAG(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, SUM(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, strftime(MIN(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(MAX(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS "end", COUNT(*) AS n FROM s GROUP BY user_id, k""")
+def event_sessions(spark, sf):
+    return ev.sessions(table(spark, sf, "events"), "6 hours").select("user_id", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("start", "end")], "n")
+
+
+@_query("SELECT DISTINCT user_id, event_type FROM events")
+def event_first(spark, sf):
+    return ev.first_only(table(spark, sf, "events"), ["user_id", "event_type"]).select("user_id", "event_type")
