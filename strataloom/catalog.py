@@ -4,17 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strataloom.functions import intensity as it
 from strataloom.functions import sequences as sq
 from strataloom.functions import statistics as st
 from strataloom.operators import columns as co
+from strataloom.operators import composition as cp
 from strataloom.operators import genotypes as g
 from strataloom.operators import intervals as iv
+from strataloom.operators import loci as lo
 from strataloom.operators import pairs as pr
+from strataloom.operators import pedigrees as pd
 from strataloom.operators import regression as rg
 from strataloom.operators import tables as tb
 from strataloom.operators import variants as va
 from strataloom.plans import views as v
 from strataloom.plans.views import GENO, IV, LOCI, PED, TG, TRIP, TRIP_PART, table
+from strataloom.plans.workspace import Workspace
+from strataloom.sources import genotypes as sg
+from strataloom.sources import plink as pl
 from strataloom.streaming import events as ev
 
 QUERIES: dict = {}
@@ -350,9 +357,24 @@ def ld_dosage_r2(spark, sf):
     return _dosage_ld(spark, sf).withColumn("r2", _r("r2"))
 
 
-@_query()
+@_query("WITH RECURSIVE " + GENO + ", " + LOCI + """, bp AS (SELECT a.locus AS locus1, b.locus AS locus2 FROM loci a JOIN loci b ON a.chrom = b.chrom AND b.location > a.location AND b.location - a.location <= 12000),
+h AS (SELECT locus1, locus2, COUNT(*) * 2.0 AS n, SUM((a.x = 1 AND b.x = 1)::INT) * 1.0 AS dh, SUM(2 - a.x) / (COUNT(*) * 2.0) AS p, SUM(2 - b.x) / (COUNT(*) * 2.0) AS q,
+SUM(CASE WHEN a.x = 0 THEN 2 - b.x WHEN a.x = 1 AND b.x = 0 THEN 1 ELSE 0 END) * 1.0 AS c11 FROM bp JOIN geno a ON a.locus = locus1 JOIN geno b ON b.locus = locus2 AND b.sample = a.sample GROUP BY 1, 2),
+em(locus1, locus2, n, dh, p, q, c11, k, v) AS (SELECT locus1, locus2, n, dh, p, q, c11, 0, CAST(p * q AS DOUBLE) FROM h UNION ALL
+SELECT locus1, locus2, n, dh, p, q, c11, k + 1, CAST((c11 + dh * COALESCE(v * (1 - p - q + v) / NULLIF(v * (1 - p - q + v) + (p - v) * (q - v), 0), 0)) / n AS DOUBLE) FROM em WHERE k < 100),
+d AS (SELECT *, v - p * q AS d FROM em WHERE k = 100)
+SELECT locus1, locus2, ROUND(COALESCE(d * d / NULLIF(p * (1 - p) * q * (1 - q), 0), 0), 4) AS r2, ROUND(COALESCE(ABS(d) / NULLIF(CASE WHEN d > 0 THEN LEAST(p * (1 - q), q * (1 - p)) ELSE LEAST(p * q, (1 - p) * (1 - q)) END, 0), 0), 4) AS dprime FROM d""")
 def ld_pairs_em(spark, sf):
-    return pr.ld_pairs(_dosages(spark, sf), pr.band_pairs(v.loci(spark, sf), 12000))
+    found = pr.ld_pairs(_dosages(spark, sf), pr.band_pairs(v.loci(spark, sf), 12000))
+    return found.select("locus1", "locus2", _r("r2", 4).alias("r2"), _r("dprime", 4).alias("dprime"))
+
+
+_MATRIX = ", ".join(f'MAX(CASE WHEN locus2 = {i} THEN ROUND(r2, 6) END) AS "{i}"' for i in range(40))
+
+
+@_query("WITH " + GENO + _LD + f" SELECT locus1, {_MATRIX} FROM ld GROUP BY 1")
+def ld_matrix(spark, sf):
+    return lo.ld_matrix(_dosage_ld(spark, sf).withColumn("r2", _r("r2")), "r2", list(range(40)))
 
 
 _BOTH = ", bw AS (SELECT locus1 AS needle, locus2 AS surrogate, ROUND(r2, 9) AS r2 FROM ld UNION ALL SELECT locus2, locus1, ROUND(r2, 9) FROM ld)"
@@ -610,6 +632,201 @@ def barcode_assignment(spark, sf):
     return va.nearest_barcode(reads, [("A", "BUILDING"), ("B", "MACHINERY"), ("C", "HOUSEHOLD")], 6)
 
 
+# --- locus filters and two sets of genotypes ------------------------------------------------
+
+_TENS = "SELECT i AS locus FROM range(0, 40, 10) t(i)"
+
+
+@_query("WITH " + GENO + """, m AS (SELECT locus, LEAST(SUM(x), SUM(2 - x)) * 1.0 / (2 * COUNT(*)) AS maf FROM geno GROUP BY 1)
+SELECT locus, ROUND(maf, 6) AS maf FROM m WHERE maf >= CASE WHEN locus % 10 = 0 THEN 0.2 ELSE 0.45 END""")
+def locus_filter_maf(spark, sf):
+    maf = g.minor_major(_voted(spark, sf)).select("locus", F.col("minor_freq").alias("maf"))
+    return lo.by_maf(maf, 0.45, spark.range(0, 40, 10), 0.2).select("locus", _r("maf").alias("maf"))
+
+
+@_query(f"SELECT * FROM ({ORACLE_SQL['hwp_exact']}) WHERE p >= 0.05")
+def locus_filter_hwp(spark, sf):
+    return lo.by_hwp(_voted(spark, sf), 0.05).select("locus", _r("hwp").alias("p"))
+
+
+@_query("WITH " + LOCI + " SELECT locus, location FROM loci WHERE location < 3000 OR (location >= 8000 AND location < 12000) OR location >= 30000")
+def locus_filter_range(spark, sf):
+    return lo.by_range(v.loci(spark, sf), "-3000,12000-8000,30000-").select("locus", "location")
+
+
+@_query("WITH " + TRIP + """, t AS (SELECT locus, COUNT(a1) AS called, COUNT(*) AS total FROM trip GROUP BY 1)
+SELECT locus, called, total, ROUND(called * 1.0 / total, 9) AS completion FROM t WHERE called >= 100 AND called * 1.0 / total >= 0.85""")
+def locus_filter_completion(spark, sf):
+    return lo.by_completion(v.triples(spark, sf), 100, 0.85).withColumn("completion", _r("completion", 9))
+
+
+@_query("WITH " + LOCI + f", m AS (SELECT chrom, location FROM loci WHERE locus IN ({_TENS})) SELECT locus, chrom FROM loci l WHERE EXISTS (SELECT 1 FROM m WHERE m.chrom = l.chrom AND ABS(m.location - l.location) <= 5000)")
+def loci_near_monitored(spark, sf):
+    return lo.near_monitored(v.loci(spark, sf), spark.range(0, 40, 10), 5000).select("locus", "chrom")
+
+
+#: A second set of genotypes: a lower threshold, and heterozygotes where the number of called replicates is odd.
+_SECOND = """, g2 AS (SELECT sample, locus, CASE WHEN t % 2 = 1 THEN 1 WHEN a1 = 'B' THEN 2 WHEN a2 = 'B' THEN 1 ELSE 0 END AS x
+FROM r WHERE rn = 1 AND n > COALESCE(n2, 0) AND n * 1.0 / t >= 0.3), cc AS (SELECT locus, geno.x AS x, g2.x AS y FROM geno FULL JOIN g2 USING (sample, locus))"""
+_TREND = "COALESCE(POWER(COUNT(x * y) * SUM(x * y) - SUM(CASE WHEN y IS NOT NULL THEN x END) * SUM(CASE WHEN x IS NOT NULL THEN y END), 2) / NULLIF((COUNT(x * y) * SUM(CASE WHEN y IS NOT NULL THEN x * x END) - POWER(SUM(CASE WHEN y IS NOT NULL THEN x END), 2)) * (COUNT(x * y) * SUM(CASE WHEN x IS NOT NULL THEN y * y END) - POWER(SUM(CASE WHEN x IS NOT NULL THEN y END), 2)), 0), 0)"
+_FREQS = """COUNT(*) AS samples, ROUND(AVG((x IS NULL)::INT), 6) AS missing1, ROUND(LEAST(AVG(x) / 2, 1 - AVG(x) / 2), 6) AS maf1,
+ROUND(AVG((y IS NULL)::INT), 6) AS missing2, ROUND(LEAST(AVG(y) / 2, 1 - AVG(y) / 2), 6) AS maf2"""
+
+
+def _second(spark, sf):
+    merged = g.merge(v.triples(spark, sf), "vote", 0.3).where("a1 IS NOT NULL")
+    odd = F.col("called") % 2 == 1
+    return merged.select("sample", "locus", F.when(odd, "A").otherwise(F.col("a1")).alias("a1"), F.when(odd, "B").otherwise(F.col("a2")).alias("a2"))
+
+
+def _rounded(df, *columns):
+    return df.withColumns({c: _r(c) for c in columns})
+
+
+@_query("WITH " + GENO + _SECOND + f" SELECT locus, {_FREQS}, ROUND(SUM((x = y)::INT) * 1.0 / COUNT(x * y), 6) AS concordance, COUNT(x * y) AS comps, ROUND({_TREND}, 6) AS r2_trend FROM cc GROUP BY 1")
+def genotype_correlation(spark, sf):
+    return _rounded(lo.genotype_correlation(_voted(spark, sf), _second(spark, sf)), "missing1", "maf1", "missing2", "maf2", "concordance", "r2_trend")
+
+
+@_query("WITH " + GENO + _SECOND + f" SELECT locus, {_FREQS}, ROUND({_TREND}, 6) AS r2 FROM cc GROUP BY 1")
+def dosage_correlation(spark, sf):
+    half = lambda df: df.select("sample", "locus", (g.dosage("A") / 2).alias("x"))
+    return _rounded(lo.dosage_correlation(half(_voted(spark, sf)), half(_second(spark, sf))), "missing1", "maf1", "missing2", "maf2", "r2")
+
+
+@_query("WITH " + GENO + _SECOND + """, k AS (SELECT locus, SUM((x = y)::BIGINT) AS same, SUM((x = 2 - y)::BIGINT) AS other FROM cc WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1)
+SELECT locus, CAST(GREATEST(same, other) AS BIGINT) AS concord, CASE WHEN same > other THEN 'C' ELSE 'A' END AS g_is, CASE WHEN same > other THEN 'complement' ELSE 'other' END AS category FROM k""")
+def allele_remap(spark, sf):
+    named = lambda df, a, b: df.select("sample", "locus", *[F.when(F.col(c) == "A", a).otherwise(b).alias(c) for c in ("a1", "a2")])
+    right = named(_second(spark, sf), "T", "G")
+    found = lo.remap_alleles(named(_voted(spark, sf), "A", "C"), right.select("sample", "locus", *[c.alias(n) for c, n in zip(g.genotype(F.col("a1"), F.col("a2")), ("a1", "a2"))]))
+    return found.select("locus", "concord", F.try_element_at("allele_map", F.lit("G")).alias("g_is"), "category")
+
+
+# --- families -------------------------------------------------------------------------------
+
+
+def _families(spark, sf):
+    s = F.col("s_suppkey")
+    first = s - s % 10
+    return table(spark, sf, "supplier").where(s % 10 >= 7).select(s.alias("name"), first.alias("parent1"), (first + 1).alias("parent2"))
+
+
+@_query("WITH " + GENO + """, f AS (SELECT s_suppkey AS child, s_suppkey - s_suppkey % 10 AS p1, s_suppkey - s_suppkey % 10 + 1 AS p2 FROM supplier WHERE s_suppkey % 10 >= 7),
+t AS (SELECT c.locus, p1, p2, child, CASE WHEN ABS(c.x - a.x) = 2 OR ABS(c.x - b.x) = 2 THEN 1 WHEN c.x BETWEEN (a.x = 2)::INT + (b.x = 2)::INT AND (a.x > 0)::INT + (b.x > 0)::INT THEN 0 ELSE 2 END AS level
+FROM f JOIN geno c ON c.sample = child JOIN geno a ON a.sample = p1 AND a.locus = c.locus JOIN geno b ON b.sample = p2 AND b.locus = c.locus),
+u AS (SELECT *, COUNT(*) OVER w AS n, MAX((level = 1)::INT) OVER w AS first FROM t WINDOW w AS (PARTITION BY locus, p1, p2))
+SELECT locus, p1 AS parent1, p2 AS parent2, child, level FROM u WHERE n = 3 AND (level = 1 OR (level = 2 AND first = 0))""")
+def family_errors(spark, sf):
+    return pd.family_errors(_voted(spark, sf), _families(spark, sf))
+
+
+@_query()
+def genotype_elimination(spark, sf):
+    return pd.genotype_elimination(_voted(spark, sf), _families(spark, sf)).select("locus", "sample", F.array_join("possible", ",").alias("possible"))
+
+
+# --- genotype files, written and read again -------------------------------------------------
+
+_CALLED = "WITH " + GENO + " SELECT CAST(sample AS VARCHAR) AS sample, CAST(locus AS VARCHAR) AS locus, a1, a2 FROM geno"
+
+
+@_query(_CALLED)
+def bed_matrix_roundtrip(spark, sf):
+    stem = Workspace(spark, "bed").at("genotypes")
+    pl.write_bed_matrix(_voted(spark, sf), stem, v.loci(spark, sf))
+    return g.drop_missing(pl.read_bed_matrix(spark, f"{stem}.bed"))
+
+
+@_query(_CALLED)
+def tped_roundtrip(spark, sf):
+    stem = Workspace(spark, "tped").at("genotypes")
+    pl.write_tped(_voted(spark, sf), stem, v.loci(spark, sf))
+    return g.drop_missing(sg.read_tped(spark, f"{stem}.tped", f"{stem}.tfam"))
+
+
+@_query(_CALLED)
+def vcf_roundtrip(spark, sf):
+    path = Workspace(spark, "vcf").at("genotypes.vcf")
+    pl.write_vcf(_voted(spark, sf), path, v.loci(spark, sf))
+    return g.drop_missing(sg.read_genotypes(spark, path))
+
+
+# --- composition, strands and intensities ---------------------------------------------------
+
+_BASES = "translate(sha256(CAST(p_partkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGN')"
+
+
+def _bases(spark, sf):
+    text = F.sha2(F.col("p_partkey").cast("string"), 256)
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("name"), F.translate(text, "0123456789abcdef", "ACGTACGTACGTACGN").alias("seq"))
+
+
+@_query(f"""WITH s AS (SELECT p_partkey AS name, {_BASES} AS seq FROM part), p AS (SELECT name, seq, pos, w, GREATEST(0, pos - w // 2) AS lo, LEAST(64, pos + (w + 1) // 2) AS hi FROM s, range(0, 64, 8) r(pos), (VALUES (5), (20)) t(w)),
+t AS (SELECT *, substr(seq, lo + 1, hi - lo) AS u, CASE WHEN lo = 0 THEN substr(seq, 1, hi) ELSE substr(seq, lo, hi - lo + 1) END AS e FROM p),
+n AS (SELECT *, length(regexp_replace(u, '[^ACGT]', '', 'g')) * 1.0 AS valid FROM t)
+SELECT name, pos, CAST(w AS INTEGER) AS "window", ROUND(COALESCE(length(regexp_replace(u, '[^GC]', '', 'g')) / NULLIF(valid, 0), 0), 9) AS gc, ROUND(COALESCE((length(e) - length(replace(e, 'CG', ''))) / NULLIF(valid, 0), 0), 9) AS cpg FROM n""")
+def gc_windows(spark, sf):
+    seqs = _bases(spark, sf)
+    places = seqs.select("name", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(56).cast("bigint"), F.lit(8).cast("bigint"))).alias("pos"))
+    found = cp.window_shares(cp.tiles(seqs, 16), places, [5, 20], 16)
+    return found.select("name", "pos", "window", _r("gc", 9).alias("gc"), _r("cpg", 9).alias("cpg"))
+
+
+_STRAND = "CASE WHEN {0} IN ('A','T') AND {1} IN ('C','G') THEN 'Top' WHEN {1} IN ('A','T') AND {0} IN ('C','G') THEN 'Bot' END"
+
+
+@_query(f"""WITH s AS (SELECT p_partkey AS name, {_BASES} AS q FROM part), f AS (SELECT name, q, LEAST(substr(q, 17, 1), substr(q, 18, 1)) AS lo, GREATEST(substr(q, 17, 1), substr(q, 18, 1)) AS hi FROM s),
+t AS (SELECT *, COALESCE({_STRAND.format("lo", "hi")}, list_filter(list_transform(range(0, 8), lambda i: {_STRAND.format("substr(q, 8 - i, 1)", "substr(q, 9 + i, 1)")}), lambda x: x IS NOT NULL)[1], 'Unknown') AS strand FROM f)
+SELECT name, strand, CASE WHEN strand = 'Bot' THEN hi ELSE lo END AS a, CASE WHEN strand = 'Bot' THEN lo ELSE hi END AS b FROM t""")
+def snp_strand(spark, sf):
+    q = lambda k, n: F.substring("seq", k, n)
+    text = F.concat(q(1, 8), F.lit("["), q(17, 1), F.lit("/"), q(18, 1), F.lit("]"), q(9, 8))
+    return _bases(spark, sf).select("name", sq.snp_strand(text).alias("s")).select("name", "s.*")
+
+
+@_query("""SELECT c_custkey AS id, ROUND((SQRT(ABS(c_acctbal) + 1) - 1) / 0.5, 6) AS root, ROUND(LN(ABS(c_acctbal) + 1) / LN(2), 6) AS log2,
+ROUND(SIGN(c_acctbal) * (SQRT(ABS(c_acctbal) + 1) - 1) / 0.5, 6) AS signed_root, ROUND(SIGN(c_acctbal) * LN(ABS(c_acctbal) + 1), 6) AS signed_log FROM customer""")
+def power_transforms(spark, sf):
+    x = F.col("c_acctbal")
+    return table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("id"), _r(it.boxcox(F.abs(x), 0.5, -1)).alias("root"), _r(it.boxcox(F.abs(x), 0, -1, 2)).alias("log2"),
+        _r(it.modulus(x, 0.5)).alias("signed_root"), _r(it.modulus(x)).alias("signed_log"),
+    )
+
+
+@_query("""WITH t AS (SELECT c_custkey AS id, c_nationkey AS k, c_acctbal AS x, c_custkey * 5.0 AS y FROM customer), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY k ORDER BY x, y) AS rx, ROW_NUMBER() OVER (PARTITION BY k ORDER BY y, x) AS ry FROM t)
+SELECT a.id, ROUND(LEAST(GREATEST((a.x + b.y) / 2, 0.5 * a.x), 2 * a.x), 4) AS x, ROUND(LEAST(GREATEST((c.x + a.y) / 2, 0.5 * a.y), 2 * a.y), 4) AS y
+FROM r a JOIN r b ON a.k = b.k AND a.rx = b.ry JOIN r c ON a.k = c.k AND a.ry = c.rx""")
+def quantile_normalize(spark, sf):
+    t = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("k"), F.col("c_acctbal").alias("x"), (F.col("c_custkey") * 5.0).alias("y"))
+    return it.quantile_normalize(t, "k", "x", "y", 0.5, 2.0).select("id", _r("x", 4).alias("x"), _r("y", 4).alias("y"))
+
+
+@_query("""SELECT l_returnflag AS flag, ROUND(AVG(l_extendedprice), 2) AS mean FROM (SELECT l_returnflag, l_extendedprice, ROW_NUMBER() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) AS k,
+FLOOR(COUNT(*) OVER (PARTITION BY l_returnflag) * 0.05::DOUBLE) AS cut, COUNT(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) WHERE k > cut AND k <= n - cut GROUP BY 1""")
+def trimmed_means(spark, sf):
+    return it.trimmed_mean(table(spark, sf, "lineitem").withColumnRenamed("l_returnflag", "flag"), "flag", "l_extendedprice", 0.05).select("flag", _r("mean", 2).alias("mean"))
+
+
+@_query("""WITH t AS (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey % 40 AS locus, l_returnflag AS f, l_extendedprice / 10000 + 0.1 AS r, l_tax * 2 + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 0.3 ELSE 0.6 END AS th FROM lineitem),
+c AS (SELECT locus, AVG(CASE WHEN f = 'A' THEN th END) AS ta, AVG(CASE WHEN f = 'A' THEN r END) AS ra, AVG(CASE WHEN f = 'N' THEN th END) AS tb, AVG(CASE WHEN f = 'N' THEN r END) AS rb,
+AVG(CASE WHEN f = 'R' THEN th END) AS tc, AVG(CASE WHEN f = 'R' THEN r END) AS rc FROM t GROUP BY 1)
+SELECT o, n, ROUND(LOG2(r / (1e-6 + CASE WHEN th <= ta THEN ra WHEN th <= tb THEN ra + (rb - ra) * (th - ta) / (tb - ta) WHEN th < tc THEN rb + (rc - rb) * (th - tb) / (tc - tb) ELSE rc END)), 5) + 0.0 AS lrr,
+ROUND(CASE WHEN th <= ta THEN 0 WHEN th <= tb THEN (th - ta) / (tb - ta) / 2 WHEN th < tc THEN ((th - tb) / (tc - tb) + 1) / 2 ELSE 1 END, 5) AS baf FROM t JOIN c USING (locus)""")
+def log_ratio_baf(spark, sf):
+    flag = F.col("l_returnflag")
+    offset = F.when(flag == "A", 0.0).when(flag == "N", 0.3).otherwise(0.6)
+    t = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), (F.col("l_partkey") % 40).alias("locus"), F.when(flag == "A", "AA").when(flag == "N", "AB").otherwise("BB").alias("g"),
+        (F.col("l_extendedprice") / 10000 + 0.1).alias("r"), (F.col("l_tax") * 2 + offset).alias("theta"),
+    )
+    centres = it.cluster_centres(t)
+    names = [c for c in centres.columns if c != "locus"]
+    lrr, baf = it.log_ratio(F.col("r"), F.col("theta"), {c: F.col(c) for c in names})
+    return t.join(centres, "locus").select("o", "n", (_r(lrr, 5) + 0.0).alias("lrr"), _r(baf, 5).alias("baf"))
+
+
 # --- events (an extension) ------------------------------------------------------------------
 
 

@@ -143,3 +143,33 @@ def cytoband(c: Column) -> Column:
     """Band name as (chrom, arm, band)."""
     pattern = r"^(\d+|X|Y)([pq])([\d.]*)$"
     return F.struct(*[F.regexp_extract(c, pattern, k).alias(n) for k, n in ((1, "chrom"), (2, "arm"), (3, "band"))])
+
+
+def strand(a: Column, b: Column) -> Column:
+    """``Top`` where only the first of two bases is A or T, ``Bot`` where only the second is, else ``Unknown``."""
+    a, b = F.upper(a), F.upper(b)
+    weak = lambda c: c.isin("A", "T")
+    strong = lambda c: c.isin("C", "G")
+    return F.when(weak(a) & strong(b), "Top").when(weak(b) & strong(a), "Bot").otherwise("Unknown")
+
+
+def strand_of_pair(a: Column, b: Column) -> Column:
+    """Strand of an unordered pair of alleles, taken in alphabetical order; equal or self-complementary pairs are ``Unknown``."""
+    return strand(F.least(F.upper(a), F.upper(b)), F.greatest(F.upper(a), F.upper(b)))
+
+
+def snp_strand(seq: Column) -> Column:
+    """(strand, a, b) of ``...[x/y]...``: by the alleles if they tell, else by the nearest pair of flanking bases at equal distance that does.
+
+    Alleles come in alphabetical order, on the Bot strand in reverse. Other texts give nulls.
+    """
+    pattern = r"^([^\[]*)\[(.)[/-](.)\](.*)$"
+    part = lambda k: F.nullif(F.regexp_extract(F.upper(seq), pattern, k), F.lit(""))
+    left, right = (F.coalesce(part(k), F.lit("")) for k in (1, 4))
+    low, high = F.least(part(2), part(3)), F.greatest(part(2), part(3))
+    own = strand(low, high)
+    n = F.least(F.length(left), F.length(right))
+    outward = F.zip_with(F.split(F.left(F.reverse(left), n), ""), F.split(F.left(right, n), ""), strand)
+    found = F.when(part(2).isNull(), None).when(own != "Unknown", own).otherwise(F.coalesce(F.get(F.filter(outward, lambda s: s != "Unknown"), 0), F.lit("Unknown")))
+    swap = found == "Bot"
+    return F.struct(found.alias("strand"), F.when(swap, high).otherwise(low).alias("a"), F.when(swap, low).otherwise(high).alias("b"))
