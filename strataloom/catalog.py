@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from strataloom.functions import intensity as it
 from strataloom.functions import sequences as sq
 from strataloom.functions import statistics as st
+from strataloom.operators import adjustment as ad
+from strataloom.operators import annotation as an
 from strataloom.operators import columns as co
 from strataloom.operators import composition as cp
 from strataloom.operators import genotypes as g
@@ -827,6 +829,83 @@ def log_ratio_baf(spark, sf):
     return t.join(centres, "locus").select("o", "n", (_r(lrr, 5) + 0.0).alias("lrr"), _r(baf, 5).alias("baf"))
 
 
+# --- annotation and adjustment ---------------------------------------------------------------
+
+
+def _genes(spark, sf):
+    k = F.col("p_partkey")
+    at = lambda n: (k * 400 + n).cast("bigint")
+    return table(spark, sf, "part").select(
+        k.cast("string").alias("gene"), F.col("p_brand").alias("symbol"), (k % 3).cast("string").alias("chrom"), F.when(k % 2 == 0, "+").otherwise("-").alias("strand"), at(0).alias("tx_start"), at(300).alias("tx_end"),
+        at(20).alias("cds_start"), F.when(k % 5 == 0, at(20)).otherwise(at(250)).alias("cds_end"), F.array(at(0), at(120), at(200)).alias("exon_starts"), F.array(at(60), at(160), at(300)).alias("exon_ends"),
+    )
+
+
+_FEATURES = """g AS (SELECT p_partkey AS k, p_partkey * 400 AS b, p_partkey % 2 = 0 AS fwd, p_partkey % 5 = 0 AS nc, CAST(p_partkey % 3 AS VARCHAR) AS chrom FROM part),
+f AS (SELECT k, chrom, b + s AS fs, b + e AS fe, CASE WHEN what <> 'EXON' THEN CASE WHEN what = 'SIDE1' THEN CASE WHEN fwd THEN 'upstream' ELSE 'downstream' END WHEN what = 'SIDE2' THEN CASE WHEN fwd THEN 'downstream' ELSE 'upstream' END ELSE what END
+WHEN nc THEN 'NONCODING' WHEN e <= 20 THEN CASE WHEN fwd THEN 'UTR5' ELSE 'UTR3' END WHEN s >= 250 THEN CASE WHEN fwd THEN 'UTR3' ELSE 'UTR5' END ELSE 'CDS' END AS feature,
+CASE WHEN what LIKE 'SIDE%' THEN 0 WHEN what = 'intron' THEN CASE WHEN fwd THEN n ELSE 3 - n END ELSE CASE WHEN fwd THEN n ELSE 4 - n END END AS number
+FROM g, (VALUES (0, 20, 'EXON', 1), (20, 60, 'EXON', 1), (60, 120, 'intron', 1), (120, 160, 'EXON', 2), (160, 200, 'intron', 2), (200, 250, 'EXON', 3), (250, 300, 'EXON', 3), (-100, 0, 'SIDE1', 0), (300, 400, 'SIDE2', 0)) t(s, e, what, n))"""
+
+
+@_query("WITH " + _FEATURES + """, v AS (SELECT o_orderkey AS name, CAST(o_custkey % 3 AS VARCHAR) AS chrom, o_orderkey * 97 % 800000 AS s, o_orderkey * 97 % 800000 + o_custkey % 12 AS e FROM orders)
+SELECT DISTINCT name, v.chrom, CAST(k AS VARCHAR) AS gene, CASE WHEN feature = 'intron' AND (s < fs + 5 OR GREATEST(e, s + 1) > fe - 5) THEN 'SPLICE' ELSE feature END AS feature, CAST(number AS INTEGER) AS number
+FROM v LEFT JOIN f ON f.chrom = v.chrom AND s < fe AND GREATEST(fs, 0) < GREATEST(e, s + 1)""")
+def variant_annotation(spark, sf):
+    start = F.col("o_orderkey") * 97 % 800000
+    variants = table(spark, sf, "orders").select(F.col("o_orderkey").alias("name"), (F.col("o_custkey") % 3).cast("string").alias("chrom"), start.alias("start"), (start + F.col("o_custkey") % 12).alias("end"))
+    return an.annotate_variants(variants, _genes(spark, sf), 100).select("name", "chrom", "gene", "feature", "number")
+
+
+@_query("""WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, l_suppkey % 25 AS c, l_partkey % 60 AS p, l_returnflag AS f FROM lineitem),
+h AS (SELECT c, p, f, COUNT(DISTINCT CASE WHEN c_nationkey < 10 THEN c_name END) AS i, COUNT(DISTINCT CASE WHEN c_nationkey >= 10 THEN c_name END) AS o FROM (SELECT DISTINCT c, p, f FROM l)
+JOIN customer ON c = c_nationkey AND p = c_custkey % 60 AND substr(c_mktsegment, 1, 1) IN (f, 'B') GROUP BY 1, 2, 3)
+SELECT l.o, l.n, CAST(COALESCE(h.i, 0) AS INTEGER) AS ingroup, CAST(COALESCE(h.o, 0) AS INTEGER) AS outgroup FROM l LEFT JOIN h USING (c, p, f)""")
+def known_variant_subjects(spark, sf):
+    place = lambda a, b: [a.cast("string").alias("chrom"), b.alias("start"), (b + 1).alias("end")]
+    own = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *place(F.col("l_suppkey") % 25, F.col("l_partkey") % 60), F.array(F.col("l_returnflag"), F.lit("B")).alias("alleles"))
+    customers = table(spark, sf, "customer")
+    known = customers.select(*place(F.col("c_nationkey"), F.col("c_custkey") % 60), F.array(F.substring("c_mktsegment", 1, 1)).alias("alleles"), F.array("c_name").alias("subjects"))
+    found = an.known_variants(own, known, customers.where("c_nationkey < 10").select("c_name"))
+    return found.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.size("ingroup").alias("ingroup"), F.size("outgroup").alias("outgroup"))
+
+
+@_query("""WITH b AS (SELECT l_partkey AS locus, CASE l_partkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS ref, l_returnflag AS base, CAST(l_quantity AS INTEGER) AS q, POWER(10, -CAST(l_quantity AS INTEGER) / 10.0) AS w FROM lineitem),
+c AS (SELECT locus, ref, base, COUNT(*) AS n, SUM(LN(1 - w)) AS good, SUM(LN(w)) AS bad FROM b GROUP BY ALL), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY locus ORDER BY n DESC, base) AS k, SUM(bad) OVER (PARTITION BY locus) AS t, SUM(n) OVER (PARTITION BY locus) AS m FROM c),
+p AS (SELECT a.locus, a.ref, a.base AS one, COALESCE(b.base, CASE WHEN a.base = a.ref THEN 'N' ELSE a.ref END) AS two, a.n AS n1, COALESCE(b.n, 0) AS n2, a.good AS g1, COALESCE(b.good, 0) AS g2, a.bad AS b1, COALESCE(b.bad, 0) AS b2, a.t, a.m FROM r a LEFT JOIN r b ON a.locus = b.locus AND b.k = 2 WHERE a.k = 1),
+s AS (SELECT *, two = ref OR (one <> ref AND one > two) AS x FROM p), o AS (SELECT locus, ref, t, m, CASE WHEN x THEN two ELSE one END AS a, CASE WHEN x THEN one ELSE two END AS b, CASE WHEN x THEN n2 ELSE n1 END AS n_a, CASE WHEN x THEN n1 ELSE n2 END AS n_b,
+CASE WHEN x THEN g2 ELSE g1 END AS ga, CASE WHEN x THEN g1 ELSE g2 END AS gb, CASE WHEN x THEN b2 ELSE b1 END AS ba, CASE WHEN x THEN b1 ELSE b2 END AS bb FROM s),
+l AS (SELECT *, ga + t - ba + CASE WHEN a = ref THEN LN(0.95) ELSE 0 END AS laa, gb + t - bb + CASE WHEN a = ref THEN LN(0.025) ELSE 0 END AS lbb, ga + gb + t - ba - bb - m * LN(2) + CASE WHEN a = ref THEN LN(0.025) ELSE 0 END AS lab FROM o),
+z AS (SELECT *, EXP(laa - GREATEST(laa, lab, lbb)) AS eaa, EXP(lab - GREATEST(laa, lab, lbb)) AS eab, EXP(lbb - GREATEST(laa, lab, lbb)) AS ebb FROM l)
+SELECT locus, a, b, n_a, n_b, ROUND(CASE WHEN a = ref AND n_b = 0 THEN 1 ELSE eaa / (eaa + eab + ebb) END, 6) AS p_aa, ROUND(CASE WHEN a = ref AND n_b = 0 THEN 0 ELSE eab / (eaa + eab + ebb) END, 6) AS p_ab FROM z""")
+def genotype_posteriors(spark, sf):
+    k = F.col("l_partkey")
+    bases = table(spark, sf, "lineitem").select(k.alias("locus"), F.when(k % 3 == 0, "A").when(k % 3 == 1, "N").otherwise("R").alias("ref"), F.col("l_returnflag").alias("base"), F.col("l_quantity").cast("int").alias("qual"))
+    return an.genotype_posteriors(bases).select("locus", "a", "b", "n_a", "n_b", _r("p_aa").alias("p_aa"), _r("p_ab").alias("p_ab"))
+
+
+@_query("""WITH t AS (SELECT l_orderkey AS o, l_linenumber AS n, l_suppkey AS s, l_extendedprice / 1000 AS v, l_quantity AS a, l_tax AS b FROM lineitem),
+c AS (SELECT s, AVG(a) AS ma, AVG(b) AS mb, VAR_POP(a) AS aa, VAR_POP(b) AS bb, COVAR_POP(a, b) AS ab, COVAR_POP(a, v) AS av, COVAR_POP(b, v) AS bv FROM t GROUP BY 1)
+SELECT o, n, ROUND(v - (a - ma) * (av * bb - bv * ab) / (aa * bb - ab * ab) - (b - mb) * (bv * aa - av * ab) / (aa * bb - ab * ab), 5) + 0.0 AS corrected FROM t JOIN c USING (s)""")
+def correct_by_terms(spark, sf):
+    t = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.col("l_suppkey").alias("s"), (F.col("l_extendedprice") / 1000).alias("v"), F.col("l_quantity").alias("a"), F.col("l_tax").alias("b"))
+    return ad.correct_by_terms(t, "s", "v", ["a", "b"]).select("o", "n", (_r("corrected", 5) + 0.0).alias("corrected"))
+
+
+@_query("""SELECT 'continuous' AS kind, COUNT(*) AS n, COUNT(DISTINCT c_acctbal) AS "distinct", MIN(c_acctbal) AS min, ROUND(AVG(c_acctbal), 4) AS mean, ROUND(MEDIAN(c_acctbal), 4) AS median, MAX(c_acctbal) AS max, ROUND(STDDEV_POP(c_acctbal), 4) AS sd FROM customer""")
+def variable_summary(spark, sf):
+    out = ad.variable_summary(table(spark, sf, "customer"), "c_acctbal")
+    return out.withColumns({c: _r(c, 4) for c in ("mean", "median", "sd")})
+
+
+@_query()
+def admixture_shares(spark, sf):
+    geno = _dosages(spark, sf)
+    populations = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("sample"), (F.col("s_nationkey") % 3).alias("population"))
+    return ad.admixture(geno, ad.population_frequencies(geno, populations)).withColumns({"share": _r("share", 4), "loglik": _r("loglik", 4)})
+
+
 # --- events (an extension) ------------------------------------------------------------------
 
 

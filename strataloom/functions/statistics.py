@@ -196,3 +196,36 @@ def estimate_ld(c11: np.ndarray, c12: np.ndarray, c21: np.ndarray, c22: np.ndarr
 def format_pvalue(p: Column, scale: int = 8) -> Column:
     small = 10.0 ** -scale
     return F.when(p.isNull() | F.isnan(p), "").when(p < small, F.format_string(f"< %.{scale}f", F.lit(small))).otherwise(F.format_string(f"%.{scale}f", p))
+
+
+def permutations_needed(p: float, width: float, confidence: float) -> int:
+    """Permutations after which an empirical p-value lies within a share ``width`` of the true one with the given confidence."""
+    return math.ceil((1 - p) / (width * width * p) * normal_ppf((confidence + 1) / 2) ** 2)
+
+
+def triangle_index(x: Column, y: Column, strict: bool = False) -> Column:
+    """Place of the unordered pair (x, y) in a lower triangle read by rows; a strict one has no diagonal, so that equal places give null."""
+    high, low = F.greatest(x, y).cast("bigint"), F.least(x, y).cast("bigint")
+    if strict:
+        return F.when(high != low, F.shiftright(high * (high - 1), 1) + low)
+    return F.shiftright(high * (high + 1), 1) + low
+
+
+def triangle_place(index: Column, strict: bool = False) -> Column:
+    """(x, y) with x at least y of a place in a lower triangle; the inverse of :func:`triangle_index`."""
+    i, shift = index.cast("bigint"), 1 if strict else 0
+    guess = F.floor((F.sqrt(8 * i.cast("double") + 1) - 1) / 2).cast("bigint")
+    rows_before = lambda r: F.shiftright(r * (r + 1), 1)
+    # the root may be off by one at large places
+    row = guess + F.when(rows_before(guess + 1) <= i, 1).when(rows_before(guess) > i, -1).otherwise(0)
+    return F.struct((row + shift).cast("bigint").alias("x"), (i - rows_before(row)).alias("y"))
+
+
+def scaled(x: Column, scale: float, low: int, high: int, missing: int) -> Column:
+    """A number as a bounded integer, ``missing`` where it isn't finite."""
+    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    return F.when(finite, F.greatest(F.least(F.rint(x * scale), F.lit(float(high))), F.lit(float(low))).cast("int")).otherwise(missing)
+
+
+def unscaled(i: Column, scale: float, missing: int) -> Column:
+    return F.when(i != missing, i / F.lit(float(scale)))
