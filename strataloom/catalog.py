@@ -22,6 +22,7 @@ from strataloom.operators import variants as va
 from strataloom.plans import views as v
 from strataloom.plans.views import GENO, IV, LOCI, PED, TG, TRIP, TRIP_PART, table
 from strataloom.plans.workspace import Workspace
+from strataloom.sources import exchange as ex
 from strataloom.sources import genotypes as sg
 from strataloom.sources import plink as pl
 from strataloom.streaming import events as ev
@@ -754,6 +755,27 @@ def vcf_roundtrip(spark, sf):
     return g.drop_missing(sg.read_genotypes(spark, path))
 
 
+@_query(_CALLED)
+def probabilities_roundtrip(spark, sf):
+    path = Workspace(spark, "probabilities").at("genotypes")
+    samples = ex.write_probabilities(_voted(spark, sf), path, v.loci(spark, sf))
+    return g.drop_missing(ex.read_probabilities(spark, path, [str(s) for s in samples]))
+
+
+@_query(_CALLED)
+def dosage_table_roundtrip(spark, sf):
+    path = Workspace(spark, "dosages").at("genotypes")
+    ex.write_dosage_table(_voted(spark, sf), path, v.loci(spark, sf))
+    return g.drop_missing(ex.read_dosage_table(spark, path))
+
+
+@_query("WITH " + TRIP + """, a AS (SELECT locus, COUNT(DISTINCT x) AS k FROM (SELECT locus, a1 AS x FROM trip UNION ALL SELECT locus, a2 FROM trip) WHERE x IS NOT NULL GROUP BY 1)
+SELECT COUNT(DISTINCT sample) AS samples, COUNT(DISTINCT locus) AS loci, COUNT(*) AS cells, COUNT(a1) AS called, CAST(0 AS BIGINT) AS half_called, (SELECT COUNT(*) FROM a WHERE k = 1) AS monomorphic,
+(SELECT COUNT(*) FROM a WHERE k = 2) AS biallelic, (SELECT COUNT(*) FROM a WHERE k > 2) AS multiallelic FROM trip""")
+def genotype_contents(spark, sf):
+    return ex.contents(v.triples(spark, sf))
+
+
 # --- composition, strands and intensities ---------------------------------------------------
 
 _BASES = "translate(sha256(CAST(p_partkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGN')"

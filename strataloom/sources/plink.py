@@ -88,8 +88,8 @@ def read_bed_matrix(spark: SparkSession, path: str, bim: str | None = None, fam:
         size, head = file.size(), file.read_at(3, 0)
     if head[:2] != MAGIC or len(head) < 3 or head[2] not in (SAMPLE_MAJOR, LOCUS_MAJOR):
         raise ValueError(f"{path} is not a binary genotype matrix")
-    n_loci, by_locus = loci.count(), head[2] == LOCUS_MAJOR
-    rows, columns = (n_loci, len(samples)) if by_locus else (len(samples), n_loci)
+    n_loci, locus_rows = loci.count(), head[2] == LOCUS_MAJOR
+    rows, columns = (n_loci, len(samples)) if locus_rows else (len(samples), n_loci)
     row_bytes = -(-columns // 4)
     if size != 3 + rows * row_bytes:
         raise ValueError(f"{path} has {size} bytes, {3 + rows * row_bytes} are needed for {len(samples)} samples and {n_loci} loci")
@@ -104,7 +104,7 @@ def read_bed_matrix(spark: SparkSession, path: str, bim: str | None = None, fam:
                     yield pa.record_batch([np.full(len(part), i), places, part.astype(np.int32)], ["r", "c", "code"])
 
     long = _matrix_rows(spark, path, rows, row_bytes).mapInArrow(cells, "r bigint, c bigint, code int")
-    locus_at, sample_at = ("r", "c") if by_locus else ("c", "r")
+    locus_at, sample_at = ("r", "c") if locus_rows else ("c", "r")
     names = F.array(*[F.lit(s) for s in samples]) if len(samples) <= 1000 else None
     named = long.withColumnRenamed(locus_at, "i").withColumnRenamed(sample_at, "s").join(loci.select("i", "locus", "a", "b"), "i")
     if names is not None:
@@ -118,7 +118,7 @@ def read_bed_matrix(spark: SparkSession, path: str, bim: str | None = None, fam:
     return named.select("sample", "locus", a1.alias("a1"), a2.alias("a2"))
 
 
-def _models(df: DataFrame, loci: DataFrame | None) -> DataFrame:
+def models(df: DataFrame, loci: DataFrame | None) -> DataFrame:
     """(locus, chrom, location, a, b): the least and greatest allele of each locus; a third one raises."""
     alleles = g.allele_counts(df).groupBy("locus").agg(F.min("allele").alias("a"), F.max("allele").alias("b"), F.count(F.lit(1)).alias("k"))
     third = F.raise_error(F.concat(F.lit("more than two alleles at "), F.col("locus").cast("string"))).cast("string")
@@ -129,11 +129,11 @@ def _models(df: DataFrame, loci: DataFrame | None) -> DataFrame:
     return known.join(loci.select("locus", F.col("chrom").cast("string").alias("chrom"), F.col("location").cast("bigint").alias("location")), "locus", "left").select("locus", "chrom", "location", "a", "b")
 
 
-def _by_locus(df: DataFrame, loci: DataFrame | None) -> tuple[DataFrame, list]:
+def by_locus(df: DataFrame, loci: DataFrame | None) -> tuple[DataFrame, list]:
     """Cells of each locus in the order of samples, and the samples; loci in order of chromosome, location and name."""
     samples = [r[0] for r in df.select("sample").distinct().orderBy("sample").collect()]
     cell = F.struct("sample", "a1", "a2")
-    rows = df.groupBy("locus").agg(F.collect_list(cell).alias("cells")).join(_models(df, loci), "locus")
+    rows = df.groupBy("locus").agg(F.collect_list(cell).alias("cells")).join(models(df, loci), "locus")
     return rows.orderBy(F.col("chrom").asc_nulls_first(), F.col("location").asc_nulls_first(), "locus"), samples
 
 
@@ -156,7 +156,7 @@ def write_bed_matrix(df: DataFrame, stem: str, loci: DataFrame | None = None, pe
 
     Rows are packed by the tasks and written in order as they arrive, one at a time.
     """
-    rows, samples = _by_locus(df, loci)
+    rows, samples = by_locus(df, loci)
     place = {s: k for k, s in enumerate(samples)}
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,23 +173,23 @@ def write_bed_matrix(df: DataFrame, stem: str, loci: DataFrame | None = None, pe
 
     key = df.schema["locus"].dataType.simpleString()
     ready = rows.mapInPandas(packed, f"locus {key}, chrom string, location bigint, a string, b string, row binary")
-    with _create(f"{stem}.bed") as bed, _create(f"{stem}.bim") as bim:
+    with create(f"{stem}.bed") as bed, create(f"{stem}.bim") as bim:
         bed.write(MAGIC + bytes([LOCUS_MAJOR]))
         for row in ready.toLocalIterator():
             bed.write(bytes(row["row"]))
             bim.write((" ".join([*_map_fields(row), row["a"] or "0", row["b"] or "0"]) + "\n").encode())
-    with _create(f"{stem}.fam") as fam:
+    with create(f"{stem}.fam") as fam:
         fam.write("".join(f"{line}\n" for line in _fam_lines(samples, pedigree)).encode())
 
 
-def _create(path: str):
+def create(path: str):
     system, name = _open(path)
     if isinstance(system, fs.LocalFileSystem):  # the others make the folders above a file themselves
         system.create_dir(name.rsplit("/", 1)[0], recursive=True)
     return system.open_output_stream(name)
 
 
-def _side_by_side(rows: DataFrame, key: str, names: list, head: list[str]) -> DataFrame:
+def side_by_side(rows: DataFrame, key: str, names: list, head: list[str]) -> DataFrame:
     """A line of text for each row (head columns, cells): allele pairs in the order of ``names``, 0 where one is missing."""
     place = {n: k for k, n in enumerate(names)}
 
@@ -208,16 +208,16 @@ def _side_by_side(rows: DataFrame, key: str, names: list, head: list[str]) -> Da
 
 def write_tped(df: DataFrame, stem: str, loci: DataFrame | None = None, pedigree: DataFrame | None = None) -> None:
     """``stem``.tped (a folder of text, lines in order) and ``stem``.tfam; a missing allele is 0."""
-    rows, samples = _by_locus(df, loci)
+    rows, samples = by_locus(df, loci)
     head = F.concat_ws(" ", F.coalesce("chrom", F.lit("0")), F.col("locus").cast("string"), F.lit("0"), F.coalesce("location", F.lit(0)).cast("string"))
-    _side_by_side(rows.select(head.alias("head"), "cells"), "sample", samples, ["head"]).write.text(f"{stem}.tped")
-    with _create(f"{stem}.tfam") as fam:
+    side_by_side(rows.select(head.alias("head"), "cells"), "sample", samples, ["head"]).write.text(f"{stem}.tped")
+    with create(f"{stem}.tfam") as fam:
         fam.write("".join(f"{line}\n" for line in _fam_lines(samples, pedigree)).encode())
 
 
 def write_ped(df: DataFrame, stem: str, loci: DataFrame | None = None, pedigree: DataFrame | None = None) -> None:
     """``stem``.ped (a folder of text, a line for each sample) and ``stem``.map; a line holds all loci, so they must be few enough to stand side by side."""
-    order = _models(df, loci).orderBy(F.col("chrom").asc_nulls_first(), F.col("location").asc_nulls_first(), "locus").collect()
+    order = models(df, loci).orderBy(F.col("chrom").asc_nulls_first(), F.col("location").asc_nulls_first(), "locus").collect()
     samples = df.groupBy("sample").agg(F.collect_list(F.struct("locus", "a1", "a2")).alias("cells"))
     own = F.col("sample").cast("string")
     if pedigree is None:
@@ -225,14 +225,14 @@ def write_ped(df: DataFrame, stem: str, loci: DataFrame | None = None, pedigree:
     else:
         samples = samples.join(pedigree.select(F.col("name").alias("sample"), "family", "parent1", "parent2", "sex", "pheno"), "sample", "left")
         head = F.concat_ws(" ", F.coalesce("family", own), own, *[F.coalesce(F.col(c).cast("string"), F.lit("0")) for c in ("parent1", "parent2", "sex", "pheno")])
-    _side_by_side(samples.select(head.alias("head"), "cells"), "locus", [r["locus"] for r in order], ["head"]).write.text(f"{stem}.ped")
-    with _create(f"{stem}.map") as out:
+    side_by_side(samples.select(head.alias("head"), "cells"), "locus", [r["locus"] for r in order], ["head"]).write.text(f"{stem}.ped")
+    with create(f"{stem}.map") as out:
         out.write("".join(" ".join(_map_fields(r)) + "\n" for r in order).encode())
 
 
 def vcf_lines(df: DataFrame, loci: DataFrame | None = None) -> DataFrame:
     """A record of text (value) for each locus in order, after the header; the reference is the least allele. Contigs 0 are unknown."""
-    rows, samples = _by_locus(df, loci)
+    rows, samples = by_locus(df, loci)
     place = {n: k for k, n in enumerate(samples)}
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
