@@ -372,6 +372,18 @@ def ld_pairs_em(spark, sf):
     return found.select("locus1", "locus2", _r("r2", 4).alias("r2"), _r("dprime", 4).alias("dprime"))
 
 
+@_query("WITH " + GENO + _LD + """, bw AS (SELECT locus1 AS a, locus2 AS b, ROUND(r2, 9) AS r FROM ld UNION ALL SELECT locus2, locus1, ROUND(r2, 9) FROM ld), m AS (SELECT locus, chrom AS bin, locus % 8 < 4 AS tag FROM loci),
+t AS (SELECT m.bin, m.locus, MIN(r) AS least, SUM(CASE WHEN NOT o.tag THEN r END) AS total FROM m LEFT JOIN bw ON a = m.locus LEFT JOIN m o ON o.locus = b AND o.bin = m.bin WHERE m.tag GROUP BY 1, 2),
+s AS (SELECT *, (locus % 5 + 1) / (CASE WHEN least < MAX(least) OVER w - 1e-10 THEN 2.0 ELSE 1 END) / (CASE WHEN total < MAX(total) OVER w - 1e-10 THEN 3.0 ELSE 1 END) AS score FROM t WINDOW w AS (PARTITION BY bin))
+SELECT bin, locus AS tag, ROUND(score, 6) AS score, CAST(ROW_NUMBER() OVER (PARTITION BY bin ORDER BY ROUND(score, 6) DESC, locus DESC) AS INTEGER) AS rank FROM s""")
+def tag_ranking(spark, sf):
+    loci, at = v.loci(spark, sf), F.col("locus")
+    bins = loci.select(F.col("chrom").alias("bin"), "locus", (at % 8 < 4).alias("tag"))
+    scores = loci.select("locus", (at % 5 + 1).alias("score"))
+    ranked = pr.rank_tags(bins, _dosage_ld(spark, sf).withColumn("r2", F.round("r2", 9)), scores, {"maxsnp": 2, "avgtag": 3})
+    return ranked.select("bin", "tag", _r("score").alias("score"), "rank")
+
+
 _MATRIX = ", ".join(f'MAX(CASE WHEN locus2 = {i} THEN ROUND(r2, 6) END) AS "{i}"' for i in range(40))
 
 

@@ -173,3 +173,46 @@ def snp_strand(seq: Column) -> Column:
     found = F.when(part(2).isNull(), None).when(own != "Unknown", own).otherwise(F.coalesce(F.get(F.filter(outward, lambda s: s != "Unknown"), 0), F.lit("Unknown")))
     swap = found == "Bot"
     return F.struct(found.alias("strand"), F.when(swap, high).otherwise(low).alias("a"), F.when(swap, low).otherwise(high).alias("b"))
+
+
+def affine_align(a: str, b: str, match: int = 10, mismatch: int = -9, opening: int = -15, extension: int = -6, local: bool = True) -> tuple[int, int, int, int, int, str]:
+    """Alignment whose gaps cost ``opening`` for their first base and ``extension`` for each further one; results as of :func:`align`.
+
+    Three scores a cell: ending in a pair, in a gap of b (I) and in a gap of a (D). Of equal scores a pair comes first, then I.
+    """
+    n, m, low = len(a), len(b), -(10**9)
+    best = np.full((3, n + 1, m + 1), low, int)
+    came = np.zeros((3, n + 1, m + 1), np.int8)  # the state before, 3 where a local alignment begins
+    best[0, 0, 0], came[0, 0, 0] = 0, 3
+    if not local:
+        for i in range(1, n + 1):
+            best[1, i, 0], came[1, i, 0] = opening + (i - 1) * extension, 1 if i > 1 else 0
+        for j in range(1, m + 1):
+            best[2, 0, j], came[2, 0, j] = opening + (j - 1) * extension, 2 if j > 1 else 0
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            before = [*(int(x) for x in best[:, i - 1, j - 1]), 0 if local else low]
+            k = max(range(4), key=before.__getitem__)
+            best[0, i, j], came[0, i, j] = before[k] + (match if a[i - 1] == b[j - 1] else mismatch), k
+            for state, (p, q) in ((1, (i - 1, j)), (2, (i, j - 1))):
+                options = [int(best[s, p, q]) + (extension if s == state else opening) for s in range(3)]
+                k = max(range(3), key=options.__getitem__)
+                best[state, i, j], came[state, i, j] = options[k], k
+    if local:
+        end = np.unravel_index(int(best[0].argmax()), best[0].shape)
+        i, j, state = int(end[0]), int(end[1]), 0
+        if best[0, i, j] <= 0:
+            return 0, 0, 0, 0, 0, ""
+    else:
+        i, j, state = n, m, int(best[:, n, m].argmax())
+    end_a, end_b, score, ops = i, j, int(best[state, i, j]), []
+    while (i or j) and state != 3:
+        ops.append("=X"[a[i - 1] != b[j - 1]] if state == 0 else "ID"[state - 1])
+        i, j, state = i - (state != 2), j - (state != 1), int(came[state, i, j])
+    return i, end_a, j, end_b, score, _runs(ops[::-1])
+
+
+@pandas_udf(_ALIGNED)
+def affine_alignment(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    found = [affine_align(x, y) if x is not None and y is not None else (None,) * 6 for x, y in zip(a, b)]
+    return pd.DataFrame(found, columns=["start_a", "end_a", "start_b", "end_b", "score", "cigar"])

@@ -139,6 +139,32 @@ def greedy_tags(loci: DataFrame, pairs: DataFrame, max_distance: int, r2: float
     return sets.groupBy("chrom", "region").applyInPandas(bins, f"chrom {dict(loci.dtypes)['chrom']}, region long, tag {kind}, locus {kind}, bin long, size long")
 
 
+def rank_tags(bins: DataFrame, pairs: DataFrame, scores: DataFrame | None = None, criteria: dict[str, float] | None = None, required: int = 1) -> DataFrame:
+    """(bin, tag, score, rank, recommended) of bins' members (bin, locus, tag) by design score and by what they say about the others.
+
+    A criterion's penalty divides the score of every tag that isn't the best by it in its bin: maxsnp (least r2 with any member), avgsnp (sum of r2), maxtag and avgtag (the same over members that are
+    no tags). Scores (locus, score) are 0 where missing, 1 for all if there is no table; ties go to the later name. The first ``required`` tags are recommended.
+    """
+    members = bins.select("bin", "locus", F.col("tag").cast("boolean").alias("tag"))
+    tags = members.where("tag").select("bin", F.col("locus").alias("locus1"))
+    others = members.select("bin", F.col("locus").alias("locus2"), (~F.col("tag")).alias("plain"))
+    met = both_ways(pairs).where("locus1 <> locus2").join(tags, "locus1").join(others, ["bin", "locus2"])
+    plain = F.when(F.col("plain"), F.col("r2"))
+    told = met.groupBy("bin", "locus1").agg(F.least(F.min("r2"), F.lit(1.0)).alias("maxsnp"), F.sum("r2").alias("avgsnp"), F.least(F.min(plain), F.lit(1.0)).alias("maxtag"), F.sum(plain).alias("avgtag"))
+    out = tags.join(told, ["bin", "locus1"], "left").withColumnRenamed("locus1", "locus")
+    if scores is None:
+        out = out.withColumn("score", F.lit(1.0))
+    else:
+        out = out.join(scores.select("locus", F.col("score").cast("double").alias("score")), "locus", "left").fillna(0.0, ["score"])
+    whole = Window.partitionBy("bin")
+    for name, penalty in (criteria or {}).items():
+        top = F.max(name).over(whole)
+        worse = top.isNotNull() & ~F.coalesce(F.abs(F.col(name) - top) <= 1e-10, F.lit(False))
+        out = out.withColumn("score", F.when(worse, F.col("score") / float(penalty)).otherwise(F.col("score")))
+    place = F.row_number().over(whole.orderBy(F.desc("score"), F.desc("locus")))
+    return out.select("bin", F.col("locus").alias("tag"), "score", place.alias("rank"), (place <= required).alias("recommended"))
+
+
 def prune(loci: DataFrame, pairs: DataFrame, max_distance: int, r2: float = 0.8, rank: str = "p") -> DataFrame:
     """Loci kept in order of ``rank`` when no kept one is in LD with them, region by region."""
     near = both_ways(pairs).where(F.col("r2") >= r2).select(F.col("locus1").alias("locus"), F.col("locus2").alias("other"))

@@ -1,14 +1,18 @@
+import functools
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strataloom.functions import sequences as sq
 from strataloom.functions import statistics as st
 from strataloom.operators import adjustment as ad
 from strataloom.operators import annotation as an
+from strataloom.operators import pairs as pr
 
 GENES = "gene string, symbol string, chrom string, strand string, tx_start long, tx_end long, cds_start long, cds_end long, exon_starts array<long>, exon_ends array<long>"
 
@@ -171,3 +175,51 @@ def test_ancestry(spark):
         assert len(found) == 12 and all(q["s"] == pytest.approx(1) and q["n"] == 2 for q in found)
     with pytest.raises(ValueError):
         ad.population_frequencies(dosages, groups, "?")
+
+
+def _best_score(a, b, local):
+    """Score of the best alignment from all ways to go on."""
+
+    @functools.cache
+    def go(i, j, state):  # the best of what is left of a and b after a pair (0) or in a gap
+        out = [0] if local or (i == len(a) and j == len(b)) else []
+        if i < len(a) and j < len(b):
+            out.append((10 if a[i] == b[j] else -9) + go(i + 1, j + 1, 0))
+        if i < len(a):
+            out.append((-6 if state == 1 else -15) + go(i + 1, j, 1))
+        if j < len(b):
+            out.append((-6 if state == 2 else -15) + go(i, j + 1, 2))
+        return max(out)
+
+    return max(go(i, j, 0) for i in range(len(a) + 1) for j in range(len(b) + 1)) if local else go(0, 0, 0)
+
+
+def test_affine_gaps_against_all_ways(spark):
+    r = random.Random(8)
+    for k in range(150):
+        a, b = ("".join(r.choice("ACG" if k % 2 else "AC") for _ in range(r.randrange(0, 9))) for _ in "ab")
+        for local in (True, False):
+            i, x, j, y, score, text = sq.affine_align(a, b, local=local)
+            assert score == _best_score(a, b, local), (a, b, local)
+            again, p, q = 0, i, j
+            for n, op in re.findall(r"(\d+)(.)", text):
+                for t in range(int(n)):
+                    if op in "=X":
+                        assert (a[p] == b[q]) == (op == "=")
+                        again += 10 if op == "=" else -9
+                    else:
+                        again += -6 if t else -15
+                    p, q = p + (op != "D"), q + (op != "I")
+            assert (again, p, q) == (score, x, y), (a, b, local, text)
+    df = spark.createDataFrame([("GATTACA", "GACA"), (None, "A")], "a string, b string").select(sq.affine_alignment(F.col("a"), F.col("b")).alias("r"))
+    assert [x["r"]["score"] for x in df.collect()] == [sq.affine_align("GATTACA", "GACA")[4], None]
+
+
+def test_ranks_of_tags(spark):
+    bins = spark.createDataFrame([(1, "a", True), (1, "b", True), (1, "c", False), (2, "z", True)], "bin int, locus string, tag boolean")
+    pairs = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.8), ("b", "c", 0.85)], "locus1 string, locus2 string, r2 double")
+    ranked = lambda *args, **kw: [(r["bin"], r["tag"], r["score"], r["recommended"]) for r in pr.rank_tags(bins, pairs, *args, **kw).orderBy("bin", "rank").collect()]
+    assert ranked() == [(1, "b", 1.0, True), (1, "a", 1.0, False), (2, "z", 1.0, True)]
+    assert ranked(None, {"maxtag": 4}) == [(1, "b", 1.0, True), (1, "a", 0.25, False), (2, "z", 1.0, True)]
+    scores = spark.createDataFrame([("a", 8.0)], "locus string, score double")
+    assert ranked(scores, {"avgsnp": 2}, 2) == [(1, "a", 4.0, True), (1, "b", 0.0, True), (2, "z", 0.0, True)]
