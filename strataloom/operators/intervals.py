@@ -1,18 +1,23 @@
 """Half-open intervals (chrom, start, end): overlap joins, depth, islands, nearest neighbours and coverage.
 
 Overlaps meet in bins of several levels, by the length of intervals: bins join by equality, and a pair counts in
-the one bin where its overlap begins. Sweeps run per chromosome; ``tiled_depth`` cuts chromosomes into tiles for
-inputs where one chromosome is too much for one task.
+the one bin where its overlap begins. Sweeps run in tiles of a chromosome, each with what the tiles before it carry over: a
+table of one row a tile, so that one chromosome spreads over many tasks and results are those of one sweep.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: Default width of a bin of the first level: near the median interval length. Each level's bins are ``STEP`` times as wide as those of the one before.
 WIDTH, STEP, LEVELS = 64, 8, 12
 
+#: Default width of a sweep's tile.
+TILE = 1 << 20
+
 
 def _level(width: int) -> Column:
     """The first level whose bins are no shorter than the interval, which so touches two at most."""
@@ -68,14 +73,30 @@ def best_overlap(a: DataFrame, b: DataFrame, key: str, name: str, least: int = 1
     return best.select(key, F.col("best.name").alias(name), (-F.col("best.share")).alias("share"))
 
 
-def depth(df: DataFrame) -> DataFrame:
+def _tiled(rows: DataFrame, at: str, tile: int, sums: dict[str, Column], carried: dict[str, Callable[[WindowSpec], Column]]) -> DataFrame:
+    """Rows with their ``tile`` and what each takes from the others: windows over the chromosome's tiles, of which ``sums`` gives one row each."""
+    placed = rows.withColumn("tile", F.floor(F.col(at) / tile))
+    by_tile = Window.partitionBy("chrom").orderBy("tile")
+    small = placed.groupBy("chrom", "tile").agg(*[c.alias(n) for n, c in sums.items()])
+    small = small.select(F.col("chrom").alias("__chrom"), F.col("tile").alias("__tile"), *[f(by_tile).alias(n) for n, f in carried.items()])
+    return placed.join(small, F.col("chrom").eqNullSafe(F.col("__chrom")) & F.col("tile").eqNullSafe(F.col("__tile"))).drop("__chrom", "__tile")
+
+
+def _before(w: WindowSpec) -> WindowSpec:
+    return w.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def depth(df: DataFrame, tile: int = TILE) -> DataFrame:
     """Maximal segments (chrom, start, end, depth) of constant depth above 0, by a sweep over interval ends."""
     changes = df.where("end > start").select("chrom", F.explode(F.array(
         F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("d"))
     )).alias("e")).groupBy("chrom", F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d")).where("d <> 0")
-    w = Window.partitionBy("chrom").orderBy("pos")
-    run = F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return changes.select("chrom", F.col("pos").alias("start"), F.lead("pos").over(w).alias("end"), run.alias("depth")).where("depth > 0 AND end IS NOT NULL")
+    sums = {"d_sum": F.sum("d"), "first": F.min("pos")}
+    placed = _tiled(changes, "pos", tile, sums, {"d_before": lambda w: F.coalesce(F.sum("d_sum").over(_before(w)), F.lit(0)), "pos_after": lambda w: F.lead("first").over(w)})
+    w = Window.partitionBy("chrom", "tile").orderBy("pos")
+    run = F.col("d_before") + F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    end = F.coalesce(F.lead("pos").over(w), F.col("pos_after"))
+    return placed.select("chrom", F.col("pos").alias("start"), end.alias("end"), run.alias("depth")).where("depth > 0 AND end IS NOT NULL")
 
 
 def tiled_depth(df: DataFrame, tile: int) -> DataFrame:
@@ -94,29 +115,35 @@ def depth_histogram(segments: DataFrame, width: int = 1, most: int = 1000) -> Da
     return h.withColumn("at_least", F.sum("bases").over(Window.orderBy(F.desc("bin"))))  # one row for each bin
 
 
-def islands(df: DataFrame, name: str | None = None, pad: int = 0) -> DataFrame:
-    """Overlapping and touching intervals merged; swapped ends are put right; names are joined, sorted and distinct."""
+def islands(df: DataFrame, name: str | None = None, pad: int = 0, tile: int = TILE) -> DataFrame:
+    """Overlapping and touching intervals merged; swapped ends are put right; names are joined, sorted and distinct.
+
+    Whether an interval begins an island follows from the ends before it, in its tile and, by their greatest one, in earlier tiles; islands are numbered likewise.
+    """
     lo, hi = F.least("start", "end") - pad, F.greatest("start", "end") + pad
     fixed = df.withColumns({"start": F.greatest(lo, F.lit(0)), "end": hi})
-    w = Window.partitionBy("chrom").orderBy("start", "end")
-    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = fixed.withColumn("new", F.when(F.col("start") <= before, 0).otherwise(1))
-    marked = marked.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    w = Window.partitionBy("chrom", "tile").orderBy("start", "end")
+    placed = _tiled(fixed, "start", tile, {"most": F.max("end")}, {"reach": lambda t: F.max("most").over(_before(t))})
+    before = F.greatest("reach", F.max("end").over(_before(w)))
+    marked = placed.withColumn("new", F.when(F.col("start") <= before, 0).otherwise(1)).drop("tile", "reach")
+    numbered = _tiled(marked, "start", tile, {"begun": F.sum("new")}, {"earlier": lambda t: F.coalesce(F.sum("begun").over(_before(t)), F.lit(0))})
+    numbered = numbered.withColumn("island", F.col("earlier") + F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     extra = [F.array_join(F.array_sort(F.collect_set(name)), ",").alias(name)] if name else []
-    return marked.groupBy("chrom", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n"), *extra)
+    return numbered.groupBy("chrom", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n"), *extra)
 
 
-def nearest(points: DataFrame, intervals: DataFrame, most: int = 1, max_distance: int | None = None) -> DataFrame:
+def nearest(points: DataFrame, intervals: DataFrame, most: int = 1, max_distance: int | None = None, tile: int = TILE) -> DataFrame:
     """For each point (chrom, pos) the nearest intervals that end before it: rank and distance. One sweep over both, no pairs.
 
-    The last ``most`` ends are carried along in the sweep.
+    Ends are numbered along the chromosome, tile by tile, and a point looks up the last ``most`` numbers before it.
     """
     both = points.select("chrom", F.col("pos").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("struct<end: bigint, start: bigint>").alias("iv"), "pos").unionByName(
         intervals.select("chrom", F.col("end").alias("at"), F.lit(0).alias("kind"), F.struct(F.col("end").cast("bigint").alias("end"), F.col("start").cast("bigint").alias("start")).alias("iv"), F.lit(None).cast("bigint").alias("pos"))
     )
-    w = Window.partitionBy("chrom").orderBy("at", "kind", "iv")
-    rank = F.sum(F.lit(1) - F.col("kind")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = both.withColumn("k", rank)
+    placed = _tiled(both, "at", tile, {"ends": F.sum(1 - F.col("kind"))}, {"earlier": lambda t: F.coalesce(F.sum("ends").over(_before(t)), F.lit(0))})
+    w = Window.partitionBy("chrom", "tile").orderBy("at", "kind", "iv")
+    rank = F.col("earlier") + F.sum(F.lit(1) - F.col("kind")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = placed.withColumn("k", rank)
     ends = ranked.where("kind = 0").select("chrom", "k", "iv")
     wanted = ranked.where("kind = 1").select("chrom", "pos", "k", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("back"))
     found = wanted.withColumn("k", F.col("k") - F.col("back")).join(ends, ["chrom", "k"])

@@ -27,15 +27,29 @@ def band_pairs(loci: DataFrame, max_distance: int, max_value: str = "location")
     return reach.join(own, ["chrom", "bin"]).where(later & (F.col("loc2") - F.col("loc1") <= max_distance)).drop("bin")
 
 
+def packed(dosages: DataFrame) -> DataFrame:
+    """(locus, word, m0, m1, m2): for each run of 64 samples, in the order of names, bits of those with 0, 1 and 2 copies. A cell has one row."""
+    known = dosages.where("x IN (0, 1, 2)")
+    place = known.select("sample").distinct().withColumn("place", F.row_number().over(Window.orderBy("sample")) - 1)  # one row a sample
+    bit = F.expr("shiftleft(1L, place % 64)")
+    masks = [F.coalesce(F.bit_or(F.when(F.col("x") == k, bit)), F.lit(0).cast("bigint")).alias(f"m{k}") for k in range(3)]
+    return known.join(place, "sample").groupBy("locus", F.floor(F.col("place") / 64).alias("word")).agg(*masks)
+
+
 def haplotype_counts(dosages: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(locus1, locus2, c11, c12, c21, c22, dh) from dosages (sample, locus, x) of pairs: nine counts, folded before the shuffle."""
-    d = dosages.where("x IS NOT NULL")
-    a = d.select("sample", F.col("locus").alias("locus1"), F.col("x").alias("x"))
-    b = d.select("sample", F.col("locus").alias("locus2"), F.col("x").alias("y"))
-    both = pairs.select("locus1", "locus2").join(a, "locus1").join(b, ["locus2", "sample"])
-    n = lambda x, y: F.count_if((F.col("x") == x) & (F.col("y") == y))
-    return both.groupBy("locus1", "locus2").agg(
-        (2 * n(0, 0) + n(0, 1) + n(1, 0)).alias("c11"), (2 * n(0, 2) + n(0, 1) + n(1, 2)).alias("c12"),
+    """(locus1, locus2, c11, c12, c21, c22, dh) from dosages (sample, locus, x) of pairs: nine counts of common bits.
+
+    A pair meets in one row for 64 samples, so joins move a row a word and not one a sample.
+    """
+    words = packed(dosages)
+    side = lambda name, m: words.select(F.col("locus").alias(name), "word", *[F.col(f"m{k}").alias(f"{m}{k}") for k in range(3)])
+    both = pairs.select("locus1", "locus2").join(side("locus1", "p"), "locus1").join(side("locus2", "q"), ["locus2", "word"])
+    common = lambda x, y: F.sum(F.bit_count(F.col(f"p{x}").bitwiseAND(F.col(f"q{y}")))).cast("bigint").alias(f"n{x}{y}")
+    counts = both.groupBy("locus1", "locus2").agg(*[common(x, y) for x in range(3) for y in range(3)])
+    n = lambda x, y: F.col(f"n{x}{y}")
+    counts = counts.where(sum(n(x, y) for x in range(3) for y in range(3)) > 0)  # a common word need not have a common sample
+    return counts.select(
+        "locus1", "locus2", (2 * n(0, 0) + n(0, 1) + n(1, 0)).alias("c11"), (2 * n(0, 2) + n(0, 1) + n(1, 2)).alias("c12"),
         (2 * n(2, 0) + n(2, 1) + n(1, 0)).alias("c21"), (2 * n(2, 2) + n(2, 1) + n(1, 2)).alias("c22"), n(1, 1).alias("dh"),
     )
 
