@@ -86,26 +86,32 @@ def _before(w: WindowSpec) -> WindowSpec:
     return w.rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _changes(df: DataFrame, *keys: str) -> DataFrame:
+    """(keys, pos, d): by how much the depth changes at a place."""
+    ends = F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("d")))
+    steps = df.where("end > start").select(*keys, F.explode(ends).alias("e"))
+    return steps.groupBy(*keys, F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d")).where("d <> 0")
+
+
 def depth(df: DataFrame, tile: int = TILE) -> DataFrame:
     """Maximal segments (chrom, start, end, depth) of constant depth above 0, by a sweep over interval ends."""
-    changes = df.where("end > start").select("chrom", F.explode(F.array(
-        F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("d"))
-    )).alias("e")).groupBy("chrom", F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d")).where("d <> 0")
     sums = {"d_sum": F.sum("d"), "first": F.min("pos")}
-    placed = _tiled(changes, "pos", tile, sums, {"d_before": lambda w: F.coalesce(F.sum("d_sum").over(_before(w)), F.lit(0)), "pos_after": lambda w: F.lead("first").over(w)})
+    carried = {"d_before": lambda w: F.coalesce(F.sum("d_sum").over(_before(w)), F.lit(0)), "pos_after": lambda w: F.lead("first").over(w)}
+    placed = _tiled(_changes(df, "chrom"), "pos", tile, sums, carried)
     w = Window.partitionBy("chrom", "tile").orderBy("pos")
     run = F.col("d_before") + F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))
     end = F.coalesce(F.lead("pos").over(w), F.col("pos_after"))
     return placed.select("chrom", F.col("pos").alias("start"), end.alias("end"), run.alias("depth")).where("depth > 0 AND end IS NOT NULL")
 
 
-def tiled_depth(df: DataFrame, tile: int) -> DataFrame:
-    """As ``depth``, with intervals cut at tile borders first: each (chrom, tile) is swept apart, and segments end at borders."""
+def tiled_depth(df: DataFrame, tile: int = TILE) -> DataFrame:
+    """As ``depth``, with intervals cut at tile borders first: each (chrom, tile) is swept apart, nothing is carried over, and segments end at borders."""
     cut = df.where("end > start").withColumn("tile", F.explode(F.sequence(F.floor(F.col("start") / tile), F.floor((F.col("end") - 1) / tile))))
-    cut = cut.select(
-        F.struct("chrom", "tile").alias("chrom"), F.greatest("start", F.col("tile") * tile).alias("start"), F.least("end", (F.col("tile") + 1) * tile).alias("end")
-    )
-    return depth(cut).withColumn("chrom", F.col("chrom.chrom"))
+    cut = cut.select("chrom", "tile", F.greatest("start", F.col("tile") * tile).alias("start"), F.least("end", (F.col("tile") + 1) * tile).alias("end"))
+    w = Window.partitionBy("chrom", "tile").orderBy("pos")
+    run = F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    swept = _changes(cut, "chrom", "tile").select("chrom", F.col("pos").alias("start"), F.lead("pos").over(w).alias("end"), run.alias("depth"))
+    return swept.where("depth > 0 AND end IS NOT NULL")
 
 
 def depth_histogram(segments: DataFrame, width: int = 1, most: int = 1000) -> DataFrame:
@@ -153,7 +159,7 @@ def nearest(points: DataFrame, intervals: DataFrame, most: int = 1, max_distance
 
 def target_coverage(reads: DataFrame, targets: DataFrame, name: str, width: int = WIDTH) -> DataFrame:
     """Bases of each target by depth, zero depth included."""
-    segments = overlap_join(targets, depth(reads), width).groupBy(name, F.col("depth_b").alias("depth")).agg(F.sum("overlap").alias("bases"))
+    segments = overlap_join(targets, tiled_depth(reads), width).groupBy(name, F.col("depth_b").alias("depth")).agg(F.sum("overlap").alias("bases"))
     covered = segments.groupBy(name).agg(F.sum("bases").alias("covered"))
     size = targets.select(name, (F.col("end") - F.col("start")).alias("size"))
     gaps = size.join(covered, name, "left").select(name, F.lit(0).cast("bigint").alias("depth"), (F.col("size") - F.coalesce("covered", F.lit(0))).alias("bases"))
