@@ -93,6 +93,15 @@ def test_windows_against_slices(spark):
         assert found[n, p, w] == pytest.approx((sum(c in "CG" for c in s[low:high]) / valid, 2 * pairs / valid))
 
 
+def test_windows_broadcast_no_side(spark, tmp_path):
+    """A small file whose rows are multiplied looks small to the optimizer."""
+    spark.range(50).selectExpr("id AS name", "repeat('ACGT', 16) AS seq").write.parquet(str(tmp_path / "s"))
+    df = spark.read.parquet(str(tmp_path / "s"))
+    places = df.select("name", F.explode(F.sequence(F.lit(0), F.lit(56), F.lit(8))).alias("pos"))
+    plan = cp.window_shares(cp.tiles(df, 16), places, [5, 20], 16)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_strands(spark):
     cases = {
         "TTGA[g/a]CCAT": ("Top", "A", "G"), "ACC[C/T]G": ("Bot", "T", "C"), "GG[A/T]CC": ("Unknown", "A", "T"), "GCA[A/T]TGC": ("Unknown", "A", "T"),
