@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions import statistics as st
+from strataloom.plans.workspace import Workspace
 
 CELL = ["sample", "locus"]
 
@@ -307,18 +308,73 @@ def ibs(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
     return F.when((a1 == b1) & (a2 == b2), 2).when(shared, 1).otherwise(0)
 
 
+#: Samples of a block: all pairs of two blocks are one group of a join, whose smaller side is held in memory.
+BLOCK = 4096
+
+#: Words of 64 bits that are compared one by one; longer rows are walked through as arrays.
+_UNROLLED = 64
+
+
+def _packed(df: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """(sample, c, g, a, h) of samples, one row each, and the words of each kind: loci called, their genotypes, alleles, and heterozygotes as bits.
+
+    Bits stand for what is seen at a locus, whatever the number of its alleles. A cell that is there twice raises.
+    """
+    called = df.where("sample IS NOT NULL AND locus IS NOT NULL AND a1 IS NOT NULL AND a2 IS NOT NULL").select("sample", "locus", "a1", "a2")
+    called = Workspace(df.sparkSession, "sample-pairs").table(called, "called")
+    text = lambda *cs: F.to_json(F.array(*[F.col(c) if isinstance(c, str) else c for c in cs]))
+    low, high = F.least("a1", "a2"), F.greatest("a1", "a2")
+    kinds = called.select("locus", "a1", "a2").distinct()
+    feature = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    features = F.array(feature("c", F.lit("")), feature("g", text("a1", "a2")), feature("a", text("a1")), feature("a", text("a2")), feature("h", F.when(low != high, text(low, high))))
+    seen = kinds.select("locus", "a1", "a2", F.explode(F.array_distinct(features)).alias("f")).select("locus", "a1", "a2", "f.*").where("value IS NOT NULL")
+    bits = seen.select("kind", "locus", "value").distinct().withColumn("bit", F.row_number().over(Window.partitionBy("kind").orderBy("locus", "value")) - 1)
+    bits = Workspace(df.sparkSession, "sample-pairs").table(seen.join(bits, ["kind", "locus", "value"]).select("locus", "a1", "a2", "kind", "bit"), "bits")
+    words = {r["kind"]: r["n"] // 64 + 1 for r in bits.groupBy("kind").agg(F.max("bit").alias("n")).collect()}
+    of_kind = bits.groupBy("locus", "a1", "a2").agg(F.collect_list(F.struct("kind", F.expr("bit div 64").cast("int").alias("word"), F.expr("shiftleft(1L, CAST(bit % 64 AS INT))").alias("bits"))).alias("f"))
+    cells = called.join(of_kind, ["locus", "a1", "a2"]).select("sample", F.explode("f").alias("f")).select("sample", "f.*")
+    merged = cells.groupBy("sample", "kind", "word").agg(F.bit_or("bits").alias("bits"), F.count(F.lit(1)).alias("n"))
+    twice = (F.col("kind") == "c") & (F.bit_count("bits") != F.col("n"))
+    merged = merged.withColumn("bits", F.when(twice, F.raise_error(F.concat(F.lit("a cell is there twice in sample "), F.col("sample").cast("string"))).cast("bigint")).otherwise(F.col("bits")))
+    rows = merged.groupBy("sample").agg(*[F.map_from_entries(F.collect_list(F.when(F.col("kind") == k, F.struct("word", "bits")))).alias(k) for k in "cgah"])
+    dense = lambda k: F.transform(F.sequence(F.lit(0), F.lit(words.get(k, 1) - 1)), lambda w: F.coalesce(F.try_element_at(k, w.cast("int")), F.lit(0).cast("bigint")))
+    return rows.select("sample", *[dense(k).alias(k) for k in "cgah"]), {k: words.get(k, 1) for k in "cgah"}
+
+
 def sample_pairs(df: DataFrame, pairs: DataFrame | None = None, min_comparisons: int = 1) -> DataFrame:
-    """For each pair of samples: comparisons, concordant ones, and shared alleles 0, 1, 2.
+    """For each pair of samples: comparisons, concordant ones, and shared alleles 0, 1, 2; of genotypes with one row a cell.
 
-    Pairs meet within loci and are counted there before the shuffle. With a table of pairs (s1, s2) only those meet.
+    A sample is one row of bits, and a pair is counted where its rows meet: nothing of a pair is shuffled. Blocks of samples meet, each two in one
+    group. With a table of pairs (s1, s2) only those meet.
     """
-    called = df.where("a1 IS NOT NULL AND a2 IS NOT NULL").select("locus", "sample", "a1", "a2")
-    x, y = called.toDF("locus", "s1", "x1", "x2"), called.toDF("locus", "s2", "y1", "y2")
-    both = x.join(pairs, "s1").join(y, ["locus", "s2"]) if pairs is not None else x.join(y, "locus").where("s1 < s2")
-    shared = ibs(F.col("x1"), F.col("x2"), F.col("y1"), F.col("y2"))
-    return both.groupBy("s1", "s2").agg(
-        F.count(F.lit(1)).alias("comparisons"), *[F.count_if(shared == k).alias(f"ibs{k}") for k in (0, 1, 2)]
-    ).where(F.col("comparisons") >= min_comparisons).withColumn("concordance", F.col("ibs2") / F.col("comparisons"))
+    rows, words = _packed(df)
+    flat = sum(words.values()) <= _UNROLLED
+    if flat:
+        rows = rows.select("sample", *[F.get(k, i).alias(f"{k}{i}") for k, n in words.items() for i in range(n)])
+    rows = Workspace(df.sparkSession, "sample-pairs").table(rows, "rows")
+    side = lambda s: rows.select(*[F.col(c).alias(f"{s}_{c}") for c in rows.columns])
+    x, y = side("x"), side("y")
+    if pairs is not None:
+        both = pairs.join(x.withColumnRenamed("x_sample", "s1"), "s1").join(y.withColumnRenamed("y_sample", "s2"), "s2")
+    else:
+        n = max(-(-rows.count() // BLOCK), 1)
+        parts = n * (n + 1) // 2
+        own = lambda s: F.pmod(F.xxhash64(f"{s}_sample"), F.lit(n)).cast("int")
+        x = x.withColumn("i", own("x")).withColumn("j", F.explode(F.sequence("i", F.lit(n - 1))))
+        y = y.withColumn("j", own("y")).withColumn("i", F.explode(F.sequence(F.lit(0), "j")))
+        # A given number of partitions: the few bytes that meet would be put together in a few tasks.
+        both = x.repartition(parts, "i", "j").join(y.repartition(parts, "i", "j").hint("shuffle_hash"), ["i", "j"]).where("i < j OR x_sample < y_sample")
+        both = both.withColumns({"s1": F.least("x_sample", "y_sample"), "s2": F.greatest("x_sample", "y_sample")})
+
+    def common(k: str) -> Column:
+        if flat:
+            return reduce(lambda a, b: a + b, [F.bit_count(F.col(f"x_{k}{i}").bitwiseAND(F.col(f"y_{k}{i}"))) for i in range(words[k])])
+        each = F.zip_with(f"x_{k}", f"y_{k}", lambda a, b: F.bit_count(a.bitwiseAND(b)))
+        return F.aggregate(each, F.lit(0), lambda t, b: t + b)
+
+    met = both.select("s1", "s2", common("c").cast("bigint").alias("comparisons"), common("g").cast("bigint").alias("ibs2"), (common("a") - common("h")).cast("bigint").alias("shared"))
+    met = met.where(F.col("comparisons") >= max(min_comparisons, 1))
+    return met.select("s1", "s2", "comparisons", (F.col("comparisons") - F.col("shared")).alias("ibs0"), (F.col("shared") - F.col("ibs2")).alias("ibs1"), "ibs2", (F.col("ibs2") / F.col("comparisons")).alias("concordance"))
 
 
 def duplicates(df: DataFrame, threshold: float = 0.85, min_comparisons: int = 20, expected: DataFrame | None = None) -> DataFrame:

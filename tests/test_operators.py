@@ -1,4 +1,6 @@
+import itertools
 import math
+import random
 
 import numpy as np
 import pytest
@@ -89,6 +91,39 @@ def test_mendel_and_ibs(spark):
     assert p[("c", "p")] == (1, 1, 0) and p[("p", "q")] == (1, 0, 0)
 
 
+@pytest.mark.parametrize(("block", "unrolled"), [(8, 64), (8, 0), (4096, 64)])
+def test_pairs_in_blocks_against_single_cells(spark, monkeypatch, block, unrolled):
+    monkeypatch.setattr(g, "BLOCK", block)
+    monkeypatch.setattr(g, "_UNROLLED", unrolled)
+    r = random.Random(3)
+    kinds = [("A", "A"), ("A", "B"), ("B", "A"), ("B", "B"), ("A", "C"), ("C", "C"), ("B", "C"), ("D", "E"), ("A", None), (None, None)]
+    cells = {(f"s{s}", k): r.choice(kinds) for s in range(30) for k in range(70) if r.random() < 0.8}
+    df = spark.createDataFrame([(*c, *v) for c, v in cells.items()], "sample string, locus int, a1 string, a2 string")
+    want = {}
+    for s, t in itertools.combinations(sorted({c[0] for c in cells}), 2):
+        n = [0, 0, 0]
+        for k in range(70):
+            x, y = cells.get((s, k)), cells.get((t, k))
+            if x and y and None not in x and None not in y:
+                n[2 if x == y else 1 if set(x) & set(y) else 0] += 1
+        want[s, t] = (sum(n), *n)
+    tell = lambda found: {(q["s1"], q["s2"]): (q["comparisons"], q["ibs0"], q["ibs1"], q["ibs2"]) for q in found.collect()}
+    found = g.sample_pairs(df)
+    assert found.count() == len(want) and tell(found) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan  # rows of pairs are not shuffled
+    some = [("s3", "s11"), ("s11", "s3"), ("s5", "s5"), ("s1", "none")]
+    few = tell(g.sample_pairs(df, spark.createDataFrame(some, "s1 string, s2 string"), 2))
+    assert few.keys() == set(some[:3]) and few["s3", "s11"] == few["s11", "s3"] == want["s11", "s3"]
+    assert {k for k, v in want.items() if v[0] >= 33} == tell(g.sample_pairs(df, None, 33)).keys()
+
+
+def test_a_cell_twice_is_told(spark):
+    twice = spark.createDataFrame([("s", 1, "A", "A"), ("s", 1, "A", "B"), ("t", 1, "A", "A")], "sample string, locus int, a1 string, a2 string")
+    with pytest.raises(Exception, match="there twice"):
+        g.sample_pairs(twice).collect()
+
+
 def test_equilibrium():
     assert st.hwp_exact(0, 0, 0) == 1.0
     assert abs(st.hwp_exact(5, 10, 5) - 1.0) < 1e-9
