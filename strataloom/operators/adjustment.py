@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DoubleType
 
+from strataloom.plans.workspace import Workspace
+
 
 @F.pandas_udf(ArrayType(DoubleType()))
 def _solved(products: pd.Series, targets: pd.Series) -> pd.Series:
@@ -88,14 +95,39 @@ def population_frequencies(dosages: DataFrame, populations: DataFrame, model: st
 
 def mixing_shares(f: np.ndarray, steps: int = 20_000, tolerance: float = 1e-12) -> tuple[np.ndarray, float]:
     """Shares of k sources that make n events likeliest, from their frequencies (n, k), and the log-likelihood; by expectation-maximisation from equal shares."""
-    x = np.full(f.shape[1], 1 / f.shape[1])
+    shares, loglik = many_mixing_shares([f], steps, tolerance)
+    return shares[0], float(loglik[0])
+
+
+def many_mixing_shares(groups: list[np.ndarray], steps: int = 20_000, tolerance: float = 1e-12) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`mixing_shares` of many groups in one go: shares (groups, k) and log-likelihoods. A group that has come to its end isn't moved again."""
+    size = np.array([len(f) for f in groups])
+    k = groups[0].shape[1]
+    full = np.zeros((k, size.max(), len(groups)))
+    inside = np.arange(size.max())[:, None] < size
+    for j, f in enumerate(groups):
+        full[:, : len(f), j] = f.T
+    full[:, ~inside] = 1.0
+    shares = np.full((k, len(groups)), 1 / k)
+    left = np.arange(len(groups))
+    f, weight, x = full, inside / size, shares.copy()
     for _ in range(steps):
-        new = x * (f / (f @ x)[:, None]).mean(axis=0)
-        done = np.abs(new - x).max() < tolerance
+        likely = weight / sum(x[i] * f[i] for i in range(k))
+        new = np.stack([x[i] * np.einsum("ij,ij->j", f[i], likely) for i in range(k)])
+        moving = np.abs(new - x).max(axis=0) >= tolerance
         x = new
-        if done:
-            break
-    return x, float(np.log(f @ x).sum())
+        if not moving.all():
+            shares[:, left] = x
+            left, f, weight, x = left[moving], f[:, :, moving], weight[:, moving], x[:, moving]
+            if not len(left):
+                break
+    shares[:, left] = x
+    mixed = np.where(inside, sum(shares[i] * full[i] for i in range(k)), 1.0)
+    return shares.T, np.log(mixed).sum(axis=0)
+
+
+#: Values of a batch of samples whose shares are estimated together.
+_BATCH = 1 << 16
 
 
 def admixture(dosages: DataFrame, frequencies: DataFrame) -> DataFrame:
@@ -103,14 +135,29 @@ def admixture(dosages: DataFrame, frequencies: DataFrame) -> DataFrame:
 
     Genotypes that no population has say nothing and are left out. A sample's loci are one group: its size is populations times loci.
     """
+    frequencies = Workspace(frequencies.sparkSession, "admixture").table(frequencies, "frequencies")
     names = [r[0] for r in frequencies.select("population").distinct().orderBy("population").collect()]
     wide = frequencies.groupBy("locus", "x").agg(F.map_from_entries(F.collect_list(F.struct("population", "f"))).alias("m")).where(F.size("m") == len(names))
     wide = wide.select("locus", "x", F.array(*[F.try_element_at("m", F.lit(p)) for p in names]).alias("f")).where(F.exists("f", lambda v: v > 0))
-    events = dosages.where("x IS NOT NULL").join(wide, ["locus", "x"]).select("sample", "locus", "f")
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        shares, loglik = mixing_shares(np.array(group.sort_values("locus")["f"].tolist()))
-        return pd.DataFrame({"sample": group["sample"].iloc[0], "population": names, "share": shares, "loglik": loglik})
-
-    kinds = [df.schema[c].dataType.simpleString() for df, c in ((dosages, "sample"), (frequencies, "population"))]
-    return events.groupBy("sample").applyInPandas(fit, f"sample {kinds[0]}, population {kinds[1]}, share double, loglik double")
+    events = dosages.where("x IS NOT NULL").join(wide, ["locus", "x"])
+    by_sample = events.groupBy("sample").agg(F.sort_array(F.collect_list(F.struct("locus", "f"))).alias("e"))
+    ready = by_sample.select("sample", F.flatten(F.col("e.f")).alias("f"))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            length = pc.list_value_length(whole["f"]).to_numpy()
+            order = np.argsort(length, kind="stable")  # samples of like size go together: less is filled up
+            begin = 0
+            while begin < len(order):
+                end = begin + 1
+                while end < len(order) and length[order[end]] * (end + 1 - begin) <= _BATCH:
+                    end += 1
+                batch = whole.take(pa.array(order[begin:end]))
+                begin = end
+                shares, loglik = many_mixing_shares([np.array(f).reshape(-1, len(names)) for f in batch["f"].to_pylist()])
+                each = np.repeat(np.arange(len(batch)), len(names))
+                yield pa.RecordBatch.from_arrays([batch["sample"].take(pa.array(each)), pa.array(names * len(batch)).cast(population), pa.array(shares.ravel()), pa.array(loglik[each])], ["sample", "population", "share", "loglik"])
+
+    kinds = [df.schema[c].dataType for df, c in ((dosages, "sample"), (frequencies, "population"))]
+    population = to_arrow_type(kinds[1])
+    return ready.mapInArrow(fit, f"sample {kinds[0].simpleString()}, population {kinds[1].simpleString()}, share double, loglik double")

@@ -177,6 +177,25 @@ def test_ancestry(spark):
         ad.population_frequencies(dosages, groups, "?")
 
 
+def test_shares_of_many_groups_at_once(spark):
+    r = np.random.default_rng(5)
+    groups = [r.uniform(0, 1, size=(n, 3)) for n in (1, 7, 40, 40, 13)] + [np.full((4, 3), 0.5)]
+    shares, loglik = ad.many_mixing_shares(groups, 500)
+    for f, own, top in zip(groups, shares, loglik):
+        x = np.full(3, 1 / 3)
+        for _ in range(500):
+            new = x * (f / (f @ x)[:, None]).mean(axis=0)
+            done, x = np.abs(new - x).max() < 1e-12, new
+            if done:
+                break
+        assert own == pytest.approx(x, abs=1e-9) and top == pytest.approx(np.log(f @ x).sum())
+    dosages = spark.createDataFrame([(s, i, (s * i) % 3) for s in range(40) for i in range(s % 7 + 1)], "sample int, locus int, x int")
+    freq = ad.population_frequencies(dosages, spark.createDataFrame([(s, s % 2) for s in range(40)], "sample int, population int")).withColumn("f", F.col("f") + 0.01)
+    found = ad.admixture(dosages, freq)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().optimizedPlan().toString()  # a call of Python for each sample
+    assert found.count() == 80
+
+
 def _best_score(a, b, local):
     """Score of the best alignment from all ways to go on."""
 
