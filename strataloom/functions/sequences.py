@@ -164,15 +164,18 @@ def snp_strand(seq: Column) -> Column:
     Alleles come in alphabetical order, on the Bot strand in reverse. Other texts give nulls.
     """
     pattern = r"^([^\[]*)\[(.)[/-](.)\](.*)$"
-    part = lambda k: F.nullif(F.regexp_extract(F.upper(seq), pattern, k), F.lit(""))
-    left, right = (F.coalesce(part(k), F.lit("")) for k in (1, 4))
-    low, high = F.least(part(2), part(3)), F.greatest(part(2), part(3))
+    parts = F.struct(*[F.nullif(F.regexp_extract(F.upper(seq), pattern, k), F.lit("")).alias(f"p{k}") for k in (1, 2, 3, 4)])
+    return F.get(F.transform(F.array(parts), _snp_strand), 0)  # the text is taken apart once, not at each mention of a part
+
+
+def _snp_strand(parts: Column) -> Column:
+    left, right = (F.coalesce(parts[k], F.lit("")) for k in ("p1", "p4"))
+    low, high = F.least(parts["p2"], parts["p3"]), F.greatest(parts["p2"], parts["p3"])
     own = strand(low, high)
     n = F.least(F.length(left), F.length(right))
     outward = F.zip_with(F.split(F.left(F.reverse(left), n), ""), F.split(F.left(right, n), ""), strand)
-    found = F.when(part(2).isNull(), None).when(own != "Unknown", own).otherwise(F.coalesce(F.get(F.filter(outward, lambda s: s != "Unknown"), 0), F.lit("Unknown")))
-    swap = found == "Bot"
-    return F.struct(found.alias("strand"), F.when(swap, high).otherwise(low).alias("a"), F.when(swap, low).otherwise(high).alias("b"))
+    found = F.when(parts["p2"].isNull(), None).when(own != "Unknown", own).otherwise(F.coalesce(F.get(F.filter(outward, lambda s: s != "Unknown"), 0), F.lit("Unknown")))
+    return F.get(F.transform(F.array(found), lambda s: F.struct(s.alias("strand"), F.when(s == "Bot", high).otherwise(low).alias("a"), F.when(s == "Bot", low).otherwise(high).alias("b"))), 0)
 
 
 def affine_align(a: str, b: str, match: int = 10, mismatch: int = -9, opening: int = -15, extension: int = -6, local: bool = True) -> tuple[int, int, int, int, int, str]:

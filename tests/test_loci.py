@@ -113,6 +113,11 @@ def test_strands(spark):
     assert [x[0] for x in pairs.select(sq.strand_of_pair(F.col("a"), F.col("b"))).collect()] == ["Top", "Bot", "Unknown", "Unknown"]
 
 
+def test_strands_take_a_text_apart_once(spark):
+    plan = spark.range(3).select(sq.snp_strand(F.col("id").cast("string")).alias("r")).select("r.*")._jdf.queryExecution().optimizedPlan().toString()
+    assert 4 <= plan.count("regexp_extract") <= 12  # four for each field at most
+
+
 def test_locus_filters(spark, places):
     assert lo.ranges("5-2, -7,8-,-") == [(2, 5), (None, 7), (8, None), (None, None)]
     with pytest.raises(ValueError):
