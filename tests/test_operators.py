@@ -118,6 +118,15 @@ def test_pairs_in_blocks_against_single_cells(spark, monkeypatch, block, unrolle
     assert {k for k, v in want.items() if v[0] >= 33} == tell(g.sample_pairs(df, None, 33)).keys()
 
 
+def test_a_spread_join_is_the_join(spark):
+    a = spark.createDataFrame([(k % 3 if k % 7 else None, f"a{k}") for k in range(40)], "k int, v string")
+    b = spark.createDataFrame([(k % 4 if k % 5 else None, f"b{k}") for k in range(60)], "j int, w string")
+    tell = lambda n: sorted(map(tuple, tb.join_tables(a, b, ["k"], ["j"], "inner", prefix2="r_", spread=n).collect()))
+    assert tell(5) == tell(1) and len(tell(5)) > 300
+    with pytest.raises(ValueError):
+        tb.join_tables(a, b, ["k"], ["j"], spread=2)
+
+
 def test_a_cell_twice_is_told(spark):
     twice = spark.createDataFrame([("s", 1, "A", "A"), ("s", 1, "A", "B"), ("t", 1, "A", "A")], "sample string, locus int, a1 string, a2 string")
     with pytest.raises(Exception, match="there twice"):
