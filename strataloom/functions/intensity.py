@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataloom.plans.workspace import Workspace
+
 
 def _finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
@@ -51,12 +53,23 @@ def quantile_normalize(df: DataFrame, by: str, x: str, y: str, least: float | No
 
 
 def trimmed_mean(df: DataFrame, by: str, value: str, share: float) -> DataFrame:
-    """(by, mean) of each group's finite values without the least and greatest ``share`` of them."""
-    good = df.where(_finite(F.col(value)))
-    place = F.row_number().over(Window.partitionBy(by).orderBy(value))
-    n = F.count(F.lit(1)).over(Window.partitionBy(by))
-    cut = F.floor(n * F.lit(float(share)))
-    return good.withColumns({"__k": place, "__cut": cut, "__n": n}).where((F.col("__k") > F.col("__cut")) & (F.col("__k") <= F.col("__n") - F.col("__cut"))).groupBy(by).agg(F.avg(value).alias("mean"))
+    """(by, mean) of each group's finite values without the least and greatest ``share`` of them.
+
+    Equal values are one row with their number; ranges of (group, value) are looked at apart, each after the numbers of the ranges before.
+    """
+    counts = df.where(_finite(F.col(value))).groupBy(by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    ranges = counts.repartitionByRange(by, "__v").withColumn("__range", F.spark_partition_id())
+    ranges = Workspace(df.sparkSession, "trimmed").table(ranges, "ranges")
+    own = Window.partitionBy("__g").orderBy("__range")
+    sizes = ranges.groupBy(F.col(by).alias("__g"), F.col("__range").alias("__at")).agg(F.sum("__c").alias("__size")).withColumnRenamed("__at", "__range")
+    before = F.coalesce(F.sum("__size").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumns({"__before": before, "__n": F.sum("__size").over(Window.partitionBy("__g"))}).withColumnRenamed("__range", "__at")
+    placed = ranges.join(sizes, (F.col("__range") == F.col("__at")) & F.col(by).eqNullSafe(F.col("__g")))
+    last = F.col("__before") + F.sum("__c").over(Window.partitionBy("__range", by).orderBy("__v"))
+    cut = F.floor(F.col("__n") * F.lit(float(share)))
+    kept = F.least(F.col("__last"), F.col("__n") - cut) - F.greatest(F.col("__last") - F.col("__c"), cut)
+    kept = placed.withColumn("__last", last).withColumn("__kept", kept).where("__kept > 0")
+    return kept.groupBy(by).agg((F.sum(F.col("__v").cast("double") * F.col("__kept")) / F.sum("__kept")).alias("mean"))
 
 
 def cluster_centres(df: DataFrame) -> DataFrame:

@@ -225,3 +225,19 @@ def test_intensities(spark):
     want = [(0, 0), (0, 0.25), (0, 0.5), (1, 0.75), (0, 1)]
     assert tuple(found.pop()) == (None, None)
     assert [tuple(x) for x in found] == [pytest.approx(w, abs=1e-4) for w in want]
+
+
+@pytest.mark.parametrize("share", [0.0, 0.07, 0.5])
+def test_trimmed_means_in_ranges(spark, share):
+    r = random.Random(8)
+    data = [(r.choice(["a", "a", "b", None]), float(r.choice([r.randrange(5), r.randrange(1000)]))) for _ in range(600)] + [("c", 2.0)]
+    found = it.trimmed_mean(spark.createDataFrame([*data, ("a", float("nan")), ("b", None)], "k string, x double"), "k", "x", share)
+    want = {}
+    for k in ("a", "b", "c", None):
+        xs = sorted(x for g, x in data if g == k)
+        cut = int(len(xs) * share)
+        if xs[cut : len(xs) - cut]:
+            want[k] = pytest.approx(np.mean(xs[cut : len(xs) - cut]))
+    assert dict(map(tuple, found.collect())) == want
+    windows = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in line]
+    assert windows and not any("row_number" in line for line in windows)  # no task orders a whole group's rows
