@@ -20,8 +20,13 @@ def _fields(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where("trim(value) <> ''").select(F.split(F.trim("value"), r"\s+").alias("f"))
 
 
-def _names(values: list) -> F.Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+def _with_names(lines: DataFrame, values: list) -> DataFrame:
+    """Lines with the array ``names``: one row beside them, for as many literals would make the plan large.
+
+    Readers make a line's cells before they explode them: what is taken from the line afterwards would be copied, whole, to each cell.
+    """
+    one = lines.sparkSession.createDataFrame([([str(v) for v in values],)], "names array<string>")
+    return lines.crossJoin(F.broadcast(one))
 
 
 # --- probabilities and dosages -----------------------------------------------------------
@@ -30,8 +35,8 @@ def _names(values: list) -> F.Column:
 def _triples(spark: SparkSession, path: str, samples: list[str]) -> DataFrame:
     """(sample, locus, a, b, p): three probabilities after chromosome, locus, location and two alleles."""
     p = lambda i: F.array(*[F.get("f", 3 * i + 5 + k).cast("double") for k in range(3)])
-    cells = F.transform(_names(samples), lambda s, i: F.struct(s.alias("s"), p(i).alias("p")))
-    one = _fields(spark, path).select(F.get("f", 1).alias("locus"), F.get("f", 3).alias("a"), F.get("f", 4).alias("b"), F.explode(cells).alias("c"))
+    cells = F.transform("names", lambda s, i: F.struct(s.alias("s"), p(i).alias("p")))
+    one = _with_names(_fields(spark, path), samples).select(F.get("f", 1).alias("locus"), F.get("f", 3).alias("a"), F.get("f", 4).alias("b"), cells.alias("c")).withColumn("c", F.explode("c"))
     return one.select(F.col("c.s").alias("sample"), "locus", "a", "b", F.col("c.p").alias("p"))
 
 
@@ -56,8 +61,8 @@ def read_dosage_table(spark: SparkSession, path: str) -> DataFrame:
     head = lines.where(F.col("f")[0] == "SNP").limit(1).collect()
     samples = [s.strip() for s in head[0]["f"][5:]] if head else []
     x = lambda i: F.get("f", i + 5).try_cast("double")
-    cells = F.transform(_names(samples), lambda s, i: F.struct(s.alias("s"), F.when(x(i) >= 0, F.rint(x(i))).alias("x")))
-    one = lines.where(F.col("f")[0] != "SNP").select(F.get("f", 0).alias("locus"), F.get("f", 3).alias("a"), F.get("f", 4).alias("b"), F.explode(cells).alias("c"))
+    cells = F.transform("names", lambda s, i: F.struct(s.alias("s"), F.when(x(i) >= 0, F.rint(x(i))).alias("x")))
+    one = _with_names(lines.where(F.col("f")[0] != "SNP"), samples).select(F.get("f", 0).alias("locus"), F.get("f", 3).alias("a"), F.get("f", 4).alias("b"), cells.alias("c")).withColumn("c", F.explode("c"))
     copies = F.col("c.x")
     a1, a2 = g.genotype(F.when(copies == 2, F.col("b")).when(copies.isin(0, 1), F.col("a")), F.when(copies.isin(1, 2), F.col("b")).when(copies == 0, F.col("a")))
     return one.select(F.col("c.s").alias("sample"), "locus", a1.alias("a1"), a2.alias("a2"))
@@ -121,9 +126,9 @@ def read_linkage(spark: SparkSession, path: str, dat_path: str) -> DataFrame:
     if any(m[0] != "M" or len(m) != 2 for m in markers):
         raise ValueError("only marker records (M) are read")
     alleles = F.split(F.regexp_replace(F.array_join(F.slice("f", 6, 1 << 30), " "), "/", " "), " ")  # a name may hold a slash
-    apart = _fields(spark, path).select("f", alleles.alias("x"))
-    cells = F.transform(_names([m[1] for m in markers]), lambda m, i: F.struct(m.alias("l"), F.get("x", 2 * i).alias("a"), F.get("x", 2 * i + 1).alias("b")))
-    one = apart.select(F.concat_ws(":", F.col("f")[0], F.col("f")[1]).alias("sample"), F.explode(cells).alias("c"))
+    apart = _with_names(_fields(spark, path), [m[1] for m in markers]).select("f", "names", alleles.alias("x"))
+    cells = F.transform("names", lambda m, i: F.struct(m.alias("l"), F.get("x", 2 * i).alias("a"), F.get("x", 2 * i + 1).alias("b")))
+    one = apart.select(F.concat_ws(":", F.col("f")[0], F.col("f")[1]).alias("sample"), cells.alias("c")).withColumn("c", F.explode("c"))
     known = lambda c: F.when(~F.col(c).isin("0", "x", "X", ""), F.col(c))
     a1, a2 = g.genotype(known("c.a"), known("c.b"))
     return one.select("sample", F.col("c.l").alias("locus"), a1.alias("a1"), a2.alias("a2"))

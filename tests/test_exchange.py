@@ -81,3 +81,12 @@ def test_conversion_and_contents(spark, data, tmp_path):
     merged = spark.read.parquet(str(tmp_path / "c.parquet"))
     assert ("f1:x", "m1", "A", "A") in called(merged) and not any(r[:2] == ("f1:y", "m1") for r in called(merged))
     assert ex.contents(merged).collect()[0].asDict() == {"samples": 4, "loci": 3, "cells": 8, "called": 5, "half_called": 1, "monomorphic": 1, "biallelic": 2, "multiallelic": 0}
+
+
+def test_many_names_stay_out_of_the_plan(spark, tmp_path):
+    names = [f"s{k}" for k in range(3000)]
+    (tmp_path / "p").write_text(" ".join(["1", "m", "7", "A", "C", *["0 1 0"] * 3000]) + "\n")
+    found = ex.read_probabilities(spark, str(tmp_path / "p"), names)
+    assert "s2999" not in found._jdf.queryExecution().analyzed().toString() and "[s0" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array(s0" not in found._jdf.queryExecution().analyzed().toString()
+    assert sorted(map(tuple, found.collect())) == sorted((n, "m", "A", "C") for n in names)
